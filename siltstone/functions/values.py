@@ -60,13 +60,13 @@ def json_cells(df: DataFrame) -> DataFrame:
 def format_value(value: Column, style: str) -> Column:
     """Display text of a number: currency, number, percentage, compact or duration."""
     v = value.cast("double")
-    grouped = F.format_number(F.round(v, 3), "#,##0.###")
+    grouped = _pattern(F.round(v, 3), "#,##0.###")
     if style == "currency":
         return F.concat(F.lit("$"), grouped)
     if style == "number":
         return grouped
     if style == "percentage":
-        return F.concat(F.format_number(v, "0.###############"), F.lit("%"))
+        return F.concat(_pattern(v, "0.###############"), F.lit("%"))
     if style == "compact":
         return _compact(v)
     if style == "duration":
@@ -78,6 +78,10 @@ def format_value(value: Column, style: str) -> Column:
     raise ValueError(f"unknown value format: {style}")
 
 
+def _pattern(v: Column, pattern: str) -> Column:
+    return F.call_function("format_number", v, F.lit(pattern))
+
+
 def _compact(v: Column) -> Column:
     """Two significant digits below ten, whole numbers above, with K, M, B or T."""
     size = F.abs(v)
@@ -90,7 +94,7 @@ def _compact(v: Column) -> Column:
             .when(F.abs(scaled) < 9.95, F.round(scaled / step) * step)
             .otherwise(F.round(scaled))
         )
-        piece = F.concat(F.format_number(short, "#,##0.############"), F.lit(suffix))
+        piece = F.concat(_pattern(short, "#,##0.############"), F.lit(suffix))
         # 999.5 already shows as 1K, so each unit starts just below its round value.
         text = piece if unit == 1.0 else F.when(size >= unit * 0.9995, piece).otherwise(text)
     return text

@@ -54,10 +54,22 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructTy
     return spark.createDataFrame(arrow, schema=schema)
 
 
-def _arrow_type(dt: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
+_ARROW = {
+    T.StringType: pa.string(),
+    T.BooleanType: pa.bool_(),
+    T.IntegerType: pa.int32(),
+    T.LongType: pa.int64(),
+    T.DoubleType: pa.float64(),
+    T.DateType: pa.date32(),
+    T.TimestampType: pa.timestamp("us", tz="UTC"),
+    T.TimestampNTZType: pa.timestamp("us"),
+}
+
 
-    return to_arrow_type(dt, timezone="UTC")
+def _arrow_type(dt: T.DataType) -> pa.DataType:
+    if isinstance(dt, T.ArrayType):
+        return pa.list_(_arrow_type(dt.elementType))
+    return _ARROW[type(dt)]
 
 
 def work_dir(spark: SparkSession, label: str) -> str:

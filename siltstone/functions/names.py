@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Workers get the helpers below with the function, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Irregular number forms; they hold in both directions.
 IRREGULAR = {
@@ -31,10 +37,8 @@ def sanitize(name: Column) -> Column:
 
 
 def _irregular(word: Column) -> Column:
-    lookup = F.when(word == "person", _BOTH_WAYS["person"])
-    for form, other in _BOTH_WAYS.items():
-        lookup = lookup.when(word == form, other)
-    return lookup
+    pairs = F.create_map(*[F.lit(x) for pair in _BOTH_WAYS.items() for x in pair])
+    return F.try_element_at(pairs, word)
 
 
 def singular(name: Column) -> Column:
@@ -61,8 +65,15 @@ def plural(name: Column) -> Column:
 
 def variations(name: Column) -> Column:
     """Array of the name, its singular, its plural and the singular of that plural."""
-    many = plural(name)
-    return F.array_distinct(F.array(F.lower(name), singular(name), many, singular(many)))
+    # Lambdas bind each word once; written out, the nested rules outgrow a compiled method.
+    forms = F.transform(F.array(F.lower(name)), lambda w: F.struct(w.alias("w"), plural(w).alias("many")))
+    return F.array_distinct(
+        F.flatten(
+            F.transform(
+                forms, lambda f: F.array(f["w"], singular(f["w"]), f["many"], singular(f["many"]))
+            )
+        )
+    )
 
 
 def substrings(name: Column) -> Column:
@@ -116,13 +127,13 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 if total == 0 else 200.0 * _common_subsequence(a, b) / total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """``indel_ratio`` over already blocked name pairs."""
     return pd.Series([indel_ratio(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matching_blocks_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """difflib ratio (0 to 1) over already blocked name pairs."""
     return pd.Series(
@@ -133,7 +144,7 @@ def matching_blocks_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 _COMMON_FIRST = "eiadsrnto_lucmphgbyfvkwxjqz"
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def rare_letters(names: pd.Series) -> pd.Series:
     """Blocking tokens for pairs that share at least a quarter of their joint length.
 

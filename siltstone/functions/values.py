@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# JSON and CSV writers cut times to milliseconds unless told otherwise.
+FULL_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def money(col: str | Column) -> Column:
     """Exact decimal of an amount in cents, so that sums do not depend on row order."""
     return _col(col).cast("decimal(18,2)")
@@ -51,7 +58,7 @@ def json_cells(df: DataFrame) -> DataFrame:
     nested = (T.ArrayType, T.MapType, T.StructType)
     return df.select(
         *[
-            (F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`")).alias(f.name)
+            (F.to_json(F.col(f"`{f.name}`"), FULL_TIMES) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`")).alias(f.name)
             for f in df.schema.fields
         ]
     )

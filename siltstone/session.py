@@ -1,4 +1,4 @@
-"""Session settings, table access and the shared work folder."""
+"""Session settings, metadata frames and the shared work folder."""
 
 from __future__ import annotations
 
@@ -23,6 +23,8 @@ def build_session(app: str = "siltstone", master: str | None = None, **settings:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Call sites of column expressions cost more than building the expressions.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
@@ -31,11 +33,6 @@ def build_session(app: str = "siltstone", master: str | None = None, **settings:
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One Parquet table under ``root``."""
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
-
-
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
     """A driver-made frame of metadata (schemas, parameters, reports).
 
@@ -54,6 +51,14 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructTy
     return spark.createDataFrame(arrow, schema=schema)
 
 
+def pin(df: DataFrame) -> DataFrame:
+    """Compute a metadata frame (rows per column, per pair of columns) once, as a local relation.
+
+    Never for table rows: the result passes through the driver.
+    """
+    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
+
+
 _ARROW = {
     T.StringType: pa.string(),
     T.BooleanType: pa.bool_(),
@@ -72,6 +77,19 @@ def _arrow_type(dt: T.DataType) -> pa.DataType:
     return _ARROW[type(dt)]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists, on whatever file system its URL names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Union by position, built as a balanced tree so that analysis does not grow with the square."""
+    while len(frames) > 1:
+        frames = [a.union(b) for a, b in zip(frames[::2], frames[1::2])] + frames[len(frames) // 2 * 2 :]
+    return frames[0]
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for written tables and streaming state.
 

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from siltstone.plans import dashboards as d
 from siltstone.plans.dashboards import OrderColumns
-from siltstone.session import table
 from siltstone.suite.registry import query
+from siltstone.suite.tables import table
 
 ORDERS = OrderColumns(
     order_id="o_orderkey",

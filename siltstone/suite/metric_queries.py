@@ -2,8 +2,8 @@
 
 from siltstone.plans import metrics as m
 from siltstone.plans.metrics import DashboardPlan, Edge, Metric, TimeRange, Visualization
-from siltstone.session import table
 from siltstone.suite.registry import query
+from siltstone.suite.tables import table
 
 CENTS = "CAST(o_totalprice AS DECIMAL(18,2))"
 

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.values import format_value, money
 from siltstone.operators import shapes
-from siltstone.session import table
 from siltstone.suite.registry import query
+from siltstone.suite.tables import table
 
 STAGES = ["view", "click", "signup", "purchase"]
 

@@ -26,6 +26,7 @@ IRREGULAR = {
     "status": "statuses",
 }
 _BOTH_WAYS = {**IRREGULAR, **{many: one for one, many in IRREGULAR.items()}}
+_IRREGULAR_MAP = "map({})".format(", ".join(f"'{a}', '{b}'" for a, b in _BOTH_WAYS.items()))
 
 
 def sanitize(name: Column) -> Column:
@@ -37,8 +38,7 @@ def sanitize(name: Column) -> Column:
 
 
 def _irregular(word: Column) -> Column:
-    pairs = F.create_map(*[F.lit(x) for pair in _BOTH_WAYS.items() for x in pair])
-    return F.try_element_at(pairs, word)
+    return F.try_element_at(F.expr(_IRREGULAR_MAP), word)
 
 
 def singular(name: Column) -> Column:

@@ -20,8 +20,9 @@ def summarize(df: DataFrame, model: str, exact: bool = False) -> DataFrame:
     """Per column: rows, distinct values, NULL percentage, smallest and largest value as text.
 
     One aggregation computes every column (up to 100 per pass), with sketches for distinct counts.
-    ``exact`` counts distinct values instead, over one (column, value) shuffle rather than one
-    copy of the row per column. Nested columns get counts only.
+    ``exact`` counts distinct values instead, told apart by 96-bit digests: one (column, digest)
+    shuffle of fixed width, however long the texts are, rather than one copy of the row per
+    column. Nested columns get counts only.
     """
     fields = df.schema.fields
     long = union_all([_pass(df, fields[i : i + _CHUNK], i) for i in range(0, len(fields), _CHUNK)])
@@ -72,22 +73,23 @@ def _pass(df: DataFrame, fields: list[T.StructField], offset: int) -> DataFrame:
 
 
 def _distinct_counts(df: DataFrame) -> DataFrame:
-    return _count_distinct(_melted(df, {f.name: i for i, f in enumerate(df.schema.fields, 1)}))
+    return _count_distinct(_digests(df, {f.name: i for i, f in enumerate(df.schema.fields, 1)}))
 
 
-def _melted(df: DataFrame, ids: dict[str, int]) -> DataFrame:
-    """(column id, value as text) of the given columns, NULLs left out."""
+def _digests(df: DataFrame, ids: dict[str, int]) -> DataFrame:
+    """(column id, 96-bit digest) of the given columns, NULLs left out."""
 
-    def text(name: str) -> str:
+    def cell(name: str, i: int) -> str:
         c = _quoted(name)
-        return f"to_json({c})" if isinstance(df.schema[name].dataType, _NESTED[:3]) else f"CAST({c} AS STRING)"
+        value = f"to_json({c})" if isinstance(df.schema[name].dataType, _NESTED[:3]) else c
+        return f"struct(IF({c} IS NULL, NULL, {i}) AS _i, xxhash64({value}) AS _h, hash({value}) AS _g)"
 
-    cells = ", ".join(f"struct({i} AS _i, {text(name)} AS _v)" for name, i in ids.items())
-    return df.selectExpr(f"inline(array({cells}))").filter("_v IS NOT NULL")
+    cells = ", ".join(cell(name, i) for name, i in ids.items())
+    return df.selectExpr(f"inline(array({cells}))").filter("_i IS NOT NULL")
 
 
-def _count_distinct(melted: DataFrame) -> DataFrame:
-    return melted.distinct().groupBy("_i").agg(F.count(F.lit(1)).alias("_distinct"))
+def _count_distinct(digests: DataFrame) -> DataFrame:
+    return digests.distinct().groupBy("_i").agg(F.count(F.lit(1)).alias("_distinct"))
 
 
 def summarize_all(tables: dict[str, DataFrame], exact: bool = False) -> DataFrame:
@@ -95,6 +97,13 @@ def summarize_all(tables: dict[str, DataFrame], exact: bool = False) -> DataFram
     return union_all([summarize(df, model, exact) for model, df in tables.items()])
 
 
+def with_cardinality(profile: DataFrame, exact: DataFrame) -> DataFrame:
+    """A profile with its estimates replaced where exact counts (model, column_name, cardinality) are known."""
+    known = exact.select("model", "column_name", F.col("cardinality").alias("_exact"))
+    joined = profile.join(known, ["model", "column_name"], "left")
+    return joined.withColumn("cardinality", F.coalesce("_exact", "cardinality")).drop("_exact")
+
+
 def mark_unique(profile: DataFrame) -> DataFrame:
     """Add ``is_unique``: rows, no NULLs, and at least 99 % as many distinct values as rows."""
     rows = F.col("row_count")
@@ -102,16 +111,15 @@ def mark_unique(profile: DataFrame) -> DataFrame:
     return profile.withColumn("is_unique", full & (F.col("cardinality") >= rows * UNIQUE_SHARE))
 
 
-def verify_unique(tables: dict[str, DataFrame], profile: DataFrame, columns: str = ".*") -> DataFrame:
+def verify_unique(tables: dict[str, DataFrame], profile: DataFrame) -> DataFrame:
     """Unique columns of a sketched profile, confirmed by exact counts.
 
     A sketch is off by a few percent, so it only rules columns out: those without NULLs whose
-    estimate comes near the row count, and whose name matches ``columns``, are counted exactly,
-    all tables in one job.
+    estimate comes near the row count are counted exactly, all tables in one job.
     """
     plausible = (
         profile.filter((F.col("null_percentage") == 0) & (F.col("cardinality") >= F.col("row_count") * _PLAUSIBLE))
-        .filter(F.col("column_name").rlike(columns) & (F.col("row_count") > 0))
+        .filter(F.col("row_count") > 0)
         .select("model", "column_name", "row_count")
         .collect()
     )
@@ -120,7 +128,7 @@ def verify_unique(tables: dict[str, DataFrame], profile: DataFrame, columns: str
         return small_frame(spark, [], "model string, column_name string, row_count bigint, cardinality bigint")
     ids = {(r.model, r.column_name): i for i, r in enumerate(plausible)}
     parts = [
-        _melted(tables[m], {c: i for (model, c), i in ids.items() if model == m}) for m in sorted({m for m, _ in ids})
+        _digests(tables[m], {c: i for (model, c), i in ids.items() if model == m}) for m in sorted({m for m, _ in ids})
     ]
     counted = _count_distinct(union_all(parts))
     known = small_frame(

@@ -13,7 +13,7 @@ from siltstone.functions.types import family
 from siltstone.operators import catalog as C
 from siltstone.operators import profile as P
 from siltstone.plans import relate as R
-from siltstone.session import pin, small_frame, union_all
+from siltstone.session import pin, small_frame, union_all, work_dir
 
 # Words that decide a column's category and display format.
 TEMPORAL_WORDS = [
@@ -239,27 +239,33 @@ def generate(
 ) -> Model:
     """Discover the model of the given tables.
 
-    Four passes touch table rows: one aggregation per table for the profile, one for hinted
-    formulas, and one job each over the key columns for uniqueness and for inclusion. What they
-    return has one row per column or pair and is pinned, so no pass runs twice.
+    Table rows are touched by one aggregation per table for the profile, one for hinted formulas,
+    one job over the key columns for their distinct counts and inclusion alike, and one exact count
+    of the other columns that look unique. What they return has one row per column or pair and is
+    pinned, so no pass runs twice.
     """
     catalog = pin(C.discover(C.describe(spark, tables), schemas))
     known = {r[0] for r in catalog.select("model").distinct().collect()}
     kept = {m: df for m, df in tables.items() if m in known}
     if not kept:
         raise ValueError("no tables found to build a model from")
-    profile = pin(P.summarize_all(kept, exact_profile))
-    unique = pin(P.unique_columns(profile) if exact_profile else P.verify_unique(kept, profile))
-    keyed = pin(R.primary_keys(catalog, naming, unique))
-
-    passes = [R.inclusion(kept, R.candidates(keyed, naming)), R.by_name(keyed)]
+    key_columns = R.key_columns(kept, naming)
+    measured = R.measure(kept, key_columns, keep_at=work_dir(spark, "key-values")) if key_columns else None
+    profile = P.summarize_all(kept, exact_profile)
+    profile = pin(P.with_cardinality(profile, measured.cardinality()) if measured else profile)
+    if not exact_profile:
+        others = profile.filter(~F.col("column_name").rlike(f"{naming.pattern}|^(?:id|uuid)$"))
+        profile = pin(P.with_cardinality(profile, P.verify_unique(kept, others)))
+    profile = pin(P.mark_unique(profile))
+    keyed = pin(R.primary_keys(catalog, naming, profile.filter("is_unique").select("model", "column_name")))
+
+    passes = [R.inclusion(kept, R.candidates(keyed, naming), measured=measured), R.by_name(keyed)]
     if foreign_keys is not None:
         passes.insert(0, R.by_constraint(keyed, foreign_keys))
     found = R.accepted(R.merge(passes))
     relationships = pin(found if overrides is None else R.apply_overrides(found, overrides))
 
-    found_unique = unique.select("model", "column_name", F.lit(True).alias("is_unique"))
-    stats = profile.drop("ordinal_position").join(found_unique, ["model", "column_name"], "left").fillna(False, ["is_unique"])
+    stats = profile.drop("ordinal_position")
     pattern = r"_(id|key|uuid)$" if not naming.own_stem else naming.pattern
     columns = pin(classify(keyed, pattern).join(stats, ["model", "column_name"], "left"))
     keys: dict[str, set[str]] = {}

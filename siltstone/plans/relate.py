@@ -7,6 +7,7 @@ with everything.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -220,28 +221,46 @@ def _similar(stems: DataFrame, owners: DataFrame) -> DataFrame:
 _WORD = 62
 
 
-def inclusion(
-    tables: dict[str, DataFrame], pairs: DataFrame, sample: float | None = None, keep_all: bool = False
-) -> DataFrame:
-    """Relationships whose distinct reference values are found among the key's values.
+@dataclass(frozen=True)
+class KeyValues:
+    """How many distinct values occur in which set of columns; columns go by number."""
+
+    ids: dict[tuple[str, str], int]
+    sets: DataFrame
+
+    def cardinality(self) -> DataFrame:
+        """(model, column_name, cardinality): exact distinct counts of the measured columns."""
+        per_id = self.sets.groupBy("id").agg(F.sum("n").alias("cardinality"))
+        numbered = small_frame(
+            self.sets.sparkSession, [(m, c, i) for (m, c), i in self.ids.items()], "model string, column_name string, id int"
+        )
+        return numbered.join(per_id, "id", "left").select(
+            "model", "column_name", F.coalesce("cardinality", F.lit(0)).alias("cardinality")
+        )
+
+
+def key_columns(tables: dict[str, DataFrame], naming: KeyNaming = KeyNaming()) -> list[tuple[str, str]]:
+    """Columns whose names make them keys or references."""
+    named = re.compile(f"{naming.pattern}|^(?:id|uuid)$")
+    return [(m, c) for m, df in sorted(tables.items()) for c in df.columns if named.search(c)]
 
-    All pairs of all tables are measured together: every table is read once with its key columns
-    only, each value becomes (text, one bit per column), and a single aggregation by value ORs the
-    bits. It combines before the shuffle, so a value that fills a third of a column costs one row
-    per task. What is left is one count per combination of columns, which the pairs then read.
 
-    Numbers are compared by value (1 and 1.0 are the same key), everything else as text.
-    ``sample`` keeps a hash share of the values, the same on both sides.
+def measure(
+    tables: dict[str, DataFrame], columns: list[tuple[str, str]], sample: float | None = None, keep_at: str | None = None
+) -> KeyValues:
+    """Which distinct values the key columns share, all columns of all tables in one job.
+
+    Every table is read once with its key columns only. Each value becomes a fixed-width digest
+    and one bit per column, and a single aggregation by value ORs the bits. It combines before the
+    shuffle, so a value that fills a third of a column costs one row per task. What is left is one
+    count per combination of columns.
+
+    Numbers are compared by value (1 and 1.0 are the same key), everything else as text; 96 bits of
+    digest tell values apart. ``sample`` keeps a hash share of the values, the same in every
+    column. With ``keep_at`` the counts are written there and read back, for several uses.
     """
-    pairs = pin(pairs)
-    listed = pairs.select("fk_model", "fk_column", "pk_model", "pk_column").collect()
-    columns = sorted({(r[0], r[1]) for r in listed} | {(r[2], r[3]) for r in listed})
-    if not columns:
-        none = F.lit(0).cast("long")
-        return _scored(pairs.withColumn("total_count", none).withColumn("match_count", none), keep_all)
     ids = {key: i for i, key in enumerate(columns)}
     words = -(-len(columns) // _WORD)
-
     melted = []
     for model in sorted({m for m, _ in columns}):
         df = tables[model]
@@ -251,35 +270,53 @@ def inclusion(
                 bits = [f"{1 << i % _WORD if w == i // _WORD else 0}L AS w{w}" for w in range(words)]
                 cells.append(f"struct({_key_text(c, df.schema[c].dataType)} AS v, {', '.join(bits)})")
         melted.append(df.selectExpr(f"inline(array({', '.join(cells)}))"))
-    values = union_all(melted).filter("v IS NOT NULL")
-    if sample is not None:
-        values = values.filter(F.pmod(F.xxhash64("v"), F.lit(10_000)) < int(sample * 10_000))
     masks = [f"w{w}" for w in range(words)]
-    by_value = values.groupBy("v").agg(*[F.bit_or(w).alias(w) for w in masks])
-    combos = by_value.groupBy(*masks).agg(F.count(F.lit(1)).alias("n"))
-    present = F.array_compact(
-        F.array(*[F.when(F.getbit(F.col(f"w{i // _WORD}"), F.lit(i % _WORD)) == 1, F.lit(i)) for i in ids.values()])
+    values = union_all(melted).filter("v IS NOT NULL").select(
+        F.xxhash64("v").alias("h"), F.hash("v").alias("g"), *masks
     )
-    sets = combos.select("n", present.alias("present")).withColumn("fk_id", F.explode("present"))
-
-    numbered = small_frame(pairs.sparkSession, [(m, c, i) for (m, c), i in ids.items()], "m string, c string, i int")
-    coded = pairs
-    for side in ("fk", "pk"):
-        coded = coded.join(
-            numbered.select(F.col("m").alias(f"{side}_model"), F.col("c").alias(f"{side}_column"), F.col("i").alias(f"{side}_id")),
-            [f"{side}_model", f"{side}_column"],
-        )
-    measured = (
-        coded.select("fk_id", "pk_id")
-        .distinct()
-        .join(sets, "fk_id")
-        .groupBy("fk_id", "pk_id")
-        .agg(
-            F.sum("n").alias("total_count"),
-            F.sum(F.when(F.array_contains("present", F.col("pk_id")), F.col("n")).otherwise(0)).alias("match_count"),
-        )
+    if sample is not None:
+        values = values.filter(F.pmod("h", F.lit(10_000)) < int(sample * 10_000))
+    by_value = values.groupBy("h", "g").agg(*[F.bit_or(w).alias(w) for w in masks])
+    combos = by_value.groupBy(*masks).agg(F.count(F.lit(1)).alias("n"))
+    if keep_at:
+        combos.write.mode("overwrite").parquet(keep_at)
+        combos = combos.sparkSession.read.schema(combos.schema).parquet(keep_at)
+    bits = ", ".join(f"IF(getbit(w{i // _WORD}, {i % _WORD}) = 1, {i}, NULL)" for i in ids.values())
+    present = combos.selectExpr("n", f"array_compact(array({bits})) AS present")
+    return KeyValues(ids, present.withColumn("id", F.explode("present")))
+
+
+def inclusion(
+    tables: dict[str, DataFrame],
+    pairs: DataFrame,
+    sample: float | None = None,
+    keep_all: bool = False,
+    measured: KeyValues | None = None,
+) -> DataFrame:
+    """Relationships whose distinct reference values are found among the key's values.
+
+    Kept are pairs with at least half of the values and three of them found; ``keep_all`` returns
+    every pair with its counts. ``measured`` is reused if it covers the pairs' columns.
+    """
+    pairs = pin(pairs)
+    listed = pairs.select("fk_model", "fk_column", "pk_model", "pk_column").collect()
+    columns = sorted({(r[0], r[1]) for r in listed} | {(r[2], r[3]) for r in listed})
+    if not columns:
+        none = F.lit(0).cast("long")
+        return _scored(pairs.withColumn("total_count", none).withColumn("match_count", none), keep_all)
+    if measured is None or not set(columns) <= measured.ids.keys():
+        measured = measure(tables, columns, sample)
+    ids = measured.ids
+    key = ["fk_model", "fk_column", "pk_model", "pk_column"]
+    coded = small_frame(
+        pairs.sparkSession,
+        sorted({(*r, ids[r[0], r[1]], ids[r[2], r[3]]) for r in map(tuple, listed)}),
+        "fk_model string, fk_column string, pk_model string, pk_column string, id int, pk_id int",
     )
-    return _scored(coded.join(measured, ["fk_id", "pk_id"]), keep_all)
+    found = F.sum(F.when(F.array_contains("present", F.col("pk_id")), F.col("n")).otherwise(0))
+    counted = coded.join(measured.sets, "id").groupBy(*key).agg(F.sum("n").alias("total_count"), found.alias("match_count"))
+    counted = pairs.join(counted, key, "left").fillna(0, ["total_count", "match_count"])
+    return _scored(counted, keep_all)
 
 
 def _scored(measured: DataFrame, keep_all: bool) -> DataFrame:

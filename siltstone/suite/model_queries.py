@@ -1,7 +1,5 @@
 """Catalog, profiles and model discovery over the given tables and tables derived from them."""
 
-import re
-
 from pyspark.sql import functions as F
 
 from siltstone.functions import names as N
@@ -10,7 +8,7 @@ from siltstone.operators import layers as L
 from siltstone.operators import profile as P
 from siltstone.plans import model as M
 from siltstone.plans import relate as R
-from siltstone.session import pin
+from siltstone.session import pin, work_dir
 from siltstone.suite.registry import query
 from siltstone.suite.tables import table
 
@@ -45,10 +43,15 @@ def _tables(spark, root, names):
     return {n: table(spark, root, n) for n in names}
 
 
-def _unique_keys(tables):
-    """Unique columns among those named like keys, from a sketched profile and exact counts."""
-    keys = {m: df.select([c for c in df.columns if re.search("(key|id)$", c)]) for m, df in tables.items()}
-    return P.verify_unique(keys, pin(P.summarize_all(keys)))
+def _keyed(spark, root):
+    """Tables, their catalog with primary keys, and the measured key columns both come from."""
+    tables = _tables(spark, root, PLAIN)
+    columns = R.key_columns(tables, R.PREFIXED_KEYS)
+    measured = R.measure(tables, columns, keep_at=work_dir(spark, "key-values"))
+    filled = {m: df.select([c for t, c in columns if t == m]) for m, df in tables.items() if any(t == m for t, _ in columns)}
+    profile = P.with_cardinality(P.summarize_all(filled), measured.cardinality())
+    keyed = pin(R.primary_keys(C.describe(spark, tables), R.PREFIXED_KEYS, P.unique_columns(profile)))
+    return tables, keyed, measured
 
 
 def shop(spark, root):
@@ -161,9 +164,7 @@ WHERE stem != '' AND (contains(model, stem) OR contains(stem, model))
 """)
 def primary_keys(spark, root):
     """Key columns that name their own table and hold unique values."""
-    tables = _tables(spark, root, PLAIN)
-    unique = _unique_keys(tables)
-    keyed = R.primary_keys(C.describe(spark, tables), R.PREFIXED_KEYS, unique)
+    _, keyed, _ = _keyed(spark, root)
     return keyed.filter("is_primary").select("model", "column_name")
 
 
@@ -182,9 +183,7 @@ WHERE contains(b.f, a.f) OR contains(a.f, b.f)
 """)
 def key_candidates(spark, root):
     """References and keys whose names go together (no pair of these tables is merely similar)."""
-    tables = _tables(spark, root, PLAIN)
-    unique = _unique_keys(tables)
-    keyed = pin(R.primary_keys(C.describe(spark, tables), R.PREFIXED_KEYS, unique))
+    _, keyed, _ = _keyed(spark, root)
     return R.candidates(keyed, R.PREFIXED_KEYS).select("fk_model", "fk_column", "pk_model", "pk_column")
 
 
@@ -224,10 +223,8 @@ _INCLUSION_COLUMNS = [
 @query(_inclusion_sql([(ft, fc, pt, pc, ft, fc, pt, pc) for ft, fc, pt, pc in FOREIGN_KEYS]))
 def inclusion_dependencies(spark, root):
     """All references among the given tables, found by name and confirmed by their values."""
-    tables = _tables(spark, root, PLAIN)
-    unique = _unique_keys(tables)
-    keyed = pin(R.primary_keys(C.describe(spark, tables), R.PREFIXED_KEYS, unique))
-    return R.inclusion(tables, R.candidates(keyed, R.PREFIXED_KEYS)).select(*_INCLUSION_COLUMNS)
+    tables, keyed, measured = _keyed(spark, root)
+    return R.inclusion(tables, R.candidates(keyed, R.PREFIXED_KEYS), measured=measured).select(*_INCLUSION_COLUMNS)
 
 
 SHOP_KEYS = [

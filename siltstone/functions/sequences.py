@@ -12,23 +12,22 @@ def with_next(
     """Add the ``value`` of each row's successor of the same key, ordered by (ts, tiebreak).
 
     A window over the key alone would put all rows of a hot key in one task. Here the window runs
-    per key and time slice; the last row of a slice takes the head of the key's next slice, found
-    over one row per key and slice. Heads come from a combining aggregation, and the join reuses
-    the partitioning of the window.
+    per key and time slice. The head of the key's next slice, found over one row per key and
+    slice, is added to each slice as its last row, so the window sees it as a successor like any
+    other. Heads come from a combining aggregation; the rows themselves are shuffled once.
     """
-    sliced = df.withColumn("_slice", F.date_trunc(slice_unit, ts))
-    inner = Window.partitionBy(key, "_slice").orderBy(ts, tiebreak)
-    # Wrapped in a struct so that a NULL value differs from "no next row in this slice".
-    chained = sliced.withColumn("_inner", F.lead(F.struct(F.col(value).alias("v"))).over(inner))
-
-    heads = sliced.groupBy(key, "_slice").agg(
+    rows = df.withColumns({"_slice": F.date_trunc(slice_unit, ts), "_end": F.lit(0)})
+    heads = rows.groupBy(key, "_slice").agg(
         F.min_by(F.struct(F.col(value).alias("v")), F.struct(ts, tiebreak)).alias("_head")
     )
-    by_slice = Window.partitionBy("_hk").orderBy("_hs")
-    following = heads.select(F.col(key).alias("_hk"), F.col("_slice").alias("_hs"), "_head").withColumn(
-        "_following", F.lead("_head").over(by_slice)
+    later = F.lead("_head").over(Window.partitionBy(key).orderBy("_slice"))
+    ends = heads.withColumn("_later", later).filter("_later IS NOT NULL").select(
+        key, "_slice", F.lit(1).alias("_end"), F.col("_later.v").alias(value)
     )
-    joined = chained.join(
-        following, F.col(key).eqNullSafe(F.col("_hk")) & F.col("_slice").eqNullSafe(F.col("_hs")), "left"
+    within = Window.partitionBy(key, "_slice").orderBy("_end", ts, tiebreak)
+    return (
+        rows.unionByName(ends, allowMissingColumns=True)
+        .withColumn(name, F.lead(value).over(within))
+        .filter("_end = 0")
+        .select(*df.columns, name)
     )
-    return joined.withColumn(name, F.coalesce("_inner", "_following")["v"]).select(*df.columns, name)

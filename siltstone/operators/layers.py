@@ -101,11 +101,9 @@ def materialize(
         rows = V.replace(df, silver, cursor)
         kind = "table"
     elif on_tie == "merge":
-        from siltstone.operators.sync import merge_into
-
         if not key:
             raise ValueError("merging equal cursor values needs a key")
-        rows = merge_into(df.filter(F.col(cursor) >= newest), silver, key, cursor)
+        rows = V.merge_into(df.filter(F.col(cursor) >= newest), silver, key, cursor)
         kind = "incremental"
     else:
         rows = V.append(df.filter(F.col(cursor) > newest), silver, cursor)

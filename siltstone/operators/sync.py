@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import time
-from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions.values import FULL_TIMES
 from siltstone.operators import drift
 from siltstone.operators import versions as V
 from siltstone.operators.layers import Lake
@@ -26,81 +24,6 @@ REPORT = (
 )
 
 
-def _no_key(df: DataFrame, key: list[str]) -> Column:
-    """A content hash for rows without a full key, so that even they are merged only once."""
-    missing = reduce(lambda a, b: a | b, [F.col(f"`{k}`").isNull() for k in key])
-    content = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), FULL_TIMES), 256)
-    return F.when(missing, content)
-
-
-def _newest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the first in the given order.
-
-    Spark keeps only the first row per key of each task before it shuffles, so a key repeated
-    many times in an increment does not gather in one place.
-    """
-    by_key = Window.partitionBy(*key, "_no_key").orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(by_key)).filter("_r = 1").drop("_r")
-
-
-def _content_order(df: DataFrame) -> Column:
-    cells = [
-        F.to_json(F.col(f"`{f.name}`"), FULL_TIMES) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
-        for f in df.schema.fields
-        if not f.name.startswith("_in")
-    ]
-    return F.xxhash64(*cells)
-
-
-def dedupe_increment(df: DataFrame, key: list[str], cursor: str | None = None) -> DataFrame:
-    """The newest row per key of one increment (by cursor, then by content)."""
-    keyed = df.withColumn("_no_key", _no_key(df, key))
-    order = [F.col(cursor).desc_nulls_last()] if cursor else []
-    return _newest(keyed, key, [*order, _content_order(df)]).drop("_no_key")
-
-
-def merge(target: DataFrame, increment: DataFrame, key: list[str], cursor: str | None = None) -> DataFrame:
-    """``target`` after an increment with at most one row per key.
-
-    Keys the increment does not name are kept as they are. For the others the incoming row
-    wins, or with a cursor the newer one (incoming on ties). The target is only filtered: next to
-    an increment small enough to broadcast it is neither shuffled nor sorted.
-    """
-    both = V.extend_schema(target.schema, increment.schema)
-    old, new = V.align(target, both), V.align(increment, both)
-    old, new = old.withColumn("_no_key", _no_key(old, key)), new.withColumn("_no_key", _no_key(new, key))
-    names = [*key, "_no_key"]
-    touched = new.select(*[F.col(f"`{k}`").alias(f"_t_{k}") for k in names])
-    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_t_{k}`")) for k in names])
-    kept = old.join(touched, same, "left_anti")
-    if cursor:
-        rivals = old.join(touched, same, "left_semi").withColumn("_incoming", F.lit(0))
-        contest = rivals.unionByName(new.withColumn("_incoming", F.lit(1)))
-        order = [F.col(cursor).desc_nulls_last(), F.desc("_incoming")]
-        new = _newest(contest, key, order).drop("_incoming")
-    return kept.unionByName(new).drop("_no_key")
-
-
-def merge_into(df: DataFrame, root: str, key: list[str], cursor: str | None = None, batch: str | None = None) -> int:
-    """Merge rows into a stored table and return the rows of the increment.
-
-    The increment is staged first: it is then computed once, and its real size decides whether
-    the merge broadcasts it.
-    """
-    spark = df.sparkSession
-    seen_before = V.latest(spark, root)
-    unique = dedupe_increment(df, key, cursor)
-    if seen_before is None:
-        return V.replace(unique, root, cursor, "merge", batch)
-    staged = f"{root}/staged"
-    rows, _ = V.write_segment(unique, staged, seen_before.version + 1, None)
-    if not rows:
-        return 0
-    increment = spark.read.schema(unique.schema).parquet(f"{staged}/data/{V.segment_name(seen_before.version + 1)}")
-    V.replace(merge(V.read(spark, root), increment, key, cursor), root, cursor, "merge", batch, rows)
-    return rows
-
-
 def since(df: DataFrame, cursor: str, last: Column | None) -> DataFrame:
     """Rows above the last cursor value, and rows that have none."""
     return df if last is None else df.filter((F.col(cursor) > last) | F.col(cursor).isNull())
@@ -142,7 +65,7 @@ def load(
             if cursor and last is None and initial is not None:
                 last = F.lit(initial).cast(df.schema[cursor].dataType)
             fresh = since(df, cursor, last) if cursor else df
-            rows = merge_into(fresh, root, keys, cursor) if keys else V.append(fresh, root, cursor)
+            rows = V.merge_into(fresh, root, keys, cursor) if keys else V.append(fresh, root, cursor)
     except drift.SchemaFrozen as e:
         rows, report = 0, {**report, "status": "failed", "error": str(e)}
     except (AnalysisException, TypeError) as e:

@@ -1,8 +1,12 @@
 """Tables as Parquet segments with an append-only log of finished loads.
 
 A load writes its rows to a folder of its own and then adds one row to the log. Readers take the
-segments named by the newest log row, so an unfinished or failed load is never seen and nothing is
+folders named by the newest log row, so an unfinished or failed load is never seen and nothing is
 overwritten while it is being read. One writer per table is assumed.
+
+A merge adds its increment as a delta next to the base segments instead of rewriting them; reading
+joins the two. Deltas are folded together when there are many, and into the base when they have
+grown to a tenth of it, so a small increment costs what it holds and not what the table holds.
 """
 
 from __future__ import annotations
@@ -15,41 +19,57 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.operators.merge import align, dedupe, extend_schema, fold
+from siltstone.operators.merge import merge as merge_rows
 from siltstone.session import path_exists, small_frame
 
 LOG = (
-    "version bigint, mode string, segments array<string>, rows bigint, total_rows bigint, schema_json string, "
-    "cursor string, high_water string, batch string, written_at timestamp"
+    "version bigint, mode string, segments array<string>, deltas array<string>, merge_key array<string>, rows bigint, "
+    "base_rows bigint, delta_rows bigint, schema_json string, cursor string, high_water string, batch string, "
+    "written_at timestamp"
 )
 
+# Deltas are folded into the base from this share of its rows, and into one from this number.
+COMPACT_SHARE = 0.1
+MAX_DELTAS = 16
+
 
 @dataclass(frozen=True)
 class Version:
     version: int
     mode: str
     segments: list[str]
+    deltas: list[str]
+    merge_key: list[str]
     rows: int
-    total_rows: int
+    base_rows: int
+    delta_rows: int
     schema: T.StructType
     cursor: str | None
     high_water: str | None
 
+    @property
+    def total_rows(self) -> int:
+        """Rows of base and deltas; an upper bound while there are deltas."""
+        return self.base_rows + self.delta_rows
+
 
 def log(spark: SparkSession, root: str) -> DataFrame:
     """All finished loads of a table, oldest first (empty for a new table)."""
-    schema = T.StructType.fromDDL(LOG)
     if not path_exists(spark, f"{root}/_loads"):
         return small_frame(spark, [], LOG)
-    return spark.read.schema(schema).json(f"{root}/_loads").orderBy("version")
+    return spark.read.schema(LOG).json(f"{root}/_loads").orderBy("version")
 
 
 def latest(spark: SparkSession, root: str) -> Version | None:
     """The newest finished load."""
     if not path_exists(spark, f"{root}/_loads"):
         return None
-    r = log(spark, root).orderBy(F.desc("version")).first()
+    r = spark.read.schema(LOG).json(f"{root}/_loads").orderBy(F.desc("version")).first()
     schema = T.StructType.fromJson(json.loads(r.schema_json))
-    return Version(r.version, r.mode, list(r.segments), r.rows, r.total_rows, schema, r.cursor, r.high_water)
+    return Version(
+        r.version, r.mode, r.segments, r.deltas, r.merge_key, r.rows, r.base_rows, r.delta_rows, schema, r.cursor, r.high_water
+    )
 
 
 def schema(spark: SparkSession, root: str) -> T.StructType | None:
@@ -62,12 +82,23 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     v = latest(spark, root)
     if v is None:
         raise ValueError(f"no finished load in {root}")
-    return spark.read.schema(v.schema).parquet(*[f"{root}/data/{s}" for s in v.segments])
+    return _read(spark, root, v)
+
+
+def _read(spark: SparkSession, root: str, v: Version) -> DataFrame:
+    base = spark.read.schema(v.schema).parquet(*_paths(root, v.segments))
+    if not v.deltas:
+        return base
+    return merge_rows(base, _deltas(spark, root, v), v.merge_key, v.cursor)
+
+
+def _deltas(spark: SparkSession, root: str, v: Version) -> DataFrame:
+    return fold([spark.read.schema(v.schema).parquet(p) for p in _paths(root, v.deltas)], v.merge_key, v.cursor)
 
 
 def has_batch(spark: SparkSession, root: str, batch: str) -> bool:
     """Whether a micro-batch is already in the log."""
-    return bool(log(spark, root).filter(F.col("batch") == batch).limit(1).collect())
+    return not log(spark, root).filter(F.col("batch") == batch).isEmpty()
 
 
 def high_water(spark: SparkSession, root: str, cursor: str) -> Column | None:
@@ -78,22 +109,19 @@ def high_water(spark: SparkSession, root: str, cursor: str) -> Column | None:
     v = latest(spark, root)
     if v is None:
         return None
-    dt = v.schema[cursor].dataType
     text = v.high_water
     if v.cursor != cursor:
-        text = read(spark, root).agg(F.max(cursor).cast("string")).first()[0]
-    return None if text is None else F.lit(text).cast(dt)
+        text = _read(spark, root, v).agg(F.max(cursor).cast("string")).first()[0]
+    return None if text is None else F.lit(text).cast(v.schema[cursor].dataType)
 
 
-def replace(df: DataFrame, root: str, cursor: str | None = None, mode: str = "replace", batch: str | None = None, rows_changed: int | None = None) -> int:
+def replace(df: DataFrame, root: str, cursor: str | None = None, mode: str = "replace", batch: str | None = None) -> int:
     """Write ``df`` as the whole new version; an empty one writes nothing. Returns its rows."""
     spark = df.sparkSession
-    before = latest(spark, root)
-    number = before.version + 1 if before else 1
-    rows, newest = write_segment(df, root, number, cursor)
+    number = _next(latest(spark, root))
+    rows, newest = _write(df, root, number, cursor)
     if rows:
-        changed = rows if rows_changed is None else rows_changed
-        _commit(spark, root, number, mode, [segment_name(number)], changed, rows, df.schema, cursor, newest, batch)
+        _commit(spark, root, number, mode, [_name(number)], [], [], rows, rows, 0, df.schema, cursor, newest, batch)
     return rows
 
 
@@ -103,61 +131,111 @@ def append(df: DataFrame, root: str, cursor: str | None = None, batch: str | Non
     New columns extend the table; a column of another type is refused.
     """
     spark = df.sparkSession
-    before = latest(spark, root)
-    if before is None:
+    v = latest(spark, root)
+    if v is None:
         return replace(df, root, cursor, "append", batch)
-    merged = extend_schema(before.schema, df.schema)
-    number = before.version + 1
-    rows, newest = write_segment(align(df, merged), root, number, cursor)
+    merged = extend_schema(v.schema, df.schema)
+    if v.deltas:
+        v = compact(spark, root)
+    number = _next(v)
+    rows, newest = _write(align(df, merged), root, number, cursor)
     if rows:
-        if cursor:
-            newest = _later(spark, before.high_water if before.cursor == cursor else None, newest, merged[cursor].dataType)
+        newest = _raise_mark(spark, root, v, cursor, newest, merged)
         _commit(
-            spark, root, number, "append", [*before.segments, segment_name(number)], rows, before.total_rows + rows,
-            merged, cursor, newest, batch,
+            spark, root, number, "append", [*v.segments, _name(number)], [], [], rows, v.base_rows + rows, 0, merged,
+            cursor, newest, batch,
         )
     return rows
 
 
-def extend_schema(old: T.StructType, new: T.StructType) -> T.StructType:
-    """The old fields plus the new ones; a type change raises."""
-    known = {f.name: f for f in old.fields}
-    for f in new.fields:
-        if f.name in known and known[f.name].dataType != f.dataType:
-            raise TypeError(f"column {f.name} changed from {known[f.name].dataType.simpleString()} to {f.dataType.simpleString()}")
-    return T.StructType([*old.fields, *[f for f in new.fields if f.name not in known]])
+def merge_into(
+    df: DataFrame, root: str, key: list[str], cursor: str | None = None, batch: str | None = None,
+    compact_share: float = COMPACT_SHARE,
+) -> int:
+    """Merge rows into a stored table by key and return the rows of the increment, one per key."""
+    spark = df.sparkSession
+    v = latest(spark, root)
+    unique = dedupe(df, key, cursor)
+    if v is None:
+        return replace(unique, root, cursor, "merge", batch)
+    merged = extend_schema(v.schema, df.schema)
+    if v.deltas and (v.merge_key != key or v.cursor != cursor):
+        v = compact(spark, root)
+    number = _next(v)
+    rows, newest = _write(align(unique, merged), root, number, cursor)
+    if not rows:
+        return 0
+    newest = _raise_mark(spark, root, v, cursor, newest, merged)
+    _commit(
+        spark, root, number, "merge", v.segments, [*v.deltas, _name(number)], key, rows, v.base_rows, v.delta_rows + rows,
+        merged, cursor, newest, batch,
+    )
+    if v.delta_rows + rows > compact_share * v.base_rows:
+        compact(spark, root)
+    elif len(v.deltas) + 1 >= MAX_DELTAS:
+        _fold_deltas(spark, root)
+    return rows
+
+
+def compact(spark: SparkSession, root: str) -> Version:
+    """Write base and deltas as one new base."""
+    v = latest(spark, root)
+    number = _next(v)
+    rows, newest = _write(_read(spark, root, v), root, number, v.cursor)
+    _commit(spark, root, number, "compact", [_name(number)], [], [], 0, rows, 0, v.schema, v.cursor, newest, None)
+    return latest(spark, root)
 
 
-def align(df: DataFrame, target: T.StructType) -> DataFrame:
-    """``df`` with exactly the target's columns, missing ones NULL."""
-    return df.select(
-        *[
-            F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in target.fields
-        ]
+def _fold_deltas(spark: SparkSession, root: str) -> None:
+    v = latest(spark, root)
+    number = _next(v)
+    rows, _ = _write(_deltas(spark, root, v), root, number, None)
+    _commit(
+        spark, root, number, "fold", v.segments, [_name(number)], v.merge_key, 0, v.base_rows, rows, v.schema, v.cursor,
+        v.high_water, None,
     )
 
 
-def segment_name(number: int) -> str:
+def _next(v: Version | None) -> int:
+    return v.version + 1 if v else 1
+
+
+def _name(number: int) -> str:
     return f"v{number:08d}"
 
 
-def write_segment(df: DataFrame, root: str, number: int, cursor: str | None) -> tuple[int, str | None]:
-    """Write one segment; rows and newest cursor value are counted while writing."""
+def _paths(root: str, names: list[str]) -> list[str]:
+    return [f"{root}/data/{n}" for n in names]
+
+
+def _write(df: DataFrame, root: str, number: int, cursor: str | None) -> tuple[int, str | None]:
+    """Write one folder; rows and newest cursor value are counted while writing."""
     seen = Observation()
     newest = F.max(cursor) if cursor else F.lit(None)
     watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), newest.cast("string").alias("newest"))
-    watched.write.mode("overwrite").option("compression", "snappy").parquet(f"{root}/data/{segment_name(number)}")
+    watched.write.mode("overwrite").option("compression", "snappy").parquet(_paths(root, [_name(number)])[0])
     got = seen.get
     return got.get("rows", 0), got.get("newest")
 
 
-def _later(spark: SparkSession, a: str | None, b: str | None, dt: T.DataType) -> str | None:
-    both = [F.lit(x).cast(dt) for x in (a, b)]
+def _raise_mark(
+    spark: SparkSession, root: str, v: Version, cursor: str | None, newest: str | None, schema: T.StructType
+) -> str | None:
+    """The later of the table's and the increment's newest cursor value."""
+    if cursor is None:
+        return None
+    before = v.high_water
+    if v.cursor != cursor and cursor in v.schema.names:
+        before = _read(spark, root, v).agg(F.max(cursor).cast("string")).first()[0]
+    both = [F.lit(x).cast(schema[cursor].dataType) for x in (before, newest)]
     return spark.range(1).select(F.greatest(*both).cast("string")).first()[0]
 
 
-def _commit(spark, root, number, mode, segments, rows, total, schema, cursor, newest, batch) -> None:
+def _commit(
+    spark, root, number, mode, segments, deltas, key, rows, base_rows, delta_rows, schema, cursor, newest, batch
+) -> None:
     now = datetime.now(timezone.utc)
-    entry = (number, mode, segments, rows, total, schema.json(), cursor, newest, batch, now)
+    entry = (
+        number, mode, segments, deltas, key, rows, base_rows, delta_rows, schema.json(), cursor, newest, batch, now,
+    )
     small_frame(spark, [entry], LOG).coalesce(1).write.mode("append").json(f"{root}/_loads")

@@ -90,7 +90,8 @@ def date_range(df: DataFrame, time: TimeRange) -> DataFrame:
         since = F.date_trunc("month" if kind == "mtd" else "year", anchor)
     else:
         raise ValueError(f"unknown time range: {time.range}")
-    return df.filter((ts >= since) & (ts <= anchor))
+    # The newest row needs no upper bound.
+    return df.filter((ts >= since) & (ts <= anchor)) if time.anchor else df.filter(ts >= since)
 
 
 def _moment(df: DataFrame, time: TimeRange, text: str) -> Column:

@@ -21,6 +21,10 @@ METRIC_FIELDS = {
         "impressions": "impression_count",
     },
 }
+FIELDS = [
+    "id", "urn", "text", "commentary", "media", "metrics", "selftext", "title", "url", "ups", "num_crossposts",
+    "num_comments", "view_count", "public_metrics",
+]
 METRICS = ["likes", "shares", "comments", "impressions"]
 PLATFORMS = list(TEXT_FIELDS)
 
@@ -31,71 +35,68 @@ def normalize(posts: DataFrame, platform: str = "platform", payload: str = "payl
     Posts of other platforms are left out here; ``rejects`` returns them.
     """
     name = F.lower(platform)
-    known = posts.filter(name.isin(PLATFORMS)).withColumn("_p", name)
-    raw = F.col(payload)
-    inner = F.when((F.col("_p") != "linkedin") & _has(raw, "data"), _get(raw, "data")).otherwise(raw)
-    known = known.withColumn("_body", inner)
-    body = F.col("_body")
+    # Long payloads are parsed twice at most: once for the envelope, once for what "data" holds.
+    outer = posts.filter(name.isin(PLATFORMS)).select(
+        name.alias("platform"), F.col(payload).alias("raw"), F.from_json(payload, _fields(["data", *FIELDS])).alias("o")
+    )
+    wrapped = (F.col("platform") != "linkedin") & F.col("o.data").isNotNull()
+    inner = outer.withColumn("i", F.when(wrapped, F.from_json("o.data", _fields(FIELDS))).otherwise(F.col("o").dropFields("data")))
     stats = (
-        F.when(F.col("_p") == "linkedin", _get(raw, "metrics"))
-        .when(F.col("_p") == "reddit", body)
-        .otherwise(F.coalesce(_filled(body, "public_metrics"), _get(raw, "metrics")))
+        F.when(F.col("platform") == "linkedin", F.col("o.metrics"))
+        .when(F.col("platform") == "x", F.coalesce(_filled("i.public_metrics"), F.col("o.metrics")))
     )
-    known = known.withColumn("_stats", F.coalesce(stats, F.lit("{}")))
-
-    def per_platform(make) -> Column:
-        first, *rest = PLATFORMS
-        ladder = F.when(F.col("_p") == first, make(first))
-        for p in rest:
-            ladder = ladder.when(F.col("_p") == p, make(p))
-        return ladder
-
-    def text(part: str) -> Column:
-        return F.coalesce(
-            per_platform(lambda p: F.coalesce(*[_filled(body, f) for f in TEXT_FIELDS[p][part]])), F.lit("")
-        )
+    names = sorted({f for fields in METRIC_FIELDS.values() for f in fields.values()} | set(METRICS))
+    parsed = inner.withColumn("_stats", stats).withColumn("s", F.from_json("_stats", _fields(names)))
+    # Only a missing field falls back to the plain name; one that is null counts 0.
+    parsed = parsed.withColumn("_keys", F.when(F.col("platform") == "x", F.json_object_keys("_stats")))
 
     def metric(m: str) -> Column:
-        def own(p: str) -> Column:
-            field = METRIC_FIELDS[p][m]
-            value = _get(F.col("_stats"), field)
-            # Only a missing field falls back to the plain name; one that is null counts 0.
-            return F.when(_has(F.col("_stats"), field), value).otherwise(_get(F.col("_stats"), m)) if p == "x" else value
+        x = METRIC_FIELDS["x"][m]
+        given = F.coalesce(F.array_contains("_keys", x), F.lit(False))
+        text = _per_platform(
+            {
+                "linkedin": F.col(f"s.{METRIC_FIELDS['linkedin'][m]}"),
+                "reddit": F.col(f"i.{METRIC_FIELDS['reddit'][m]}"),
+                "x": F.when(given, F.col(f"s.{x}")).otherwise(F.col(f"s.{m}")),
+            }
+        )
+        return F.coalesce(_whole(text), F.lit(0)).cast("long").alias(m)
 
-        return F.coalesce(_whole(per_platform(own)), F.lit(0)).cast("long").alias(m)
+    def text(part: str) -> Column:
+        first = {p: F.coalesce(*[_filled(f"i.{f}") for f in fields[part]]) for p, fields in TEXT_FIELDS.items()}
+        return F.coalesce(_per_platform(first), F.lit("")).alias(part)
 
-    listed = F.from_json(_get(raw, "media"), "array<struct<url: string>>")
-    urls = F.filter(F.transform(listed, lambda e: e["url"]), lambda u: u.isNotNull() & (u != ""))
     nothing = F.array().cast("array<string>")
-    media = per_platform(
-        lambda p: {"linkedin": urls, "reddit": F.array_compact(F.array(_filled(body, "url"))), "x": nothing}[p]
-    )
-    return known.select(
-        F.col("_p").alias("platform"),
+    listed = F.from_json("o.media", "array<struct<url: string>>")
+    urls = F.filter(F.transform(listed, lambda e: e["url"]), lambda u: u.isNotNull() & (u != ""))
+    media = {"linkedin": urls, "reddit": F.array_compact(F.array(_filled("i.url"))), "x": nothing}
+    return parsed.select(
+        "platform",
         text("id").alias("external_id"),
-        text("content").alias("content"),
-        F.coalesce(media, nothing).alias("media_urls"),
+        text("content"),
+        F.coalesce(_per_platform(media), nothing).alias("media_urls"),
         F.struct(*[metric(m) for m in METRICS]).alias("metrics"),
-        raw.alias("raw"),
+        "raw",
     )
 
 
-def rejects(posts: DataFrame, platform: str = "platform") -> DataFrame:
-    """Posts of a platform there is no rule for, NULL included."""
-    return posts.filter(~F.coalesce(F.lower(platform).isin(PLATFORMS), F.lit(False)))
+def _fields(names: list[str]) -> str:
+    """A schema that takes each field as text; objects and lists keep their JSON text."""
+    return ", ".join(f"{n} string" for n in names)
 
 
-def _get(json: Column, field: str) -> Column:
-    return F.get_json_object(json, f"$.{field}")
+def _per_platform(values: dict[str, Column]) -> Column:
+    return F.coalesce(*[F.when(F.col("platform") == p, v) for p, v in values.items()])
 
 
-def _has(json: Column, field: str) -> Column:
-    return F.coalesce(F.array_contains(F.json_object_keys(json), field), F.lit(False))
+def rejects(posts: DataFrame, platform: str = "platform") -> DataFrame:
+    """Posts of a platform there is no rule for, NULL included."""
+    return posts.filter(~F.coalesce(F.lower(platform).isin(PLATFORMS), F.lit(False)))
 
 
-def _filled(json: Column, field: str) -> Column:
+def _filled(field: str) -> Column:
     """The field as text, or NULL where it is missing, empty, zero or false."""
-    v = _get(json, field)
+    v = F.col(field)
     return F.when(~v.isin("", "0", "false", "{}", "[]"), v)
 
 

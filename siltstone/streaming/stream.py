@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from siltstone.operators import versions as V
-from siltstone.operators.sync import merge_into
 
 
 def read_files(
@@ -42,7 +41,7 @@ def sync(
         if V.has_batch(batch.sparkSession, root, mark):
             return
         if key:
-            merge_into(batch, root, key, cursor, mark)
+            V.merge_into(batch, root, key, cursor, mark)
         else:
             V.append(batch, root, cursor, mark)
 
@@ -75,7 +74,7 @@ def live_metric(
     def apply(batch: DataFrame, batch_id: int) -> None:
         mark = f"{name}:{batch_id}"
         if not V.has_batch(batch.sparkSession, root, mark):
-            merge_into(batch, root, key, None, mark)
+            V.merge_into(batch, root, key, None, mark)
 
     writer = (
         windows.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).queryName(name)

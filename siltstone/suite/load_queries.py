@@ -46,9 +46,9 @@ def merge_orders(spark, root):
         (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("o_orderdate"),
     )
     path = lake.bronze("shop", "orders")
-    S.merge_into(orders.filter(BASE), path, ["o_orderkey"], "o_orderdate")
+    V.merge_into(orders.filter(BASE), path, ["o_orderkey"], "o_orderdate")
     for _ in range(2):
-        S.merge_into(later, path, ["o_orderkey"], "o_orderdate")
+        V.merge_into(later, path, ["o_orderkey"], "o_orderdate")
     return _text_date(V.read(spark, path), "o_orderdate")
 
 

@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from siltstone.operators import layers as L
+from siltstone.operators import merge as G
 from siltstone.operators import sync as S
 from siltstone.operators import versions as V
 
@@ -133,26 +134,58 @@ def test_merge_equals_brute_force_in_any_row_order(spark, tmp_path):
         [(i, f"b{n}-{i}", rng.choice([None, *range(9)])) for i in rng.sample(range(45), 20)] for n in range(3)
     ]
     want = brute_merge(target, batches)
-    for seed in (0, 1):
+    for seed, share in ((0, 0.0), (1, 99.0)):
         shuffle = lambda xs: random.Random(seed).sample(xs, len(xs))
         root = str(tmp_path / f"t{seed}")
-        S.merge_into(frame(spark, shuffle(target)), root, ["id"], "updated_at")
+        V.merge_into(frame(spark, shuffle(target)), root, ["id"], "updated_at")
         for b in batches:
-            S.merge_into(frame(spark, shuffle(b)), root, ["id"], "updated_at")
+            V.merge_into(frame(spark, shuffle(b)), root, ["id"], "updated_at", compact_share=share)
         assert rows(V.read(spark, root)) == want
-        S.merge_into(frame(spark, batches[-1]), root, ["id"], "updated_at")
+        V.merge_into(frame(spark, batches[-1]), root, ["id"], "updated_at", compact_share=share)
+        assert rows(V.read(spark, root)) == want
+        assert len(V.latest(spark, root).deltas) == (4 if share else 0)
+        assert V.compact(spark, root).base_rows == len(want)
         assert rows(V.read(spark, root)) == want
 
 
 def test_merge_without_cursor_takes_the_incoming_row(spark):
-    merged = S.merge(frame(spark, [(1, "a", 9), (2, "b", 9)]), frame(spark, [(2, "new", 1), (3, "c", 1)]), ["id"])
+    merged = G.merge(frame(spark, [(1, "a", 9), (2, "b", 9)]), frame(spark, [(2, "new", 1), (3, "c", 1)]), ["id"])
     assert rows(merged) == [(1, "a", 9), (2, "new", 1), (3, "c", 1)]
 
 
+def test_deltas_without_cursor_new_columns_and_other_keys(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    V.merge_into(frame(spark, [(i, "base", i) for i in range(5)]), root, ["id"])
+    V.merge_into(frame(spark, [(1, "one", 0), (7, "seven", 0)]), root, ["id"], compact_share=99)
+    V.merge_into(frame(spark, [(1, "again", 0, 2.5)], SHAPE + ", extra double"), root, ["id"], compact_share=99)
+    assert rows(V.read(spark, root).filter("id IN (0, 1, 7)")) == [(0, "base", 0, None), (1, "again", 0, 2.5), (7, "seven", 0, None)]
+    assert len(V.latest(spark, root).deltas) == 2
+    V.append(frame(spark, [(1, "extra row", 0)]), root)
+    assert V.latest(spark, root).deltas == [] and V.read(spark, root).filter("id = 1").count() == 2
+    V.merge_into(frame(spark, [(1, "by v", 3)]), root, ["v"], compact_share=99)
+    V.merge_into(frame(spark, [(1, "by id", 3)]), root, ["id"], compact_share=99)
+    assert rows(V.read(spark, root).filter("id = 1").select("v")) == [("by id",)]
+    monkeypatch.setattr(V, "MAX_DELTAS", 3)
+    for n in range(4):
+        V.merge_into(frame(spark, [(1, f"n{n}", 3), (10 + n, "x", 3)]), root, ["id"], compact_share=99)
+    assert "fold" in {r.mode for r in V.log(spark, root).collect()} and len(V.latest(spark, root).deltas) < 3
+    assert rows(V.read(spark, root).filter("id = 1 OR id >= 10").select("id", "v")) == [(1, "n3"), *[(10 + n, "x") for n in range(4)]]
+
+
+def test_small_merges_leave_the_base_files_alone(spark, tmp_path):
+    root = str(tmp_path / "t")
+    V.replace(spark.range(1000).select(F.col("id").cast("int").alias("id"), F.lit("v").alias("v"), F.lit(1).alias("updated_at")), root, "updated_at")
+    V.merge_into(frame(spark, [(3, "new", 2), (4, "old", 0)]), root, ["id"], "updated_at")
+    v = V.latest(spark, root)
+    assert (v.segments, len(v.deltas), v.high_water, v.base_rows) == (["v00000001"], 1, "2", 1000)
+    assert rows(V.read(spark, root).filter("id IN (3, 4)")) == [(3, "new", 2), (4, "v", 1)]
+    assert V.read(spark, root).count() == 1000
+
+
 def test_repeated_keys_in_one_increment(spark):
     data = [(1, "old", 1), (1, "new", 2)] + [(2, "x", 3)] * 50
-    assert rows(S.dedupe_increment(frame(spark, data), ["id"], "updated_at")) == [(1, "new", 2), (2, "x", 3)]
-    twice = [rows(S.dedupe_increment(frame(spark, d), ["id"])) for d in (data, data[::-1])]
+    assert rows(G.dedupe(frame(spark, data), ["id"], "updated_at")) == [(1, "new", 2), (2, "x", 3)]
+    twice = [rows(G.dedupe(frame(spark, d), ["id"])) for d in (data, data[::-1])]
     assert twice[0] == twice[1] and len(twice[0]) == 2
 
 
@@ -160,18 +193,18 @@ def test_rows_without_a_key_are_all_kept_and_merged_once(spark, tmp_path):
     root = str(tmp_path / "t")
     batch = frame(spark, [(None, "a", 1), (None, "b", 1), (None, "a", 1), (1, "c", 1)])
     for _ in range(2):
-        S.merge_into(batch, root, ["id"], "updated_at")
+        V.merge_into(batch, root, ["id"], "updated_at")
     assert rows(V.read(spark, root)) == [(1, "c", 1), (None, "a", 1), (None, "b", 1)]
 
 
 def test_merge_takes_in_new_columns(spark):
     new = frame(spark, [(2, "b", 2, 1.5)], SHAPE + ", extra double")
-    assert rows(S.merge(frame(spark, [(1, "a", 1)]), new, ["id"])) == [(1, "a", 1, None), (2, "b", 2, 1.5)]
+    assert rows(G.merge(frame(spark, [(1, "a", 1)]), new, ["id"])) == [(1, "a", 1, None), (2, "b", 2, 1.5)]
 
 
 def test_composite_keys(spark):
     shape = "a int, b int, v string"
-    merged = S.merge(frame(spark, [(1, 1, "x"), (1, 2, "y")], shape), frame(spark, [(1, 2, "z")], shape), ["a", "b"])
+    merged = G.merge(frame(spark, [(1, 1, "x"), (1, 2, "y")], shape), frame(spark, [(1, 2, "z")], shape), ["a", "b"])
     assert rows(merged) == [(1, 1, "x"), (1, 2, "z")]
 
 
@@ -242,5 +275,5 @@ def test_small_increment_leaves_the_target_unshuffled(spark, tmp_path):
     spark.range(100_000).select(F.col("id").cast("int").alias("id"), F.lit("t").alias("v"), F.lit(1).alias("updated_at")).write.parquet(str(tmp_path / "t"))
     target = spark.read.parquet(str(tmp_path / "t"))
     frame(spark, [(1, "n", 2)]).write.parquet(str(tmp_path / "i"))
-    plan = S.merge(target, spark.read.parquet(str(tmp_path / "i")), ["id"])._jdf.queryExecution().executedPlan().toString()
+    plan = G.merge(target, spark.read.parquet(str(tmp_path / "i")), ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan

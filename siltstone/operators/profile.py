@@ -20,17 +20,28 @@ def summarize(df: DataFrame, model: str, exact: bool = False) -> DataFrame:
     """Per column: rows, distinct values, NULL percentage, smallest and largest value as text.
 
     One aggregation computes every column (up to 100 per pass), with sketches for distinct counts.
-    ``exact`` counts distinct values instead, told apart by 96-bit digests: one (column, digest)
-    shuffle of fixed width, however long the texts are, rather than one copy of the row per
-    column. Nested columns get counts only.
+    Nested columns get counts only. See ``summarize_all`` for ``exact``.
     """
+    return summarize_all({model: df}, exact)
+
+
+def summarize_all(tables: dict[str, DataFrame], exact: bool = False) -> DataFrame:
+    """Profiles of all tables as one result.
+
+    ``exact`` counts distinct values instead of sketching them. Values are told apart by 96-bit
+    digests, so all columns of all tables share one shuffle of fixed-width rows, however long
+    their texts are.
+    """
+    profile = union_all([_sketched(df, model) for model, df in tables.items()])
+    if not exact:
+        return profile
+    columns = [(m, c) for m, df in tables.items() for c in df.columns]
+    return with_cardinality(profile, count_exactly(tables, columns))
+
+
+def _sketched(df: DataFrame, model: str) -> DataFrame:
     fields = df.schema.fields
     long = union_all([_pass(df, fields[i : i + _CHUNK], i) for i in range(0, len(fields), _CHUNK)])
-    if exact:
-        counted = _distinct_counts(df)
-        long = long.join(counted, F.col("ordinal_position") == F.col("_i"), "left").withColumn(
-            "cardinality", F.coalesce("_distinct", F.lit(0))
-        )
     empty = "round((row_count - present) / nullif(row_count, 0) * 100, 2)"
     return long.selectExpr(
         f"{_text(model)} AS model",
@@ -72,8 +83,18 @@ def _pass(df: DataFrame, fields: list[T.StructField], offset: int) -> DataFrame:
     return df.selectExpr(*aggregates).selectExpr("row_count", f"inline(array({', '.join(cells)}))")
 
 
-def _distinct_counts(df: DataFrame) -> DataFrame:
-    return _count_distinct(_digests(df, {f.name: i for i, f in enumerate(df.schema.fields, 1)}))
+def count_exactly(tables: dict[str, DataFrame], columns: list[tuple[str, str]]) -> DataFrame:
+    """(model, column_name, cardinality) of the given columns, all tables in one job."""
+    ids = {key: i for i, key in enumerate(columns)}
+    parts = [
+        _digests(tables[m], {c: i for (model, c), i in ids.items() if model == m}) for m in sorted({m for m, _ in ids})
+    ]
+    counted = union_all(parts).distinct().groupBy("_i").agg(F.count(F.lit(1)).alias("_distinct"))
+    spark = next(iter(tables.values())).sparkSession
+    known = small_frame(spark, [(i, m, c) for (m, c), i in ids.items()], "_i int, model string, column_name string")
+    return known.join(counted, "_i", "left").select(
+        "model", "column_name", F.coalesce("_distinct", F.lit(0)).alias("cardinality")
+    )
 
 
 def _digests(df: DataFrame, ids: dict[str, int]) -> DataFrame:
@@ -88,15 +109,6 @@ def _digests(df: DataFrame, ids: dict[str, int]) -> DataFrame:
     return df.selectExpr(f"inline(array({cells}))").filter("_i IS NOT NULL")
 
 
-def _count_distinct(digests: DataFrame) -> DataFrame:
-    return digests.distinct().groupBy("_i").agg(F.count(F.lit(1)).alias("_distinct"))
-
-
-def summarize_all(tables: dict[str, DataFrame], exact: bool = False) -> DataFrame:
-    """Profiles of all tables as one result."""
-    return union_all([summarize(df, model, exact) for model, df in tables.items()])
-
-
 def with_cardinality(profile: DataFrame, exact: DataFrame) -> DataFrame:
     """A profile with its estimates replaced where exact counts (model, column_name, cardinality) are known."""
     known = exact.select("model", "column_name", F.col("cardinality").alias("_exact"))
@@ -123,23 +135,12 @@ def verify_unique(tables: dict[str, DataFrame], profile: DataFrame) -> DataFrame
         .select("model", "column_name", "row_count")
         .collect()
     )
-    spark = profile.sparkSession
+    shape = "model string, column_name string, row_count bigint"
     if not plausible:
-        return small_frame(spark, [], "model string, column_name string, row_count bigint, cardinality bigint")
-    ids = {(r.model, r.column_name): i for i, r in enumerate(plausible)}
-    parts = [
-        _digests(tables[m], {c: i for (model, c), i in ids.items() if model == m}) for m in sorted({m for m, _ in ids})
-    ]
-    counted = _count_distinct(union_all(parts))
-    known = small_frame(
-        spark,
-        [(i, r.model, r.column_name, r.row_count) for i, r in enumerate(plausible)],
-        "_i int, model string, column_name string, row_count bigint",
-    )
-    exact = known.join(counted, "_i").withColumnRenamed("_distinct", "cardinality")
-    return exact.filter(F.col("cardinality") >= F.col("row_count") * UNIQUE_SHARE).select(
-        "model", "column_name", "row_count", "cardinality"
-    )
+        return small_frame(profile.sparkSession, [], f"{shape}, cardinality bigint")
+    exact = count_exactly(tables, [(r.model, r.column_name) for r in plausible])
+    known = small_frame(profile.sparkSession, [tuple(r) for r in plausible], shape)
+    return known.join(exact, ["model", "column_name"]).filter(F.col("cardinality") >= F.col("row_count") * UNIQUE_SHARE)
 
 
 def unique_columns(profile: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -215,17 +215,50 @@ def _connected(relationships: DataFrame) -> DataFrame:
     return relationships.select(F.col("from").alias("model")).union(relationships.select(F.col("to"))).distinct()
 
 
-@dataclass(frozen=True)
 class Model:
-    """The parts of a semantic model as frames of metadata."""
+    """A discovered semantic model.
+
+    Its parts are frames of metadata. Those that need another pass over the tables are computed
+    on first use and then kept.
+    """
 
-    columns: DataFrame
-    relationships: DataFrame
-    roles: DataFrame
-    computed: DataFrame
-    sources: DataFrame
-    isolated_tables: DataFrame
-    isolated_sources: DataFrame
+    def __init__(self, tables, catalog, keyed, relationships, naming, profile) -> None:
+        self.tables: dict[str, DataFrame] = tables
+        self.catalog: DataFrame = catalog
+        self.keyed: DataFrame = keyed
+        self.relationships: DataFrame = relationships
+        self._naming: R.KeyNaming = naming
+        self._profile = profile
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        """Catalog, category and profile of every column."""
+        pattern = r"_(id|key|uuid)$" if not self._naming.own_stem else self._naming.pattern
+        stats = self._profile().drop("ordinal_position")
+        return pin(classify(self.keyed, pattern).join(stats, ["model", "column_name"], "left"))
+
+    @cached_property
+    def roles(self) -> DataFrame:
+        return roles(self.columns)
+
+    @cached_property
+    def computed(self) -> DataFrame:
+        keys: dict[str, set[str]] = {}
+        for model, name in self.keyed.filter("is_primary").select("model", "column_name").collect():
+            keys.setdefault(model, set()).add(name)
+        return pin(computed_columns(self.tables, keys))
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        return C.sources(self.catalog)
+
+    @cached_property
+    def isolated_tables(self) -> DataFrame:
+        return isolated(self.catalog, self.relationships)
+
+    @cached_property
+    def isolated_sources(self) -> DataFrame:
+        return isolated_sources(self.catalog, self.relationships)
 
 
 def generate(
@@ -239,10 +272,10 @@ def generate(
 ) -> Model:
     """Discover the model of the given tables.
 
-    Table rows are touched by one aggregation per table for the profile, one for hinted formulas,
-    one job over the key columns for their distinct counts and inclusion alike, and one exact count
-    of the other columns that look unique. What they return has one row per column or pair and is
-    pinned, so no pass runs twice.
+    Table rows are touched by one job over the key columns, for their distinct counts and inclusion
+    alike, by one aggregation per table for the profile, by one exact count of the other columns
+    that look unique, and by one aggregation for hinted formulas. What they return has one row per
+    column or pair and is pinned, so no pass runs twice.
     """
     catalog = pin(C.discover(C.describe(spark, tables), schemas))
     known = {r[0] for r in catalog.select("model").distinct().collect()}
@@ -251,35 +284,24 @@ def generate(
         raise ValueError("no tables found to build a model from")
     key_columns = R.key_columns(kept, naming)
     measured = R.measure(kept, key_columns, keep_at=work_dir(spark, "key-values")) if key_columns else None
-    profile = P.summarize_all(kept, exact_profile)
-    profile = pin(P.with_cardinality(profile, measured.cardinality()) if measured else profile)
-    if not exact_profile:
-        others = profile.filter(~F.col("column_name").rlike(f"{naming.pattern}|^(?:id|uuid)$"))
-        profile = pin(P.with_cardinality(profile, P.verify_unique(kept, others)))
-    profile = pin(P.mark_unique(profile))
-    keyed = pin(R.primary_keys(catalog, naming, profile.filter("is_unique").select("model", "column_name")))
 
+    @cache
+    def profile() -> DataFrame:
+        found = P.summarize_all(kept, exact_profile)
+        found = pin(P.with_cardinality(found, measured.cardinality()) if measured else found)
+        if not exact_profile:
+            others = found.filter(~F.col("column_name").rlike(f"{naming.pattern}|^(?:id|uuid)$"))
+            found = P.with_cardinality(found, P.verify_unique(kept, others))
+        return pin(P.mark_unique(found))
+
+    unique = profile().filter("is_unique").select("model", "column_name") if naming.own_stem else None
+    keyed = pin(R.primary_keys(catalog, naming, unique))
     passes = [R.inclusion(kept, R.candidates(keyed, naming), measured=measured), R.by_name(keyed)]
     if foreign_keys is not None:
         passes.insert(0, R.by_constraint(keyed, foreign_keys))
     found = R.accepted(R.merge(passes))
     relationships = pin(found if overrides is None else R.apply_overrides(found, overrides))
-
-    stats = profile.drop("ordinal_position")
-    pattern = r"_(id|key|uuid)$" if not naming.own_stem else naming.pattern
-    columns = pin(classify(keyed, pattern).join(stats, ["model", "column_name"], "left"))
-    keys: dict[str, set[str]] = {}
-    for model, name in keyed.filter("is_primary").select("model", "column_name").collect():
-        keys.setdefault(model, set()).add(name)
-    return Model(
-        columns=columns,
-        relationships=relationships,
-        roles=roles(columns),
-        computed=pin(computed_columns(kept, keys)),
-        sources=C.sources(catalog),
-        isolated_tables=isolated(catalog, relationships),
-        isolated_sources=isolated_sources(catalog, relationships),
-    )
+    return Model(kept, catalog, keyed, relationships, naming, profile)
 
 
 def document(model: Model) -> str:

@@ -61,49 +61,51 @@ def schema_of(spark: SparkSession, path: str) -> T.StructType:
     return (read_csv(spark, path, key=False) if path.endswith(".csv") else read_parquet(spark, path)).schema
 
 
-# Characters of a member decoded per row group, which bounds what a task holds at once.
+# Lines a task holds before it hands them on.
 _BATCH_LINES = 4096
 
 
-def archive_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, line_no, line) of every CSV member of ``.tar.gz`` files.
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the ``.tar.gz`` files in a folder."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(path).select("path", "content")
 
-    Archives are compressed as a whole and cannot be split, so each is one task's work; it is
-    streamed from its bytes in batches of lines, and different archives run in parallel.
+
+def archive_lines(archives: DataFrame, first_only: bool = True) -> DataFrame:
+    """(archive, member, line_no, line) of the CSV members of archives given as (path, content).
+
+    An archive is compressed as a whole and cannot be split, so each is one task's work; its lines
+    are streamed out in batches, and different archives run in parallel.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(path).select("path", "content")
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
         import tarfile
 
+        columns = ["archive", "member", "line_no", "line"]
+        held: list[tuple] = []
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
-                    for member in tar:
-                        if not (member.isfile() and member.name.lower().endswith(".csv")):
-                            continue
-                        held: list[tuple] = []
-                        for no, line in enumerate(io.TextIOWrapper(tar.extractfile(member), "utf-8", newline=None)):
+                    members = [m for m in tar.getmembers() if m.isfile() and m.name.lower().endswith(".csv")]
+                    members.sort(key=lambda m: m.name)
+                    for member in members[:1] if first_only else members:
+                        text = io.TextIOWrapper(tar.extractfile(member), "utf-8", newline=None)
+                        for no, line in enumerate(text):
                             held.append((name, member.name, no, line.rstrip("\n")))
                             if len(held) >= _BATCH_LINES:
-                                yield pd.DataFrame(held, columns=["archive", "member", "line_no", "line"])
+                                yield pd.DataFrame(held, columns=columns)
                                 held = []
-                        if held:
-                            yield pd.DataFrame(held, columns=["archive", "member", "line_no", "line"])
+        if held:
+            yield pd.DataFrame(held, columns=columns)
 
-    return files.mapInPandas(lines, "archive string, member string, line_no long, line string")
+    return archives.select("path", "content").mapInPandas(lines, "archive string, member string, line_no long, line string")
 
 
-def read_archives(spark: SparkSession, path: str, schema: str, first_only: bool = True) -> DataFrame:
-    """Rows of the CSV members of archives, parsed by the given schema.
+def read_archives(archives: DataFrame, schema: str, first_only: bool = True) -> DataFrame:
+    """Rows of the CSV members of archives (see ``archive_files``), parsed by the given schema.
 
-    By default only the first CSV member (by name) of each archive is a table, as a single
-    upload has one. The header line is skipped; quoted line breaks are not supported in archives.
+    By default only the first CSV member (by name) of each archive is a table, as a single upload
+    has one. The header line is skipped; quoted line breaks are not supported in archives.
     """
-    lines = archive_lines(spark, path)
-    if first_only:
-        first = lines.filter("line_no = 0").groupBy("archive").agg(F.min("member").alias("member"))
-        lines = lines.join(first, ["archive", "member"], "left_semi")
-    parsed = lines.filter("line_no > 0 AND line != ''").select("archive", "member", F.from_csv("line", schema).alias("r"))
-    return parsed.select("archive", "member", "r.*")
+    lines = archive_lines(archives, first_only).filter("line_no > 0 AND line != ''")
+    return lines.select("archive", "member", F.from_csv("line", schema).alias("r")).select("archive", "member", "r.*")

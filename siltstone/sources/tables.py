@@ -34,9 +34,11 @@ def fetch_size(row_count: int) -> int:
     return next((size for upto, size in FETCH_SIZES if row_count <= upto), FETCH_SIZE_LARGE)
 
 
-def partition_predicates(column: str, low: int, high: int, rows: int, include_null: bool = True) -> list[str]:
+def partition_predicates(
+    column: str, low: int, high: int, rows: int, include_null: bool = True, partition_rows: int = PARTITION_ROWS
+) -> list[str]:
     """WHERE clauses that split a table by ranges of an integer column, each row in exactly one."""
-    parts = max(1, min(-(-rows // PARTITION_ROWS), high - low + 1))
+    parts = max(1, min(-(-rows // partition_rows), high - low + 1))
     edges = [low + (high - low + 1) * i // parts for i in range(1, parts)]
     if not edges:
         clauses = [f"{column} IS NOT NULL"] if not include_null else ["1 = 1"]

@@ -7,7 +7,7 @@ from siltstone.operators import layers as L
 from siltstone.operators import sync as S
 from siltstone.operators import versions as V
 from siltstone.operators.layers import Lake
-from siltstone.session import work_dir
+from siltstone.session import union_all, work_dir
 from siltstone.sources import documents as D
 from siltstone.sources import export, files
 from siltstone.sources import social as P
@@ -150,6 +150,60 @@ def high_water_mark(spark, root):
     return mark.select(F.date_format("high_water_mark", "yyyy-MM-dd HH:mm:ss").alias("high_water_mark"))
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def key_range_scan(spark, root):
+    """A table read in ranges of its key, as a database scan is split; every row comes once."""
+    orders = table(spark, root, "orders")
+    b = orders.agg(F.min("o_orderkey"), F.max("o_orderkey"), F.count(F.lit(1))).first()
+    ranges = TB.partition_predicates("o_orderkey", b[0], b[1], b[2], partition_rows=20_000)
+    parts = [orders.filter(p).select("o_orderkey", "o_custkey", "o_totalprice") for p in ranges]
+    return union_all(parts)
+
+
+@query("""
+SELECT o_orderkey, CAST(o_orderkey // 1000 AS VARCHAR) AS name, o_totalprice FROM orders
+""")
+def archived_orders(spark, root):
+    """Orders packed into one archive per thousand keys, and read back from the archives."""
+    orders = table(spark, root, "orders").select(
+        F.floor(F.col("o_orderkey") / 1000).cast("string").alias("path"),
+        F.concat_ws(",", "o_orderkey", "o_totalprice").alias("line"),
+    )
+
+    def pack(key, rows):
+        import io
+        import tarfile
+
+        import pandas as pd
+
+        data = ("key,price\n" + "\n".join(rows["line"]) + "\n").encode()
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as tar:
+            info = tarfile.TarInfo("orders.csv")
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+        return pd.DataFrame({"path": [key[0]], "content": [out.getvalue()]})
+
+    archives = orders.groupBy("path").applyInPandas(pack, "path string, content binary")
+    rows = files.read_archives(archives, "o_orderkey bigint, o_totalprice double")
+    return rows.select("o_orderkey", F.col("archive").alias("name"), "o_totalprice")
+
+
+@query("""
+SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS c_nationkey, 'replace' AS mode, false AS is_incremental FROM customer
+""")
+def reload_after_change(spark, root):
+    """An increment whose column changed its type cannot be merged and is reloaded in full."""
+    lake = _lake(spark, "reload")
+    customer = table(spark, root, "customer").select("c_custkey", "c_nationkey")
+    S.load(lake, "shop", "customer", customer, ["c_custkey"], incremental=True)
+    changed = customer.withColumn("c_nationkey", F.col("c_nationkey").cast("string"))
+    report = S.load(lake, "shop", "customer", changed, ["c_custkey"], incremental=True)
+    return V.read(spark, lake.bronze("shop", "customer")).withColumns(
+        {"mode": F.lit(report["mode"]), "is_incremental": F.lit(report["is_incremental"])}
+    )
+
+
 @query("SELECT event_id, user_id, value FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
 def cursor_scan(spark, root):
     """Rows above a cursor value; the filter is pushed to the scan."""

@@ -260,6 +260,60 @@ def isolated_tables(spark, root):
     return M.generate(spark, shop(spark, root)).isolated_tables.select("table_schema", "model")
 
 
+NAMED = {
+    ("orders", "customer_id"): "customers", ("order_items", "order_id"): "orders", ("order_items", "product_id"): "products",
+    ("order_items", "supplier_id"): "suppliers", ("customers", "nation_id"): "nations", ("suppliers", "nation_id"): "nations",
+    ("nations", "region_id"): "regions",
+}
+GIVEN = {
+    "orders": "orders", "order_items": "lineitem", "customers": "customer", "suppliers": "supplier", "nations": "nation",
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT 'conn_shop.{t}_{c}__conn_shop.{o}_id_naming' AS name, "
+        f"{'0.8' if c == 'product_id' else '0.85'}::DOUBLE AS confidence, COUNT(*) AS row_count FROM {GIVEN[t]}"
+        for (t, c), o in NAMED.items()
+    )
+)
+def relationships_by_name(spark, root):
+    """What the names alone tell, with the rows of the referring table."""
+    tables = shop(spark, root)
+    found = R.by_name(pin(R.primary_keys(C.describe(spark, tables))))
+    return found.join(L.row_counts(tables), F.col("to") == F.col("model")).select("name", "confidence", "row_count")
+
+
+@query("""
+SELECT l_returnflag, COUNT(*) AS lines, COUNT(DISTINCT p_brand) AS brands FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
+""")
+def reconciled_join(spark, root):
+    """A text reference joined to a numeric key, compared as text."""
+    lines = table(spark, root, "lineitem").select("l_returnflag", F.col("l_partkey").cast("string").alias("product"))
+    part = table(spark, root, "part").select("p_partkey", "p_brand")
+    on = R.join_condition(
+        F.col("product"), lines.schema["product"].dataType, F.col("p_partkey"), part.schema["p_partkey"].dataType
+    )
+    return lines.join(part, on).groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("p_brand").alias("brands")
+    )
+
+
+@query("""
+SELECT 'conn_shop.customers' AS model, COUNT(*) AS row_count FROM customer
+UNION ALL SELECT 'part', COUNT(*) FROM part UNION ALL SELECT 'conn_one.dashboards2', COUNT(*) FROM region
+""")
+def discovered_tables(spark, root):
+    """Business tables among loader, staging and application tables of several schemas."""
+    region, part = table(spark, root, "region"), table(spark, root, "part")
+    tables = {
+        "conn_shop.customers": table(spark, root, "customer"), "conn_shop._dlt_loads": region, "part": part,
+        "conn_shop.orders_staging": part, "conn_app.dashboards": region, "conn_app.otps": region, "conn_app.people": part,
+        "conn_one.dashboards": region, "conn_one.dashboards2": region, "conn_shop_staging.part": part, "sync_runs": region,
+    }
+    return C.discover(C.describe(spark, tables)).select("model").distinct().join(L.row_counts(tables), "model")
+
+
 @query(f"""
 SELECT table_name, column_name, data_type,
   CASE

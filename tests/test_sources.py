@@ -58,10 +58,10 @@ def test_archives(spark, tmp_path):
     archive(tmp_path / "one.tar.gz", {"b.csv": "k,v\n9,z\n", "a.csv": 'k,v\n1,"x, y"\n2,ü\n', "notes.txt": "no"})
     archive(tmp_path / "two.tar.gz", {"dir/c.csv": "k,v\n" + "".join(f"{i},r\n" for i in range(10_000))})
     archive(tmp_path / "none.tar.gz", {"readme.txt": "no"})
-    df = files.read_archives(spark, str(tmp_path), "k int, v string")
+    df = files.read_archives(files.archive_files(spark, str(tmp_path)), "k int, v string")
     assert rows(df.filter(F.col("archive").contains("one")).select("member", "k", "v")) == [("a.csv", 1, "x, y"), ("a.csv", 2, "ü")]
     assert df.filter(F.col("archive").contains("two")).agg(F.count("*"), F.sum("k")).first() == (10_000, 49_995_000)
-    every = files.read_archives(spark, str(tmp_path), "k int, v string", first_only=False)
+    every = files.read_archives(files.archive_files(spark, str(tmp_path)), "k int, v string", first_only=False)
     assert rows(every.groupBy("member").count()) == [("a.csv", 2), ("b.csv", 1), ("dir/c.csv", 10_000)]
 
 

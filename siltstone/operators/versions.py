@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from dataclasses import replace as replaced
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -117,11 +118,15 @@ def high_water(spark: SparkSession, root: str, cursor: str) -> Column | None:
 
 def replace(df: DataFrame, root: str, cursor: str | None = None, mode: str = "replace", batch: str | None = None) -> int:
     """Write ``df`` as the whole new version; an empty one writes nothing. Returns its rows."""
-    spark = df.sparkSession
-    number = _next(latest(spark, root))
+    return _replace(df, root, latest(df.sparkSession, root), cursor, mode, batch)
+
+
+def _replace(df: DataFrame, root: str, v: Version | None, cursor: str | None, mode: str, batch: str | None) -> int:
+    number = _next(v)
     rows, newest = _write(df, root, number, cursor)
     if rows:
-        _commit(spark, root, number, mode, [_name(number)], [], [], rows, rows, 0, df.schema, cursor, newest, batch)
+        new = Version(number, mode, [_name(number)], [], [], rows, rows, 0, df.schema, cursor, newest)
+        _commit(df.sparkSession, root, new, batch)
     return rows
 
 
@@ -133,18 +138,17 @@ def append(df: DataFrame, root: str, cursor: str | None = None, batch: str | Non
     spark = df.sparkSession
     v = latest(spark, root)
     if v is None:
-        return replace(df, root, cursor, "append", batch)
+        return _replace(df, root, None, cursor, "append", batch)
     merged = extend_schema(v.schema, df.schema)
     if v.deltas:
-        v = compact(spark, root)
+        v = compact(spark, root, v)
     number = _next(v)
     rows, newest = _write(align(df, merged), root, number, cursor)
     if rows:
         newest = _raise_mark(spark, root, v, cursor, newest, merged)
-        _commit(
-            spark, root, number, "append", [*v.segments, _name(number)], [], [], rows, v.base_rows + rows, 0, merged,
-            cursor, newest, batch,
-        )
+        segments = [*v.segments, _name(number)]
+        new = Version(number, "append", segments, [], [], rows, v.base_rows + rows, 0, merged, cursor, newest)
+        _commit(spark, root, new, batch)
     return rows
 
 
@@ -157,43 +161,39 @@ def merge_into(
     v = latest(spark, root)
     unique = dedupe(df, key, cursor)
     if v is None:
-        return replace(unique, root, cursor, "merge", batch)
+        return _replace(unique, root, None, cursor, "merge", batch)
     merged = extend_schema(v.schema, df.schema)
     if v.deltas and (v.merge_key != key or v.cursor != cursor):
-        v = compact(spark, root)
+        v = compact(spark, root, v)
     number = _next(v)
     rows, newest = _write(align(unique, merged), root, number, cursor)
     if not rows:
         return 0
     newest = _raise_mark(spark, root, v, cursor, newest, merged)
-    _commit(
-        spark, root, number, "merge", v.segments, [*v.deltas, _name(number)], key, rows, v.base_rows, v.delta_rows + rows,
-        merged, cursor, newest, batch,
-    )
-    if v.delta_rows + rows > compact_share * v.base_rows:
-        compact(spark, root)
-    elif len(v.deltas) + 1 >= MAX_DELTAS:
-        _fold_deltas(spark, root)
+    deltas, changed = [*v.deltas, _name(number)], v.delta_rows + rows
+    new = Version(number, "merge", v.segments, deltas, key, rows, v.base_rows, changed, merged, cursor, newest)
+    _commit(spark, root, new, batch)
+    if new.delta_rows > compact_share * new.base_rows:
+        compact(spark, root, new)
+    elif len(new.deltas) >= MAX_DELTAS:
+        _fold_deltas(spark, root, new)
     return rows
 
 
-def compact(spark: SparkSession, root: str) -> Version:
+def compact(spark: SparkSession, root: str, v: Version | None = None) -> Version:
     """Write base and deltas as one new base."""
-    v = latest(spark, root)
+    v = v or latest(spark, root)
     number = _next(v)
     rows, newest = _write(_read(spark, root, v), root, number, v.cursor)
-    _commit(spark, root, number, "compact", [_name(number)], [], [], 0, rows, 0, v.schema, v.cursor, newest, None)
-    return latest(spark, root)
+    new = Version(number, "compact", [_name(number)], [], [], 0, rows, 0, v.schema, v.cursor, newest)
+    _commit(spark, root, new, None)
+    return new
 
 
-def _fold_deltas(spark: SparkSession, root: str) -> None:
-    v = latest(spark, root)
+def _fold_deltas(spark: SparkSession, root: str, v: Version) -> None:
     number = _next(v)
     rows, _ = _write(_deltas(spark, root, v), root, number, None)
-    _commit(
-        spark, root, number, "fold", v.segments, [_name(number)], v.merge_key, 0, v.base_rows, rows, v.schema, v.cursor,
-        v.high_water, None,
-    )
+    _commit(spark, root, replaced(v, version=number, mode="fold", deltas=[_name(number)], rows=0, delta_rows=rows), None)
 
 
 def _next(v: Version | None) -> int:
@@ -227,15 +227,14 @@ def _raise_mark(
     before = v.high_water
     if v.cursor != cursor and cursor in v.schema.names:
         before = _read(spark, root, v).agg(F.max(cursor).cast("string")).first()[0]
-    both = [F.lit(x).cast(schema[cursor].dataType) for x in (before, newest)]
-    return spark.range(1).select(F.greatest(*both).cast("string")).first()[0]
+    dt = schema[cursor].dataType
+    both = small_frame(spark, [(before, newest)], "a string, b string")
+    return both.select(F.greatest(F.col("a").cast(dt), F.col("b").cast(dt)).cast("string")).first()[0]
 
 
-def _commit(
-    spark, root, number, mode, segments, deltas, key, rows, base_rows, delta_rows, schema, cursor, newest, batch
-) -> None:
-    now = datetime.now(timezone.utc)
+def _commit(spark: SparkSession, root: str, v: Version, batch: str | None) -> None:
     entry = (
-        number, mode, segments, deltas, key, rows, base_rows, delta_rows, schema.json(), cursor, newest, batch, now,
+        v.version, v.mode, v.segments, v.deltas, v.merge_key, v.rows, v.base_rows, v.delta_rows, v.schema.json(), v.cursor,
+        v.high_water, batch, datetime.now(timezone.utc),
     )
     small_frame(spark, [entry], LOG).coalesce(1).write.mode("append").json(f"{root}/_loads")

@@ -83,6 +83,18 @@ def _pass(df: DataFrame, fields: list[T.StructField], offset: int) -> DataFrame:
     return df.selectExpr(*aggregates).selectExpr("row_count", f"inline(array({', '.join(cells)}))")
 
 
+def presence(tables: dict[str, DataFrame]) -> DataFrame:
+    """(model, column_name, row_count, null_percentage): counts only, one pass per table."""
+    parts = []
+    for model, df in tables.items():
+        counts = [f"count({_quoted(c)}) AS n{i}" for i, c in enumerate(df.columns)]
+        cells = ", ".join(f"struct({_text(c)} AS column_name, n{i} AS present)" for i, c in enumerate(df.columns))
+        counted = df.selectExpr("count(1) AS row_count", *counts)
+        parts.append(counted.selectExpr(f"{_text(model)} AS model", "row_count", f"inline(array({cells}))"))
+    empty = "IF(row_count = 0, 0.0D, (row_count - present) / row_count * 100) AS null_percentage"
+    return union_all(parts).selectExpr("model", "column_name", "row_count", empty)
+
+
 def count_exactly(tables: dict[str, DataFrame], columns: list[tuple[str, str]]) -> DataFrame:
     """(model, column_name, cardinality) of the given columns, all tables in one job."""
     ids = {key: i for i, key in enumerate(columns)}

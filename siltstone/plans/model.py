@@ -294,7 +294,7 @@ def generate(
             found = P.with_cardinality(found, P.verify_unique(kept, others))
         return pin(P.mark_unique(found))
 
-    unique = profile().filter("is_unique").select("model", "column_name") if naming.own_stem else None
+    unique = R.unique_keys(kept, measured) if naming.own_stem and measured else None
     keyed = pin(R.primary_keys(catalog, naming, unique))
     passes = [R.inclusion(kept, R.candidates(keyed, naming), measured=measured), R.by_name(keyed)]
     if foreign_keys is not None:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions import names as N
 from siltstone.functions.types import compatible
+from siltstone.operators.profile import presence, unique_columns
 from siltstone.session import pin, small_frame, union_all
 
 RELATIONSHIP = [
@@ -286,6 +287,16 @@ def measure(
     return KeyValues(ids, present.withColumn("id", F.explode("present")))
 
 
+def unique_keys(tables: dict[str, DataFrame], measured: KeyValues) -> DataFrame:
+    """(model, column_name) of the measured columns that hold a value of their own in every row."""
+    columns: dict[str, list[str]] = {}
+    for model, name in measured.ids:
+        columns.setdefault(model, []).append(name)
+    present = presence({m: tables[m].select(*[F.col(f"`{c}`") for c in names]) for m, names in columns.items()})
+    found = unique_columns(present.join(measured.cardinality(), ["model", "column_name"]))
+    return found.select("model", "column_name")
+
+
 def inclusion(
     tables: dict[str, DataFrame],
     pairs: DataFrame,

@@ -48,9 +48,8 @@ def _keyed(spark, root):
     tables = _tables(spark, root, PLAIN)
     columns = R.key_columns(tables, R.PREFIXED_KEYS)
     measured = R.measure(tables, columns, keep_at=work_dir(spark, "key-values"))
-    filled = {m: df.select([c for t, c in columns if t == m]) for m, df in tables.items() if any(t == m for t, _ in columns)}
-    profile = P.with_cardinality(P.summarize_all(filled), measured.cardinality())
-    keyed = pin(R.primary_keys(C.describe(spark, tables), R.PREFIXED_KEYS, P.unique_columns(profile)))
+    unique = R.unique_keys(tables, measured)
+    keyed = pin(R.primary_keys(C.describe(spark, tables), R.PREFIXED_KEYS, unique))
     return tables, keyed, measured
 
 

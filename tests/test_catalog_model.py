@@ -196,3 +196,15 @@ def test_declared_keys_and_overrides_reach_the_model(spark):
         ("mine", None),
         ("orders_buyer__customers_id_fk", "constraint"),
     ]
+
+
+def test_prefixed_keys_without_a_profile(spark):
+    users = spark.range(1, 21).select(F.col("id").alias("u_userkey"))
+    visits = spark.range(1, 61).select(F.col("id").alias("v_visitkey"), (F.col("id") % 20 + 1).alias("v_userkey"))
+    model = M.generate(spark, {"users": users, "visits": visits}, R.PREFIXED_KEYS)
+    assert rows(model.relationships.select("from", "from_column", "to", "to_column")) == [
+        ("users", "u_userkey", "visits", "v_userkey")
+    ]
+    assert {r.column_name: r.category for r in model.columns.collect()} == {
+        "u_userkey": "IDENTIFIER", "v_visitkey": "IDENTIFIER", "v_userkey": "FOREIGN_KEY",
+    }

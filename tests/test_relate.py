@@ -270,3 +270,13 @@ def test_overrides_add_new_names_only(spark):
     model = rel(spark, ("one", "a", "id", "b", "a_id", 0.9))
     over = rel(spark, ("one", "x", "id", "y", "x_id", 1.0), ("two", "x", "id", "y", "x_id", 1.0), (None, "q", "id", "r", "q_id", 1.0))
     assert rows(R.apply_overrides(model, over).select("name", "from")) == [("one", "a"), ("two", "x")]
+
+
+def test_unique_keys_need_every_row(spark):
+    tables = {
+        "a": spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "x_id int, y_id int"),
+        "b": spark.createDataFrame([(1,), (None,)], "x_id int"),
+        "c": spark.createDataFrame([], "x_id int"),
+    }
+    measured = R.measure(tables, R.key_columns(tables))
+    assert rows(R.unique_keys(tables, measured)) == [("a", "x_id")]

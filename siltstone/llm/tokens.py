@@ -201,6 +201,17 @@ def _interleave(ids, counts, more, more_counts, odd) -> tuple[np.ndarray, np.nda
     return out, counts
 
 
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with ``end_id`` after each text's, and the counts with it."""
+    counts = counts + 1
+    last = np.zeros(int(counts.sum()), bool)
+    last[np.cumsum(counts) - 1] = True
+    out = np.empty(len(last), np.uint32)
+    out[last] = end_id
+    out[~last] = ids
+    return out, counts
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a vocabulary file, loaded once."""
     if path not in _ENCODERS:

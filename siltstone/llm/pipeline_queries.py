@@ -1,0 +1,11 @@
+"""The corpus pipeline as a query."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+from siltstone.llm.registry import query
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, root):
+    return corpus_pipeline.run(spark, root)

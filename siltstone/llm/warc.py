@@ -238,7 +238,7 @@ def with_leaders(pages: DataFrame, payload: Column) -> DataFrame:
     return pages.join(others, same, "left").drop("__page", "__digest")
 
 
-def write_archives(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
+def write_archives(spark: SparkSession, pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """A record for every page (page_id, url, html); returns the manifest (path, n_records, n_bytes).
 
     Null html is the empty payload, null urls and ids give records named after nothing. Rows that repeat an id
@@ -250,7 +250,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str) -> DataFr
     led = with_leaders(rows, F.col("html").cast("binary")).select("page_id", "url", "__leader", "html")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, n, size in _files(batches, folder):
+        for name, n, size in _files(batches, folder, file_bytes):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["path", "n_records", "n_bytes"]
             )
@@ -258,8 +258,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str) -> DataFr
     return shared_files.committed(spark, led.mapInArrow(written, "path string, n_records long, n_bytes long"), folder)
 
 
-def _files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[str, int, int]]:
-    """Write all records of a task to files of about ``FILE_BYTES``."""
+def _files(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int) -> Iterator[tuple[str, int, int]]:
+    """Write all records of a task to files of about ``file_bytes``."""
 
     def records() -> Iterator[bytes]:
         for batch in batches:
@@ -272,7 +272,7 @@ def _files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[str
     held: list[bytes] = []
     while True:
         size = sum(map(len, held))
-        while size < SAMPLE_BYTES and (raw := next(left, None)) is not None:
+        while size < min(SAMPLE_BYTES, file_bytes) and (raw := next(left, None)) is not None:
             held.append(raw)
             size += len(raw)
         if not held:
@@ -281,7 +281,7 @@ def _files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[str
         with shared_files.new_file(f"{folder}/archives", ".warc.zst") as (out, name):
             # A record longer than the sample would be the dictionary; its beginning is enough.
             writer = Writer(out, [r[:SAMPLE_BYTES] for r in held])
-            while held or writer.size < FILE_BYTES:
+            while held or writer.size < file_bytes:
                 raw = held.pop(0) if held else next(left, None)
                 if raw is None:
                     break

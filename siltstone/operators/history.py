@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from siltstone.session import small_frame
 
-# How many messages and log rows are shown, and the text for a lost cache.
+# How many messages and log rows are shown unless the caller says.
 MESSAGES = 20
 LOG_ROWS = 50
-NO_CACHE = "No cached data in this deployment yet. Run sync here before exploring tables."
+NO_CACHE = "The last sync succeeded elsewhere: this lake holds none of its tables, so sync the source again."
 
 QUERY_LOG = "source string, sql string, rows bigint, ms bigint, status string, error string, created_at timestamp"
 
 
-def last_n(df: DataFrame, group: str, order: str, n: int = MESSAGES) -> DataFrame:
-    """The last n rows of each group.
+def last_n(df: DataFrame, group: str, order: str | list[str], n: int = MESSAGES) -> DataFrame:
+    """The last n rows of each group by one or more columns; rows equal in all of them are in no order.
 
     Each task first keeps its own last n per group (a window group limit), so at most n rows per
     group and task are shuffled however large a group is.
     """
-    newest = Window.partitionBy(group).orderBy(F.desc(order))
+    columns = [order] if isinstance(order, str) else order
+    newest = Window.partitionBy(group).orderBy(*[F.desc(c) for c in columns])
     return df.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= n).drop("_r")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,6 @@ from siltstone.operators.drift import CHANGES
 from siltstone.operators.drift import check as check_drift
 from siltstone.session import small_frame, union_all
 
-# Row counts that decide how a table is refined.
-VIEW_BELOW = 100_000
-INCREMENTAL_FROM = 1_000_000
-
 
 @dataclass(frozen=True)
 class Lake:
@@ -45,6 +42,7 @@ def write_bronze(lake: Lake, source: str, name: str, df: DataFrame, policy: str
     root = lake.bronze(source, name)
     changes = check_drift(V.schema(df.sparkSession, root), df.schema, name, policy)
     V.replace(df, root)
+    follow(df.sparkSession, lake, source, name)
     return small_frame(df.sparkSession, changes, CHANGES)
 
 
@@ -57,11 +55,44 @@ def read_bronze(
     return df.limit(limit) if limit else df
 
 
-def choose_strategy(rows: int, cursor: str | None) -> str:
-    """view below 100,000 rows, incremental from a million with a cursor, else full."""
-    if rows < VIEW_BELOW:
-        return "view"
-    return "incremental" if rows >= INCREMENTAL_FROM and cursor else "full"
+def choose_strategy(cursor: str | None, key: list[str] | None) -> str:
+    """What is declared of a table decides, never its size: with cursor and key incremental, with one of them full, else a view.
+
+    Every strategy refines the same raw table to the same rows.
+    """
+    if cursor and key:
+        return "incremental"
+    return "full" if cursor or key else "view"
+
+
+def view_name(source: str, name: str) -> str:
+    return f"{source}__{name}"
+
+
+def follow(spark: SparkSession, lake: Lake, source: str, name: str) -> None:
+    """Point the view of a table that is refined as a view to its newest raw rows."""
+    view = view_name(source, name)
+    if spark.catalog.tableExists(view) and V.latest(spark, lake.silver(source, name)) is None:
+        V.read(spark, lake.bronze(source, name)).createOrReplaceTempView(view)
+
+
+def stored_tables(spark: SparkSession, lake: Lake, layer: str, source: str, names: list[str]) -> DataFrame:
+    """Which of the named tables a layer holds, with their newest version and an upper bound of their rows."""
+    found = []
+    for name in names:
+        v = V.latest(spark, getattr(lake, layer)(source, name))
+        if v is not None:
+            found.append((source, name, v.version, v.total_rows))
+    return small_frame(spark, found, "source string, table string, version bigint, rows bigint")
+
+
+def drop(spark: SparkSession, lake: Lake, layer: str, source: str, name: str) -> bool:
+    """Remove a table of a layer with all its versions and, with its last layer, its view. Whether there was one."""
+    there = V.remove(spark, getattr(lake, layer)(source, name))
+    left = [x for x in ("bronze", "silver") if V.latest(spark, getattr(lake, x)(source, name)) is not None]
+    if there and not left:
+        spark.catalog.dropTempView(view_name(source, name))
+    return there
 
 
 def materialize(
@@ -71,22 +102,24 @@ def materialize(
     name: str,
     strategy: str = "auto",
     cursor: str | None = None,
-    on_tie: str = "skip",
+    on_tie: str | None = None,
     key: list[str] | None = None,
 ) -> dict:
     """Refine one raw table and register it as the view ``<source>__<name>``.
 
-    view: nothing is copied. full: the raw table is copied. incremental: only rows above the
-    refined table's newest cursor value are added; rows without a cursor and rows equal to the
-    newest value are skipped. ``on_tie='merge'`` takes equal rows too and merges them by ``key``.
+    auto: see ``choose_strategy``. view: nothing is copied and the view follows the raw table. full: the raw
+    table is copied. incremental with a key: rows from the refined table's newest cursor value on, and rows without
+    a value, are merged by the key, so updates, ties and rows without a cursor arrive; rows deleted from the
+    raw table stay. Without a key only rows above the newest value are added (``on_tie='skip'``).
     """
     bronze, silver = lake.bronze(source, name), lake.silver(source, name)
     raw = V.latest(spark, bronze)
     if raw is None:
         return _report(source, name, "error", error=f"no raw table for {name}")
     if strategy == "auto":
-        strategy = choose_strategy(raw.total_rows, cursor)
-    view = f"{source}__{name}"
+        strategy = choose_strategy(cursor, key)
+    on_tie = on_tie or ("merge" if key else "skip")
+    view = view_name(source, name)
     df = V.read(spark, bronze)
     if strategy == "view":
         df.createOrReplaceTempView(view)
@@ -103,7 +136,7 @@ def materialize(
     elif on_tie == "merge":
         if not key:
             raise ValueError("merging equal cursor values needs a key")
-        rows = V.merge_into(df.filter(F.col(cursor) >= newest), silver, key, cursor)
+        rows = V.merge_into(df.filter((F.col(cursor) >= newest) | F.col(cursor).isNull()), silver, key, cursor)
         kind = "incremental"
     else:
         rows = V.append(df.filter(F.col(cursor) > newest), silver, cursor)
@@ -118,14 +151,24 @@ def _report(source: str, name: str, status: str, kind: str | None = None, rows:
 
 
 def materialize_all(
-    spark: SparkSession, lake: Lake, source: str, names: list[str], cursors: dict[str, str] | None = None, strategy: str = "auto"
+    spark: SparkSession,
+    lake: Lake,
+    source: str,
+    names: list[str],
+    cursors: dict[str, str] | None = None,
+    strategy: str = "auto",
+    keys: dict[str, list[str]] | None = None,
+    at_once: int = 4,
 ) -> DataFrame:
-    """Refine the tables of a source; one report row per table, failures included."""
-    reports = []
-    for name in names:
+    """Refine the tables of a source, ``at_once`` of them together; one report row per table, failures included."""
+
+    def one(name: str) -> dict:
         try:
-            reports.append(materialize(spark, lake, source, name, strategy, (cursors or {}).get(name)))
+            return materialize(spark, lake, source, name, strategy, (cursors or {}).get(name), key=(keys or {}).get(name))
         except Exception as e:  # a broken table must not stop the others
-            reports.append(_report(source, name, "error", error=str(e)))
+            return _report(source, name, "error", error=str(e))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        reports = list(pool.map(one, names))
     rows = [(r["source"], r["table"], r["status"], r["type"], r["rows"], r["error"]) for r in reports]
     return small_frame(spark, rows, "source string, table string, status string, type string, rows bigint, error string")

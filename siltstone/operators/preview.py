@@ -42,8 +42,10 @@ def page(df: DataFrame, order: list[str], limit: int, offset: int = 0, after: tu
         for i in range(len(order)):
             tie = F.lit(True)
             for c, v in zip(order[:i], after[:i]):
-                tie = tie & (F.col(c) == F.lit(v))
-            behind = behind | (tie & (F.col(order[i]) > F.lit(after[i])))
+                tie = tie & F.col(c).eqNullSafe(F.lit(v))
+            # NULLs come first in the order.
+            later = F.col(order[i]).isNotNull() if after[i] is None else F.col(order[i]) > F.lit(after[i])
+            behind = behind | (tie & F.coalesce(later, F.lit(False)))
         df = df.filter(behind)
     ordered = df.orderBy(*order)
     return (ordered.offset(offset) if offset else ordered).limit(limit)

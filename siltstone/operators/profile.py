@@ -10,8 +10,6 @@ from siltstone.session import small_frame, union_all
 
 # Fixed value: distinct values per row of a unique column.
 UNIQUE_SHARE = 0.99
-# Estimates below this share of the rows are out of a sketch's reach of that (5 % deviation).
-_PLAUSIBLE = 0.75
 _CHUNK = 100
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 
@@ -136,23 +134,19 @@ def mark_unique(profile: DataFrame) -> DataFrame:
 
 
 def verify_unique(tables: dict[str, DataFrame], profile: DataFrame) -> DataFrame:
-    """Unique columns of a sketched profile, confirmed by exact counts.
+    """Exact distinct counts (model, column_name, row_count, cardinality) of every column that could be unique.
 
-    A sketch is off by a few percent, so it only rules columns out: those without NULLs whose
-    estimate comes near the row count are counted exactly, all tables in one job.
+    Those are all without NULLs, of tables with rows; no estimate decides. All tables are counted in one job,
+    and every count is returned, whether it confirms the column or not. Values are told apart by 96-bit digests.
     """
-    plausible = (
-        profile.filter((F.col("null_percentage") == 0) & (F.col("cardinality") >= F.col("row_count") * _PLAUSIBLE))
-        .filter(F.col("row_count") > 0)
-        .select("model", "column_name", "row_count")
-        .collect()
-    )
+    full = profile.filter((F.col("null_percentage") == 0) & (F.col("row_count") > 0))
+    columns = full.select("model", "column_name", "row_count").collect()
     shape = "model string, column_name string, row_count bigint"
-    if not plausible:
+    if not columns:
         return small_frame(profile.sparkSession, [], f"{shape}, cardinality bigint")
-    exact = count_exactly(tables, [(r.model, r.column_name) for r in plausible])
-    known = small_frame(profile.sparkSession, [tuple(r) for r in plausible], shape)
-    return known.join(exact, ["model", "column_name"]).filter(F.col("cardinality") >= F.col("row_count") * UNIQUE_SHARE)
+    exact = count_exactly(tables, [(r.model, r.column_name) for r in columns])
+    known = small_frame(profile.sparkSession, [tuple(r) for r in columns], shape)
+    return known.join(exact, ["model", "column_name"])
 
 
 def unique_columns(profile: DataFrame) -> DataFrame:

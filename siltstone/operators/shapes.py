@@ -126,6 +126,12 @@ def progress(value: Column, target: Column) -> Column:
     return F.least(value / target * 100, F.lit(100.0))
 
 
+def _listed(value: Column, known: list) -> Column:
+    """The value, or an error where it has no column to go to (NULL has none either)."""
+    missing = F.raise_error(F.concat(F.lit("no column is given for "), F.coalesce(value.cast("string"), F.lit("NULL"))))
+    return F.when(value.isin(known), value).otherwise(missing)
+
+
 def heatmap(
     df: DataFrame, ts: str, value: Column, hours: list[int] | None = None, scale: float = 100.0
 ) -> DataFrame:
@@ -135,7 +141,7 @@ def heatmap(
     """
     hours = list(range(24)) if hours is None else hours
     cells = (
-        df.select((F.weekday(ts) + 1).alias("weekday"), F.hour(ts).alias("_hour"), "*")
+        df.select((F.weekday(ts) + 1).alias("weekday"), _listed(F.hour(ts), hours).alias("_hour"), "*")
         .groupBy("weekday")
         .pivot("_hour", hours)
         .agg((value / scale).cast("double"))
@@ -144,8 +150,9 @@ def heatmap(
 
 
 def series(df: DataFrame, index: Column, index_name: str, category: str, categories: list[str], value: Column) -> DataFrame:
-    """Index column plus one value column per given category."""
-    return df.groupBy(index.alias(index_name)).pivot(category, categories).agg(value.cast("double"))
+    """Index column plus one value column per given category; a category that is not given raises."""
+    known = df.withColumn(category, _listed(F.col(category), categories))
+    return known.groupBy(index.alias(index_name)).pivot(category, categories).agg(value.cast("double"))
 
 
 def treemap(df: DataFrame, levels: list[str], value: Column) -> DataFrame:

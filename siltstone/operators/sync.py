@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from siltstone.operators import drift
 from siltstone.operators import versions as V
-from siltstone.operators.layers import Lake
+from siltstone.operators.layers import Lake, follow
 from siltstone.session import small_frame
 
 # Names of cursor columns in order of preference, and the first cursor value.
@@ -25,8 +25,24 @@ REPORT = (
 
 
 def since(df: DataFrame, cursor: str, last: Column | None) -> DataFrame:
-    """Rows above the last cursor value, and rows that have none."""
-    return df if last is None else df.filter((F.col(cursor) > last) | F.col(cursor).isNull())
+    """Rows from the last cursor value on, and rows that have none.
+
+    Rows equal to the last value are taken again, as some may have arrived later; the merge, or ``unseen``
+    where there is no key, leaves those out that are already there.
+    """
+    return df if last is None else df.filter((F.col(cursor) >= last) | F.col(cursor).isNull())
+
+
+def unseen(df: DataFrame, stored: DataFrame | None, cursor: str, last: Column | None) -> DataFrame:
+    """Of the rows ``since`` a cursor value those that are not stored yet, copies counted.
+
+    Only the edge (rows equal to the value and rows without one) is compared with the stored edge.
+    """
+    if stored is None or last is None or not set(df.columns) <= set(stored.columns):
+        return df
+    on_edge = F.col(cursor).isNull() | (F.col(cursor) == last)
+    kept = stored.filter(on_edge).select(*[F.col(f"`{c}`") for c in df.columns])
+    return df.filter(F.col(cursor) > last).unionByName(df.filter(on_edge).exceptAll(kept))
 
 
 def load(
@@ -43,8 +59,8 @@ def load(
 ) -> dict:
     """Load a source table into the raw layer and report on it.
 
-    A full load replaces the table. An incremental one takes the rows above the newest cursor
-    value and those without a value, and merges them by key, or appends them if there is no key
+    A full load replaces the table. An incremental one takes the rows from the newest cursor
+    value on and those without a value, and merges them by key, or appends those not stored yet if there is no key
     (``id`` is the key when none is given). ``df`` is the whole source: the cursor filter is
     applied here and reaches its scan, and an increment that cannot be applied is reloaded in full
     from it, which the report shows as not incremental.
@@ -65,7 +81,11 @@ def load(
             if cursor and last is None and initial is not None:
                 last = F.lit(initial).cast(df.schema[cursor].dataType)
             fresh = since(df, cursor, last) if cursor else df
-            rows = V.merge_into(fresh, root, keys, cursor) if keys else V.append(fresh, root, cursor)
+            if keys:
+                rows = V.merge_into(fresh, root, keys, cursor)
+            else:
+                stored = V.read(spark, root) if V.latest(spark, root) else None
+                rows = V.append(unseen(fresh, stored, cursor, last) if cursor else fresh, root, cursor)
     except drift.SchemaFrozen as e:
         rows, report = 0, {**report, "status": "failed", "error": str(e)}
     except (AnalysisException, TypeError) as e:
@@ -74,6 +94,8 @@ def load(
         else:
             rows = V.replace(df, root, cursor)
             report |= {"mode": "replace", "is_incremental": False}
+    if V.latest(spark, root) is not None:
+        follow(spark, lake, source, name)
     return {
         "error": None,
         **report,

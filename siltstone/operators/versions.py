@@ -67,6 +67,8 @@ def latest(spark: SparkSession, root: str) -> Version | None:
     if not path_exists(spark, f"{root}/_loads"):
         return None
     r = spark.read.schema(LOG).json(f"{root}/_loads").orderBy(F.desc("version")).first()
+    if r is None:  # a first load that was broken off before its commit
+        return None
     schema = T.StructType.fromJson(json.loads(r.schema_json))
     return Version(
         r.version, r.mode, r.segments, r.deltas, r.merge_key, r.rows, r.base_rows, r.delta_rows, schema, r.cursor, r.high_water
@@ -97,6 +99,31 @@ def _deltas(spark: SparkSession, root: str, v: Version) -> DataFrame:
     return fold([spark.read.schema(v.schema).parquet(p) for p in _paths(root, v.deltas)], v.merge_key, v.cursor)
 
 
+def remove(spark: SparkSession, root: str) -> bool:
+    """Delete a stored table with its log; readers of it fail from then on. Whether there was one."""
+    there = path_exists(spark, root)
+    if there:
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return there
+
+
+def clean(spark: SparkSession, root: str) -> list[str]:
+    """Delete the folders that the newest version does not name and return their names.
+
+    Call it when no reader of an older version and no load is under way.
+    """
+    v = latest(spark, root)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/data")
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if v is None or not system.exists(at):
+        return []
+    gone = [s.getPath() for s in system.listStatus(at) if s.getPath().getName() not in {*v.segments, *v.deltas}]
+    for path in gone:
+        system.delete(path, True)
+    return sorted(p.getName() for p in gone)
+
+
 def has_batch(spark: SparkSession, root: str, batch: str) -> bool:
     """Whether a micro-batch is already in the log."""
     return not log(spark, root).filter(F.col("batch") == batch).isEmpty()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.quantiles import exact_median
 
-# Rolling ranges in days, the display labels they go by, and the widget limit.
+# Rolling ranges in days and the display labels they go by.
 RANGE_DAYS = {"7d": 7, "14d": 14, "30d": 30, "90d": 90, "365d": 365}
 RANGE_LABELS = {
     "Last 7 Days": "7d",
@@ -24,7 +24,6 @@ RANGE_LABELS = {
     "Custom Range": "custom",
     "All time": "all",
 }
-WIDGET_LIMIT = 50
 
 
 @dataclass(frozen=True)
@@ -53,6 +52,7 @@ class Visualization:
     metrics: list[str]
     breakdown: str | None = None
     title: str | None = None
+    limit: int | None = None
 
 
 @dataclass(frozen=True)
@@ -80,18 +80,17 @@ def date_range(df: DataFrame, time: TimeRange) -> DataFrame:
         if not bounds:
             raise ValueError("a custom range needs a start or an end")
         return df.filter(reduce(lambda a, b: a & b, bounds))
-    if time.anchor:
-        anchor = _moment(df, time, time.anchor)
-    else:
-        anchor = df.agg(F.max(time.column)).scalar()
     if kind in RANGE_DAYS:
-        since = anchor - F.make_dt_interval(days=F.lit(RANGE_DAYS[kind]))
+        first = lambda anchor: anchor - F.make_dt_interval(days=F.lit(RANGE_DAYS[kind]))
     elif kind in ("mtd", "ytd"):
-        since = F.date_trunc("month" if kind == "mtd" else "year", anchor)
+        first = lambda anchor: F.date_trunc("month" if kind == "mtd" else "year", anchor)
     else:
         raise ValueError(f"unknown time range: {time.range}")
-    # The newest row needs no upper bound.
-    return df.filter((ts >= since) & (ts <= anchor)) if time.anchor else df.filter(ts >= since)
+    if time.anchor:
+        anchor = _moment(df, time, time.anchor)
+        return df.filter((ts >= first(anchor)) & (ts <= anchor))
+    # The whole bound is the subquery's, so that the scan gets a plain comparison; the newest row needs no upper one.
+    return df.filter(ts >= df.agg(first(F.max(time.column)).cast(df.schema[time.column].dataType)).scalar())
 
 
 def _moment(df: DataFrame, time: TimeRange, text: str) -> Column:
@@ -121,22 +120,23 @@ def query(
     if plain:
         if len(plain) < len(metrics):
             raise ValueError("a metric without aggregation cannot stand beside aggregated ones")
-        return rows.select(*keys, *[F.expr(m.column).alias(m.name) for m in plain]).limit(limit or WIDGET_LIMIT)
+        return rows.select(*keys, *[F.expr(m.column).alias(m.name) for m in plain]).limit(limit) if limit else rows.select(
+            *keys, *[F.expr(m.column).alias(m.name) for m in plain]
+        )
 
+    # All rows decide which groups there are; a median may have nothing to say about some.
     aggregated = [m for m in metrics if m.aggregation != "median"]
-    result = None
-    if aggregated:
-        result = rows.groupBy(*keys).agg(*[_aggregate(m).alias(m.name) for m in aggregated])
-        shares = [m for m in aggregated if m.aggregation == "percentage"]
-        if shares:
-            totals = {m.name: result.agg(F.sum(m.name)).scalar() for m in shares}
-            result = result.withColumns(
-                {name: F.col(name).cast("double") / total.cast("double") * 100 for name, total in totals.items()}
-            )
+    result = rows.groupBy(*keys).agg(*[_aggregate(m).alias(m.name) for m in aggregated] or [F.count(F.lit(1)).alias("_rows")])
+    shares = [m for m in aggregated if m.aggregation == "percentage"]
+    if shares:
+        totals = {m.name: result.agg(F.sum(m.name)).scalar() for m in shares}
+        result = result.withColumns(
+            {name: F.col(name).cast("double") / total.cast("double") * 100 for name, total in totals.items()}
+        )
     for m in metrics:
         if m.aggregation == "median":
             middle = exact_median(rows, keys, F.expr(m.column), m.name)
-            result = middle if result is None else _beside(result, middle, keys)
+            result = _beside(result, middle, keys)
     result = result.select(*keys, *[m.name for m in metrics])
     if limit is not None:
         first = F.col(metrics[0].name)
@@ -180,7 +180,7 @@ def dashboard(df: DataFrame, plan: DashboardPlan) -> dict[str, DataFrame]:
     """One lazy result per visualization of a plan, keyed by its title.
 
     Single-value kinds that share no breakdown are one aggregation each over the same filtered
-    rows; the caller decides what to run.
+    rows; the caller decides what to run. Only a limit that a visualization states cuts its rows.
     """
     by_name = {m.name: m for m in plan.metrics}
     single = {"number", "metric", "kpi", "stat", "gauge"}
@@ -196,7 +196,7 @@ def dashboard(df: DataFrame, plan: DashboardPlan) -> dict[str, DataFrame]:
             None if viz.kind in single else viz.breakdown,
             plan.filters,
             plan.time,
-            limit=None if viz.kind in single or not viz.breakdown else WIDGET_LIMIT,
+            limit=None if viz.kind in single or not viz.breakdown else viz.limit,
         )
     return results
 

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from siltstone.operators.history import log_query
 
-DEFAULT_LIMIT = 1000
-MAX_LIMIT = 5000
-
 
 def register(tables: dict[str, DataFrame]) -> None:
     """Make tables known to SQL; ``source.table`` becomes ``source__table``."""
@@ -27,12 +24,12 @@ def run(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = No
 
 
 def limited(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """A result for display: 1000 rows unless a limit is given, never more than 5000."""
-    return df.limit(min(DEFAULT_LIMIT if limit is None else limit, MAX_LIMIT))
+    """A result cut to a limit if one is given; nothing else cuts it."""
+    return df if limit is None else df.limit(limit)
 
 
 def run_logged(spark: SparkSession, source: str, text: str, log_path: str, out_path: str, limit: int | None = None) -> DataFrame:
-    """Run a statement, keep its limited result as Parquet and log rows, time and status.
+    """Run a statement, keep its result (cut only by a given limit) as Parquet and log rows, time and status.
 
     Rows are counted while they are written, so the statement runs once.
     """

@@ -41,9 +41,10 @@ def normalize(posts: DataFrame, platform: str = "platform", payload: str = "payl
     )
     wrapped = (F.col("platform") != "linkedin") & F.col("o.data").isNotNull()
     inner = outer.withColumn("i", F.when(wrapped, F.from_json("o.data", _fields(FIELDS))).otherwise(F.col("o").dropFields("data")))
+    inner = inner.withColumn("_source", F.when(wrapped, F.col("o.data")).otherwise(F.col("raw")))
     stats = (
         F.when(F.col("platform") == "linkedin", F.col("o.metrics"))
-        .when(F.col("platform") == "x", F.coalesce(_filled("i.public_metrics"), F.col("o.metrics")))
+        .when(F.col("platform") == "x", F.coalesce(_filled("public_metrics"), F.col("o.metrics")))
     )
     names = sorted({f for fields in METRIC_FIELDS.values() for f in fields.values()} | set(METRICS))
     parsed = inner.withColumn("_stats", stats).withColumn("s", F.from_json("_stats", _fields(names)))
@@ -63,16 +64,18 @@ def normalize(posts: DataFrame, platform: str = "platform", payload: str = "payl
         return F.coalesce(_whole(text), F.lit(0)).cast("long").alias(m)
 
     def text(part: str) -> Column:
-        first = {p: F.coalesce(*[_filled(f"i.{f}") for f in fields[part]]) for p, fields in TEXT_FIELDS.items()}
+        first = {p: F.coalesce(*[_filled(f) for f in fields[part]]) for p, fields in TEXT_FIELDS.items()}
         return F.coalesce(_per_platform(first), F.lit("")).alias(part)
 
+    # An id is taken as it stands, a zero too; where two fields can hold it the first that says something counts.
+    ids = {"linkedin": F.coalesce(_filled("id"), F.col("i.urn")), "reddit": F.col("i.id"), "x": F.col("i.id")}
     nothing = F.array().cast("array<string>")
     listed = F.from_json("o.media", "array<struct<url: string>>")
     urls = F.filter(F.transform(listed, lambda e: e["url"]), lambda u: u.isNotNull() & (u != ""))
-    media = {"linkedin": urls, "reddit": F.array_compact(F.array(_filled("i.url"))), "x": nothing}
+    media = {"linkedin": urls, "reddit": F.array_compact(F.array(_filled("url"))), "x": nothing}
     return parsed.select(
         "platform",
-        text("id").alias("external_id"),
+        F.coalesce(_per_platform(ids), F.lit("")).alias("external_id"),
         text("content"),
         F.coalesce(_per_platform(media), nothing).alias("media_urls"),
         F.struct(*[metric(m) for m in METRICS]).alias("metrics"),
@@ -94,10 +97,16 @@ def rejects(posts: DataFrame, platform: str = "platform") -> DataFrame:
     return posts.filter(~F.coalesce(F.lower(platform).isin(PLATFORMS), F.lit(False)))
 
 
-def _filled(field: str) -> Column:
-    """The field as text, or NULL where it is missing, empty, zero or false."""
-    v = F.col(field)
-    return F.when(~v.isin("", "0", "false", "{}", "[]"), v)
+def _filled(name: str) -> Column:
+    """A field of the post as text, or NULL where it is missing, an empty text, or zero, false, {} or [] as such.
+
+    Texts like "0" or "false" are kept; only for these few is the JSON looked at again.
+    """
+    v = F.col(f"i.{name}")
+    field = F.try_variant_get(F.try_parse_json("_source"), f"$.{name}", "variant")
+    is_text = F.coalesce(F.schema_of_variant(field) == "STRING", F.lit(False))
+    empty = F.when(v.isin("0", "0.0", "-0", "false", "{}", "[]"), ~is_text).otherwise(v == "")
+    return F.when(~empty, v)
 
 
 def _whole(text: Column) -> Column:

@@ -95,9 +95,21 @@ def recent_orders(spark, root):
 
 
 @query("""
-WITH k AS (
-  SELECT SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM orders WHERE o_orderstatus != 'F')
-SELECT 'kpis' AS widget, 'total_revenue' AS label, CAST(v AS DOUBLE) AS value FROM k
+WITH kept AS (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders WHERE o_orderstatus != 'F'),
+k AS (SELECT CAST(SUM(v) AS DOUBLE) AS v, ROUND(CAST(SUM(v) AS DOUBLE) / COUNT(v), 2) AS a FROM kept)
+SELECT 'kpis' AS widget, 'total_revenue' AS label, v AS value FROM k
+UNION ALL SELECT 'kpis', 'avg_order_value', a FROM k
+UNION ALL SELECT 'kpis', 'total_orders', CAST(COUNT(*) AS DOUBLE) FROM orders
+UNION ALL SELECT 'kpis', 'total_customers', CAST(COUNT(*) AS DOUBLE) FROM customer
+UNION ALL
+SELECT 'revenue_trend', strftime(date_trunc('month', o_orderdate), '%b %Y'), CAST(SUM(v) AS DOUBLE) FROM kept
+GROUP BY date_trunc('month', o_orderdate)
+UNION ALL
+SELECT * FROM (SELECT 'top_customers', c_name, CAST(SUM(v) AS DOUBLE) AS r FROM kept JOIN customer ON o_custkey = c_custkey
+GROUP BY c_name ORDER BY r DESC, c_name LIMIT 10)
+UNION ALL
+SELECT * FROM (SELECT 'recent_orders', c_name, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) FROM orders JOIN customer ON o_custkey = c_custkey
+ORDER BY o_orderdate DESC, o_orderkey LIMIT 15)
 UNION ALL
 SELECT 'orders_by_status', o_orderstatus, CAST(COUNT(*) AS DOUBLE) FROM orders GROUP BY 2
 UNION ALL
@@ -107,18 +119,18 @@ UNION ALL
 SELECT 'customers_by_region', c_mktsegment, CAST(COUNT(*) AS DOUBLE) FROM customer GROUP BY 2
 """)
 def command_center(spark, root):
-    """Four widgets of the dashboard brought into one (widget, label, value) result."""
+    """All seven widgets of the dashboard brought into one (widget, label, value) result."""
     w = d.command_center(table(spark, root, "orders"), table(spark, root, "customer"), ORDERS)
-    parts = [
-        w["kpis"].select(F.lit("total_revenue").alias("label"), F.col("total_revenue").alias("value")),
-        w["orders_by_status"].toDF("label", "value"),
-        w["revenue_by_payment"].toDF("label", "value"),
-        w["customers_by_region"].toDF("label", "value"),
-    ]
-    names = ["kpis", "orders_by_status", "revenue_by_payment", "customers_by_region"]
+    kpis = w["kpis"].select([F.col(c).cast("double").alias(c) for c in w["kpis"].columns])
+    parts = {
+        "kpis": kpis.unpivot([], kpis.columns, "label", "value"),
+        "top_customers": w["top_customers"].select("customer", "revenue"),
+        "recent_orders": w["recent_orders"].select("customer", "amount"),
+        **{n: w[n] for n in ("revenue_trend", "orders_by_status", "revenue_by_payment", "customers_by_region")},
+    }
     tagged = [
-        p.select(F.lit(n).alias("widget"), "label", F.col("value").cast("double").alias("value"))
-        for n, p in zip(names, parts)
+        p.toDF("label", "value").select(F.lit(n).alias("widget"), "label", F.col("value").cast("double").alias("value"))
+        for n, p in parts.items()
     ]
     result = tagged[0]
     for t in tagged[1:]:

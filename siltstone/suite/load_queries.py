@@ -109,22 +109,100 @@ def bronze_columns(spark, root):
 
 
 @query("""
-SELECT 'lineitem' AS table, 'success' AS status,
-       CASE WHEN COUNT(*) < 100000 THEN 'view' ELSE 'table' END AS type,
-       CASE WHEN COUNT(*) < 100000 THEN 0 ELSE COUNT(*) END AS rows FROM lineitem
-UNION ALL SELECT 'part', 'success', CASE WHEN COUNT(*) < 100000 THEN 'view' ELSE 'table' END,
-       CASE WHEN COUNT(*) < 100000 THEN 0 ELSE COUNT(*) END FROM part
+SELECT 'orders' AS table, 'success' AS status, 'incremental' AS type,
+       COUNT(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1999-07-01' OR o_orderdate >= m) AS rows
+FROM orders, (SELECT MAX(o_orderdate) AS m FROM orders WHERE o_orderdate < TIMESTAMP '1999-07-01')
+UNION ALL SELECT 'part', 'success', 'table', COUNT(*) FROM part
+UNION ALL SELECT 'lineitem', 'success', 'view', 0
 UNION ALL SELECT 'missing', 'error', NULL, 0
 """)
 def materialize_all(spark, root):
-    """Strategy by row count for every raw table of a source; one of them does not exist."""
+    """All three strategies, by what is declared of each raw table of a source; one of them does not exist."""
     lake = _lake(spark, "silver")
+    orders = table(spark, root, "orders")
+    L.write_bronze(lake, "shop", "orders", orders.filter(F.col("o_orderdate") < F.lit("1999-07-01").cast("timestamp_ntz")))
     for name in ("lineitem", "part"):
         L.write_bronze(lake, "shop", name, table(spark, root, name))
-    report = L.materialize_all(spark, lake, "shop", ["lineitem", "part", "missing"])
+    cursors, keys = {"orders": "o_orderdate"}, {"orders": ["o_orderkey"], "part": ["p_partkey"]}
+    L.materialize_all(spark, lake, "shop", ["orders"], cursors, keys=keys)
+    L.write_bronze(lake, "shop", "orders", orders)
+    report = L.materialize_all(spark, lake, "shop", ["orders", "lineitem", "part", "missing"], cursors, keys=keys)
     return report.select("table", "status", "type", "rows")
 
 
+@query("""
+WITH f AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS moved_at,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM orders)
+SELECT s.strategy, o_orderkey, strftime(moved_at, '%Y-%m-%d %H:%M:%S') AS moved_at, state
+FROM f, (VALUES ('full'), ('incremental')) s(strategy)
+""")
+def silver_updates(spark, root):
+    """After updated, added, tied and undated rows a full and an incremental refresh hold the same rows."""
+    lake = _lake(spark, "updates")
+    shown = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("moved_at")
+    orders = table(spark, root, "orders").select("o_orderkey", shown)
+    newest = F.lit("2002-01-01").cast("timestamp_ntz")
+    first = orders.filter("o_orderkey % 5 != 0").withColumn("state", F.lit("old"))
+    # The update of a row moves its cursor on; it is shown again by its date at the end.
+    later = F.when(F.col("o_orderkey") % 3 == 0, "new").otherwise("old")
+    moved = F.when(((F.col("o_orderkey") % 3 == 0) | (F.col("o_orderkey") % 5 == 0)) & F.col("moved_at").isNotNull(), newest)
+    second = orders.select("o_orderkey", F.coalesce(moved, "moved_at").alias("moved_at"), later.alias("state"))
+    results = []
+    for strategy in ("full", "incremental"):
+        name = f"orders_{strategy}"
+        for rows in (first, second):
+            L.write_bronze(lake, "shop", name, rows)
+            L.materialize(spark, lake, "shop", name, strategy, "moved_at", key=["o_orderkey"])
+        results.append(V.read(spark, lake.silver("shop", name)).select(F.lit(strategy).alias("strategy"), "o_orderkey", "state"))
+    return _text_date(union_all(results).join(orders, "o_orderkey").select("strategy", "o_orderkey", "moved_at", "state"), "moved_at")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def view_follows(spark, root):
+    """A table refined as a view shows the raw rows of the second write."""
+    lake = _lake(spark, "follows")
+    orders = table(spark, root, "orders").select("o_orderkey", "o_totalprice")
+    L.write_bronze(lake, "shop", "followed", orders.filter("o_orderkey < 100"))
+    L.materialize(spark, lake, "shop", "followed")
+    L.write_bronze(lake, "shop", "followed", orders)
+    return spark.table("shop__followed")
+
+
+@query("""
+SELECT 'customer' AS table, CAST(2 AS BIGINT) AS version, COUNT(*) AS rows FROM customer
+UNION ALL SELECT 'supplier', 1, COUNT(*) FROM supplier
+""")
+def stored_tables(spark, root):
+    """What a lake holds after one table was written twice, one once and one dropped."""
+    lake = _lake(spark, "stored")
+    names = ["customer", "supplier", "nation"]
+    for name in [*names, "customer"]:
+        L.write_bronze(lake, "shop", name, table(spark, root, name))
+    L.drop(spark, lake, "bronze", "shop", "nation")
+    V.clean(spark, lake.bronze("shop", "customer"))
+    stored = L.stored_tables(spark, lake, "bronze", "shop", names)
+    counts = {n: V.read(spark, lake.bronze("shop", n)).count() for n in ("customer", "supplier")}
+    actual = F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("table"))
+    return stored.select("table", "version", F.when(F.col("rows") == actual, F.col("rows")).alias("rows"))
+
+
+@query("""
+WITH f AS (SELECT event_id, user_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END AS ts FROM events)
+SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM f
+""")
+def append_without_key(spark, root):
+    """Three loads by a cursor alone: rows without a value, rows tied with the newest and repeats come once."""
+    lake = _lake(spark, "append")
+    shown = F.when(F.col("event_id") % 11 != 0, F.col("ts")).alias("ts")
+    events = table(spark, root, "events").select("event_id", "user_id", shown)
+    half = F.lit("2024-01-15").cast("timestamp_ntz")
+    early = events.filter((F.col("ts") < half) | F.col("ts").isNull())
+    for rows in (early, events, events):
+        S.load(lake, "app", "events", rows, cursor="ts", incremental=True)
+    return _text_date(V.read(spark, lake.bronze("app", "events")), "ts")
+
+
 @query("""
 SELECT 'orders' AS table_name, c AS column_name, k AS change_type, o AS old_type, n AS new_type, r AS requires_review,
        (SELECT COUNT(*) FROM orders) AS row_count
@@ -150,24 +228,21 @@ def high_water_mark(spark, root):
     return mark.select(F.date_format("high_water_mark", "yyyy-MM-dd HH:mm:ss").alias("high_water_mark"))
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
-def key_range_scan(spark, root):
-    """A table read in ranges of its key, as a database scan is split; every row comes once."""
-    orders = table(spark, root, "orders")
-    b = orders.agg(F.min("o_orderkey"), F.max("o_orderkey"), F.count(F.lit(1))).first()
-    ranges = TB.partition_predicates("o_orderkey", b[0], b[1], b[2], partition_rows=20_000)
-    parts = [orders.filter(p).select("o_orderkey", "o_custkey", "o_totalprice") for p in ranges]
-    return union_all(parts)
-
-
 @query("""
-SELECT o_orderkey, CAST(o_orderkey // 1000 AS VARCHAR) AS name, o_totalprice FROM orders
+SELECT CAST(o_orderkey // 1000 AS VARCHAR) || '.tar.gz' AS archive,
+       CASE o_orderkey % 3 WHEN 0 THEN 'a.csv' WHEN 1 THEN 'b/c.csv' ELSE 'd.parquet' END AS member,
+       o_orderkey, o_totalprice, o_orderpriority || chr(10) || '"x", y' AS note
+FROM orders
 """)
 def archived_orders(spark, root):
-    """Orders packed into one archive per thousand keys, and read back from the archives."""
+    """Orders written to an archive per thousand keys, each with two CSV members and one of Parquet, and read back."""
+    folder = work_dir(spark, "archives")
     orders = table(spark, root, "orders").select(
-        F.floor(F.col("o_orderkey") / 1000).cast("string").alias("path"),
-        F.concat_ws(",", "o_orderkey", "o_totalprice").alias("line"),
+        F.floor(F.col("o_orderkey") / 1000).cast("string").alias("name"),
+        (F.col("o_orderkey") % 3).alias("part"),
+        "o_orderkey",
+        "o_totalprice",
+        F.concat("o_orderpriority", F.lit('\n"x", y')).alias("note"),
     )
 
     def pack(key, rows):
@@ -175,18 +250,25 @@ def archived_orders(spark, root):
         import tarfile
 
         import pandas as pd
+        from pyarrow import fs
 
-        data = ("key,price\n" + "\n".join(rows["line"]) + "\n").encode()
         out = io.BytesIO()
         with tarfile.open(fileobj=out, mode="w:gz") as tar:
-            info = tarfile.TarInfo("orders.csv")
-            info.size = len(data)
-            tar.addfile(info, io.BytesIO(data))
-        return pd.DataFrame({"path": [key[0]], "content": [out.getvalue()]})
-
-    archives = orders.groupBy("path").applyInPandas(pack, "path string, content binary")
-    rows = files.read_archives(archives, "o_orderkey bigint, o_totalprice double")
-    return rows.select("o_orderkey", F.col("archive").alias("name"), "o_totalprice")
+            for part, member in enumerate(("a.csv", "b/c.csv", "d.parquet")):
+                own = rows[rows["part"] == part][["o_orderkey", "o_totalprice", "note"]]
+                data = own.to_parquet(index=False) if part == 2 else own.to_csv(index=False).encode()
+                info = tarfile.TarInfo(member)
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+        system, at = fs.FileSystem.from_uri(folder)
+        system.create_dir(at, recursive=True)
+        with system.open_output_stream(f"{at}/{key[0]}.tar.gz", compression=None) as f:
+            f.write(out.getvalue())
+        return pd.DataFrame({"name": [key[0]]})
+
+    orders.groupBy("name").applyInPandas(pack, "name string").write.format("noop").mode("overwrite").save()
+    rows = files.read_archives(files.archive_files(spark, folder), "o_orderkey bigint, o_totalprice double, note string")
+    return rows.withColumn("archive", F.substring_index("archive", "/", -1))
 
 
 @query("""
@@ -290,7 +372,7 @@ def posts(spark, root):
 
 @query("""
 SELECT CASE lang WHEN 'en' THEN 'reddit' WHEN 'fr' THEN 'x' ELSE 'linkedin' END AS platform,
-       CASE lang WHEN 'de' THEN 'urn:' ELSE '' END || CASE WHEN lang != 'de' AND doc_id = 0 THEN '' ELSE CAST(doc_id AS VARCHAR) END AS external_id,
+       CASE lang WHEN 'de' THEN 'urn:' ELSE '' END || CAST(doc_id AS VARCHAR) AS external_id,
        COALESCE(text, '') AS content, CASE lang WHEN 'fr' THEN '' ELSE source END AS media,
        n_chars AS likes, CASE lang WHEN 'fr' THEN CAST(2 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS shares
 FROM documents WHERE lang IN ('en', 'fr', 'de')

@@ -1,5 +1,7 @@
 """Metric queries over orders, lineitem and the tables they refer to."""
 
+from pyspark.sql import functions as F
+
 from siltstone.plans import metrics as m
 from siltstone.plans.metrics import DashboardPlan, Edge, Metric, TimeRange, Visualization
 from siltstone.suite.registry import query
@@ -56,6 +58,28 @@ def metric_median(spark, root):
     )
 
 
+@query("""
+SELECT event_type, median(CASE WHEN event_type NOT IN ('error', 'view') THEN value END) AS a,
+       median(CASE WHEN event_type NOT IN ('click', 'view') THEN value END) AS b
+FROM events GROUP BY 1
+""")
+def metric_median_nulls(spark, root):
+    """Medians alone: groups without a value of one or of both stay, in whichever place the metric stands."""
+    a = "CASE WHEN event_type NOT IN ('error', 'view') THEN value END"
+    b = "CASE WHEN event_type NOT IN ('click', 'view') THEN value END"
+    return m.query(table(spark, root, "events"), [Metric("a", "median", a), Metric("b", "median", b)], breakdown="event_type")
+
+
+@query("""
+SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, COUNT(*) AS orders FROM orders GROUP BY 1
+""")
+def dashboard_by_day(spark, root):
+    """A line of all days of a plan; no limit is stated, so none applies."""
+    days = table(spark, root, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    plan = DashboardPlan("Orders", [Metric("orders", "count")], [Visualization("line", ["orders"], "day", "By day")])
+    return m.dashboard(days, plan)["By day"]
+
+
 @query("SELECT median(l_extendedprice) AS middle, median(l_quantity) AS middle_quantity FROM lineitem")
 def metric_median_total(spark, root):
     return m.query(

@@ -211,18 +211,17 @@ def activity_feed(spark, root):
 SELECT o_orderkey,
        '$' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT))
          || CASE WHEN cents = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(cents AS VARCHAR), 2, '0'), '0') END AS currency,
-       CAST(CAST(floor(o_totalprice / 3600) AS BIGINT) AS VARCHAR) || 'h '
+       format('{:,}', CAST(floor(o_totalprice) AS BIGINT))
+         || CASE WHEN cents = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(cents AS VARCHAR), 2, '0'), '0') END AS number,
+       regexp_replace(CAST(o_totalprice AS VARCHAR), '[.]0$', '') || '%' AS percentage,
+       CASE WHEN o_totalprice >= 3600 THEN CAST(CAST(floor(o_totalprice / 3600) AS BIGINT) AS VARCHAR) || 'h ' ELSE '' END
          || CAST(CAST(floor((o_totalprice % 3600) / 60) AS BIGINT) AS VARCHAR) || 'm' AS duration
 FROM (SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) % 100 AS cents FROM orders)
-WHERE o_totalprice >= 3600
 """)
 def formatted_values(spark, root):
     price = F.col("o_totalprice")
-    return table(spark, root, "orders").filter(price >= 3600).select(
-        "o_orderkey",
-        format_value(price, "currency").alias("currency"),
-        format_value(price, "duration").alias("duration"),
-    )
+    styles = ("currency", "number", "percentage", "duration")
+    return table(spark, root, "orders").select("o_orderkey", *[format_value(price, s).alias(s) for s in styles])
 
 
 @query("""

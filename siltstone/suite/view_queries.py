@@ -59,10 +59,11 @@ def preview_sorted(spark, root):
 
 @query("""
 SELECT conv_id, turn, role, text FROM
- (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 20
+ (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS rn FROM conversations) WHERE rn <= 3
 """)
 def last_messages(spark, root):
-    return H.last_n(table(spark, root, "conversations"), "conv_id", "turn")
+    """The last three messages of every conversation; most have more."""
+    return H.last_n(table(spark, root, "conversations"), "conv_id", ["turn", "role", "text"], 3)
 
 
 @query("""
@@ -71,7 +72,7 @@ SELECT user_id, event_id, event_type FROM
 """)
 def last_events(spark, root):
     """The last three events of every user."""
-    return H.last_n(table(spark, root, "events"), "user_id", "ts", 3).select("user_id", "event_id", "event_type")
+    return H.last_n(table(spark, root, "events"), "user_id", ["ts", "event_id"], 3).select("user_id", "event_id", "event_type")
 
 
 @query("""
@@ -117,11 +118,16 @@ def sql_set_operations(spark, root):
     return Q.run(spark, text, {n: table(spark, root, n) for n in ("orders", "customer")})
 
 
-@query("SELECT COUNT(*) AS shown, MIN(o_orderkey) AS first FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5000)")
-def capped_result(spark, root):
-    """A result asked for with a huge limit shows 5000 rows at most."""
-    rows = table(spark, root, "orders").select("o_orderkey").orderBy("o_orderkey")
-    return Q.limited(rows, 200_000).agg(F.count(F.lit(1)).alias("shown"), F.min("o_orderkey").alias("first"))
+@query("""
+SELECT COUNT(*) AS shown, MIN(o_orderkey) AS first, (SELECT COUNT(*) FROM orders) AS unlimited
+FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 7000)
+""")
+def limited_result(spark, root):
+    """A limit is honoured as it is given, and without one nothing is cut."""
+    rows = table(spark, root, "orders").select("o_orderkey").orderBy(F.desc("o_orderkey"))
+    return Q.limited(rows, 7000).agg(F.count(F.lit(1)).alias("shown"), F.min("o_orderkey").alias("first")).withColumn(
+        "unlimited", Q.limited(rows).agg(F.count(F.lit(1))).scalar()
+    )
 
 
 @query("""

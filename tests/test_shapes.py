@@ -126,7 +126,7 @@ def test_search_and_pages(spark):
     assert rows(preview.table(df.select("i"), ["i"], True, 2), "kept") == [(29,), (28,)]
 
 
-@pytest.mark.parametrize("asked, shown", [(None, 1000), (10, 10), (5000, 5000), (200_000, 5000)])
+@pytest.mark.parametrize("asked, shown", [(None, 7000), (10, 10), (6000, 6000), (200_000, 7000)])
 def test_result_limits(spark, asked, shown):
     assert Q.limited(spark.range(7000), asked).count() == shown
 

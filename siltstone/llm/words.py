@@ -22,6 +22,9 @@ BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 NOT_LETTERS = np.zeros(256, bool)
 NOT_LETTERS[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
+#: Bytes hashed at once, or one word if it is longer.
+RUN_BYTES = 1 << 19
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -36,7 +39,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(which: str, n: int) -> np.ndarray:
     have = _POWERS[which]
     if len(have) < n:
-        step = np.full(n, _BASE if which == "base" else _INVERSE, np.uint64)
+        step = np.full(max(n, RUN_BYTES), _BASE if which == "base" else _INVERSE, np.uint64)
         step[0] = 1
         have = _POWERS[which] = np.multiply.accumulate(step)
     return have[:n]
@@ -69,10 +72,16 @@ def hashed(texts: pa.Array, between: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     ends = np.flatnonzero(last) + 1
-    terms = _BYTE[_LOWER[raw]] * _powers("base", len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(terms, out=sums[1:])
-    words = (sums[ends] - sums[starts]) * _powers("inverse", len(raw))[starts]
+    words = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + RUN_BYTES, side="right")))
+        begin, end = int(starts[i]), int(ends[j - 1])
+        sums = np.zeros(end - begin + 1, np.uint64)
+        np.cumsum(_BYTE[_LOWER[raw[begin:end]]] * _powers("base", end - begin), out=sums[1:])
+        at = starts[i:j] - begin
+        words[i:j] = (sums[ends[i:j] - begin] - sums[at]) * _powers("inverse", end - begin)[at]
+        i = j
     words = mix(words + mix((ends - starts).astype(np.uint64)))
     return words, np.searchsorted(starts, offsets).astype(np.int64)
 

@@ -262,7 +262,8 @@ def query_related(
 
     Each fact is first aggregated to the key of its first step and only then joined along the
     path, so the big table is shuffled once, as partial sums. Several facts are brought to the
-    breakdown's grain separately before they meet, which keeps one from inflating the other.
+    breakdown's grain separately before they meet, which keeps one from inflating the other. A key of the
+    one side that is not unique raises.
     """
     dim_table, dim_column = breakdown
     filters = filters or {}
@@ -281,7 +282,7 @@ def query_related(
         for i, e in enumerate(steps):
             following = steps[i + 1].many_column if i + 1 < len(steps) else dim_column
             one = reduce(lambda d, c: d.filter(c), filters.get(e.one, []), tables[e.one])
-            one = one.select(F.col(e.one_column).alias("_one"), F.col(following).alias("_next"))
+            one = _once(one.select(F.col(e.one_column).alias("_one"), F.col(following).alias("_next")), e)
             merged = merged.join(one, F.col("_key") == F.col("_one")).drop("_key", "_one")
             merged = (
                 merged.groupBy(F.col("_next").alias("_key"))
@@ -300,6 +301,13 @@ def query_related(
     return result
 
 
+def _once(one: DataFrame, e: Edge) -> DataFrame:
+    """The one side of a step, each key once; a key listed twice raises, as it would count its facts twice."""
+    keys = one.filter(F.col("_one").isNotNull()).groupBy("_one").agg(F.count(F.lit(1)).alias("_n"), F.first("_next").alias("_next"))
+    twice = F.raise_error(F.concat(F.lit(f"{e.one}.{e.one_column} is not unique: "), F.col("_one").cast("string")))
+    return keys.select(F.when(F.col("_n") > 1, twice).otherwise(F.col("_one")).alias("_one"), "_next")
+
+
 def _partials(m: Metric) -> list[Column]:
     if m.aggregation == "avg":
         value = F.expr(m.column)

@@ -120,13 +120,20 @@ def suggested_keys(catalog: DataFrame) -> DataFrame:
 
 
 def join_condition(left: Column, left_type: T.DataType, right: Column, right_type: T.DataType) -> Column:
-    """Equality of two columns, compared as text where their families differ."""
+    """Equality of two columns, compared where their families differ as the text by which inclusion measures them."""
     from siltstone.functions.types import family
 
     a, b = family(left_type), family(right_type)
     if a == b or {a, b} <= {"integer", "numeric"}:
         return left == right
-    return left.cast("string") == right.cast("string")
+
+    def text(c: Column, dt: T.DataType) -> Column:
+        if not isinstance(dt, (T.FractionalType, T.DecimalType)):
+            return c.cast("string")
+        whole = (c == F.floor(c)) & (F.abs(c) < 1e18)
+        return F.when(whole, c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
+
+    return text(left, left_type) == text(right, right_type)
 
 
 def _quoted(model: Column, column: Column) -> Column:
@@ -134,11 +141,21 @@ def _quoted(model: Column, column: Column) -> Column:
     return F.concat(parts, F.lit(".`"), column, F.lit("`"))
 
 
+def _text_of(side: Column, family: Column) -> Column:
+    """The SQL by which a column's values become the texts that inclusion compares: whole numbers without a fraction."""
+    plain = F.concat(F.lit("CAST("), side, F.lit(" AS STRING)"))
+    whole = F.concat(
+        F.lit("CASE WHEN "), side, F.lit(" = floor("), side, F.lit(") AND abs("), side, F.lit(") < 1e18 THEN CAST(CAST("),
+        side, F.lit(" AS DECIMAL(38,0)) AS STRING) ELSE "), plain, F.lit(" END"),
+    )
+    return F.when(family == "numeric", whole).otherwise(plain)
+
+
 def _relationships(pairs: DataFrame, suffix: str, method: str, confidence: Column, *extra: str) -> DataFrame:
     """Relationship rows from pairs that carry pk_* and fk_* columns."""
     same = compatible(F.col("pk_family"), F.col("fk_family"))
     pk, fk = _quoted(F.col("pk_model"), F.col("pk_column")), _quoted(F.col("fk_model"), F.col("fk_column"))
-    as_text = [F.concat(F.lit("CAST("), side, F.lit(" AS STRING)")) for side in (pk, fk)]
+    as_text = [_text_of(pk, F.col("pk_family")), _text_of(fk, F.col("fk_family"))]
     condition = F.when(same, F.concat(pk, F.lit(" = "), fk)).otherwise(F.concat(as_text[0], F.lit(" = "), as_text[1]))
     name = F.concat("fk_model", F.lit("_"), "fk_column", F.lit("__"), "pk_model", F.lit("_"), "pk_column", F.lit(suffix))
     return pairs.withColumn("cast_applied", ~same).select(
@@ -303,18 +320,20 @@ def inclusion(
     sample: float | None = None,
     keep_all: bool = False,
     measured: KeyValues | None = None,
+    min_inclusion: float = MIN_INCLUSION,
+    min_matches: int = MIN_MATCHES,
 ) -> DataFrame:
     """Relationships whose distinct reference values are found among the key's values.
 
-    Kept are pairs with at least half of the values and three of them found; ``keep_all`` returns
-    every pair with its counts. ``measured`` is reused if it covers the pairs' columns.
+    Kept are pairs with at least ``min_inclusion`` of the values and ``min_matches`` of them found;
+    ``keep_all`` returns every pair with its counts. ``measured`` is reused if it covers the pairs' columns.
     """
     pairs = pin(pairs)
     listed = pairs.select("fk_model", "fk_column", "pk_model", "pk_column").collect()
     columns = sorted({(r[0], r[1]) for r in listed} | {(r[2], r[3]) for r in listed})
     if not columns:
         none = F.lit(0).cast("long")
-        return _scored(pairs.withColumn("total_count", none).withColumn("match_count", none), keep_all)
+        return _scored(pairs.withColumn("total_count", none).withColumn("match_count", none), keep_all, min_inclusion, min_matches)
     if measured is None or not set(columns) <= measured.ids.keys():
         measured = measure(tables, columns, sample)
     ids = measured.ids
@@ -327,14 +346,14 @@ def inclusion(
     found = F.sum(F.when(F.array_contains("present", F.col("pk_id")), F.col("n")).otherwise(0))
     counted = coded.join(measured.sets, "id").groupBy(*key).agg(F.sum("n").alias("total_count"), found.alias("match_count"))
     counted = pairs.join(counted, key, "left").fillna(0, ["total_count", "match_count"])
-    return _scored(counted, keep_all)
+    return _scored(counted, keep_all, min_inclusion, min_matches)
 
 
-def _scored(measured: DataFrame, keep_all: bool) -> DataFrame:
+def _scored(measured: DataFrame, keep_all: bool, min_inclusion: float, min_matches: int) -> DataFrame:
     score = F.col("match_count") / F.nullif("total_count", F.lit(0))
     measured = measured.withColumn("_score", score).withColumn("value_overlap", F.round("_score", 2))
     if not keep_all:
-        measured = measured.filter((F.col("_score") >= MIN_INCLUSION) & (F.col("match_count") >= MIN_MATCHES))
+        measured = measured.filter((F.col("_score") >= min_inclusion) & (F.col("match_count") >= min_matches))
     base = F.lit(0.75) + (F.col("_score") - 0.50) * 0.4
     across = F.col("pk_schema") != F.col("fk_schema")
     confidence = F.round(F.when(across, F.least(base + 0.05, F.lit(0.98))).otherwise(base), 2)

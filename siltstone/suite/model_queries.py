@@ -6,6 +6,7 @@ from siltstone.functions import names as N
 from siltstone.operators import catalog as C
 from siltstone.operators import layers as L
 from siltstone.operators import profile as P
+from siltstone.plans import metrics as MQ
 from siltstone.plans import model as M
 from siltstone.plans import relate as R
 from siltstone.session import pin, work_dir
@@ -148,6 +149,19 @@ def profile_single_pass(spark, root):
     return out.withColumn("cardinality", F.when(near, F.col("_true")).otherwise(F.col("cardinality"))).drop("_true")
 
 
+@query("""
+SELECT n_name, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue, COUNT(*) AS orders
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1
+""")
+def metric_from_model(spark, root):
+    """From tables to a metric in one chain: the relationships of the generated model are the path."""
+    tables = _tables(spark, root, ["orders", "customer", "nation"])
+    found = M.generate(spark, tables, R.PREFIXED_KEYS)
+    revenue = MQ.Metric("revenue", "sum", "CAST(o_totalprice AS DECIMAL(18,2))")
+    out = MQ.query_related(tables, MQ.edges(found.relationships), {"orders": [revenue, MQ.Metric("orders", "count")]}, ("nation", "n_name"))
+    return out.withColumn("revenue", F.col("revenue").cast("double"))
+
+
 @query("""
 WITH o AS (SELECT o_orderkey, o_orderkey - CASE WHEN o_orderkey % 33 = 0 THEN 1 ELSE 0 END AS nearly, 'n' || o_orderkey AS name FROM orders)
 SELECT 'order_id' AS column_name, COUNT(DISTINCT o_orderkey) AS cardinality, true AS is_unique FROM o

@@ -36,9 +36,13 @@ TOKENS = 128
 TREES = 16
 #: Classes outside the largest component up to which a node is compared exhaustively.
 SMALL = 64
-LEVELS = 8
+#: Times that large nodes branch again, and the levels of each time.
+AGAIN = 4
+STEP = 2
 #: Sketch estimates below the threshold by more than this are dropped (over five standard errors).
 SLACK = 0.2
+#: Ids of documents to compare that are sent to every executor (8 bytes each); more are joined with the texts by a shuffle.
+SENT_IDS = 1_000_000
 #: Parts of a group of equal sets when its class is handed back to its documents.
 SALTS = 16
 
@@ -103,21 +107,22 @@ def _root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The children of other nodes: the node's hash selects one token, or two with probability a third."""
+    """The descendants of other nodes ``STEP`` levels down: at each a node's hash selects one token, or two with probability a third."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sketch = _matrix(batch.column("sketch"))
         node = batch.column("node").to_numpy().view(np.uint64)
         rows = np.arange(len(node))
-        for k in range(2):
-            drawn = words.mix(node + np.uint64(k + 1))
-            of = rows if k == 0 else rows[words.mix(node ^ _OTHER) % np.uint64(3) == 0]
-            j = (drawn % np.uint64(TOKENS)).astype(np.int64)[of]
-            child = words.mix(drawn[of] * words._BASE + sketch[of, j].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(child.view(np.int64)), batch.column("class_id").take(pa.array(of))], ["node", "class_id"]
-            )
+        for _ in range(STEP):
+            second = words.mix(node ^ _OTHER) % np.uint64(3) == 0
+            drawn = np.concatenate((words.mix(node + np.uint64(1)), words.mix(node[second] + np.uint64(2))))
+            rows = np.concatenate((rows, rows[second]))
+            j = (drawn % np.uint64(TOKENS)).astype(np.int64)
+            node = words.mix(drawn * words._BASE + sketch[rows, j].astype(np.uint64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(node.view(np.int64)), batch.column("class_id").take(pa.array(rows))], ["node", "class_id"]
+        )
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -164,15 +169,17 @@ class _Join:
             .where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
             .select("a", "b", "sketch_a", "sketch_b")
         )
-        likely = self.keep(near.mapInArrow(_likely, "a long, b long").distinct())
-        wanted = likely.select(F.col("a").alias("c")).union(likely.select("b")).distinct()
+        likely = self.keep(near.mapInArrow(_likely, "a long, b long"))
+        wanted = self.keep(likely.select(F.col("a").alias("c")).union(likely.select("b")).distinct())
+        if wanted.count() <= SENT_IDS:
+            wanted = F.broadcast(wanted)
         sets = self.docs.join(wanted, F.col("doc_id") == F.col("c"), "left_semi").mapInArrow(_sets, "doc_id long, elements array<long>")
-        sets = self.keep(sets.distinct())
+        sets = self.keep(sets)
         left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("of_a"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("of_b"))
         both = F.size(F.array_intersect("of_a", "of_b"))
         enough = 100 * both >= PERCENT * (F.size("of_a") + F.size("of_b") - both)
-        return self.keep(likely.join(left, "a").join(right, "b").where(enough).select("a", "b").distinct())
+        return self.keep(likely.join(left, "a").join(right, "b").where(enough).select("a", "b"))
 
     def labelled(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Node rows with the component known so far."""
@@ -186,15 +193,19 @@ class _Join:
         nodes = rows.groupBy(F.col("node").alias("of")).agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi")
         return self.keep(rows.join(nodes, F.col("node") == F.col("of"), "left_semi"))
 
-    def stars(self, rows: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
-        """Pairs of each class with its node's pivot, where they are not yet connected."""
+    def stars(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Pairs of each class with its node's pivot where they are not yet connected.
+
+        The pivot is the smallest class at first, which groups of copies share in most of their nodes; once
+        components are known it is drawn by hash, so that a class meets another one in every node.
+        """
         known = self.labelled(rows, labels)
-        rank = F.xxhash64("node", "class_id", F.lit(seed)) if seed else F.col("class_id")
+        rank = F.col("class_id") if labels is None else F.xxhash64("node", "class_id")
         pivots = known.groupBy(F.col("node").alias("of")).agg(
             F.min(F.struct(rank, F.col("class_id").alias("p"), F.col("label").alias("pl"))).alias("x")
         )
         met = known.join(pivots, F.col("node") == F.col("of")).where(F.col("label") != F.col("x.pl"))
-        return met.select(F.least("class_id", "x.p").alias("a"), F.greatest("class_id", "x.p").alias("b")).distinct()
+        return met.select(F.least("class_id", "x.p").alias("a"), F.greatest("class_id", "x.p").alias("b"))
 
     def open(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
         """Rows of the nodes whose classes are not all connected: with their label, the node's largest one and the number outside it."""
@@ -213,7 +224,7 @@ class _Join:
         """All unconnected pairs of small nodes: each class outside the main component with all others."""
         few = rows.where("label != main").select("node", F.col("class_id").alias("x"), F.col("label").alias("lx"))
         met = few.join(rows, "node").where((F.col("lx") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("class_id"))))
-        return met.select(F.least("x", "class_id").alias("a"), F.greatest("x", "class_id").alias("b")).distinct()
+        return met.select(F.least("x", "class_id").alias("a"), F.greatest("x", "class_id").alias("b"))
 
     def labels(self, links: list[DataFrame]) -> DataFrame:
         self.steps += 1
@@ -233,22 +244,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id"
     sketches = run.classes.select("class_id", "sketch")
     nodes = run.shared(run.keep(sketches.mapInArrow(_root, "node long, class_id long")))
     links, labels = [], None
-    for seed in (0, 1):
-        links.append(run.verified(run.stars(nodes, labels, seed)))
+    for _ in range(2):
+        links.append(run.verified(run.stars(nodes, labels)))
         labels = run.labels(links)
     candidates = []
-    for level in range(LEVELS):
+    for again in range(AGAIN + 1):
         unsettled = run.open(nodes, labels)
-        last = level == LEVELS - 1
-        small = unsettled if last else unsettled.where(F.col("outside") <= SMALL)
-        candidates.append(run.keep(run.exhaustive(small)))
+        last = again == AGAIN
+        candidates.append(run.exhaustive(unsettled if last else unsettled.where(F.col("outside") <= SMALL)))
         large = unsettled.where(F.col("outside") > SMALL).select("node", "class_id")
         if last or large.isEmpty():
             break
         wide = large.join(sketches, "class_id").select("node", "class_id", "sketch")
-        nodes = run.shared(run.keep(wide.mapInArrow(_branch, "node long, class_id long").distinct()))
-    links.append(run.verified(union_all(candidates)))
-    return _by_document(run, run.labels(links))
+        nodes = run.keep(wide.mapInArrow(_branch, "node long, class_id long").distinct())
+    more = run.verified(union_all(candidates))
+    if not more.isEmpty():
+        labels = run.labels([*links, more])
+    return _by_document(run, labels)
 
 
 def _by_document(run: _Join, labels: DataFrame) -> DataFrame:

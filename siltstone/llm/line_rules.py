@@ -31,10 +31,10 @@ def let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed. Null text counts as empty."""
+def with_measures(docs: DataFrame, text: str = "text", *more: Column) -> DataFrame:
+    """Adds ``more`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed. Null text counts as empty."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("__words", words_of(F.col(text)))
+    out = docs.select("*", *more).withColumn("__words", words_of(F.col(text)))
     out = out.withColumn("n_words", F.size("__words").cast("long"))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     out = out.withColumn("__lines", F.transform(lines, lambda x: F.xxhash64(x)))
@@ -47,7 +47,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     out = out.withColumn("__windows", F.when(last >= 0, windows).otherwise(F.array().cast("array<bigint>")))
     out = out.select(
-        *docs.columns,
+        *docs.select("*", *more).columns,
         "n_words",
         F.length(F.regexp_replace(whole, BLANK, "")).cast("long").alias("word_chars"),
         (F.length(whole) - F.length(F.regexp_replace(whole, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
@@ -87,14 +87,16 @@ def lines_of(text: Column) -> Column:
 
 
 def with_lines(docs: DataFrame, doc_id: str, host: str, text: str) -> DataFrame:
-    """Every line with a word of every document: host, document, content hash and line hash."""
+    """Every line with a word of every document: host, document, content hash, the line's place, hash and words."""
+    words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    lines = F.transform(
+        lines_of(F.col(text)),
+        lambda x, k: F.when(x != "", F.struct(k.alias("place"), F.xxhash64(x).alias("line"), words(x).alias("words"))),
+    )
     rows = docs.select(
-        F.col(host).alias("__host"),
-        F.col(doc_id).alias("__doc"),
-        F.xxhash64(text).alias("__content"),
-        F.explode(F.array_distinct(F.transform(F.filter(lines_of(F.col(text)), lambda x: x != ""), lambda x: F.xxhash64(x)))).alias("__line"),
+        F.col(host).alias("__host"), F.col(doc_id).alias("__doc"), F.xxhash64(text).alias("__content"), F.explode(F.array_compact(lines)).alias("__at")
     )
-    return rows
+    return rows.select("__host", "__doc", "__content", F.col("__at.place").alias("__place"), F.col("__at.line").alias("__line"), F.col("__at.words").alias("__n"))
 
 
 def frequent_lines(lines: DataFrame, contents: DataFrame, max_docs: int, max_share: float) -> DataFrame:
@@ -112,7 +114,7 @@ def frequent_lines(lines: DataFrame, contents: DataFrame, max_docs: int, max_sha
 
 
 def removed_lines(docs: DataFrame, doc_id: str, host: str, text: str, max_docs: int, max_share: float) -> DataFrame:
-    """For each document (id and content) with lines to remove: the hashes of those lines.
+    """For each document (id and content) with lines to remove: the hashes of those lines and the words that go.
 
     Of a line in a hot group only (host, line) meets at the join; its side is salted, the other repeated.
     """
@@ -126,7 +128,11 @@ def removed_lines(docs: DataFrame, doc_id: str, host: str, text: str, max_docs:
     hit = salted.join(
         often, F.col("__host").eqNullSafe(F.col("__h")) & (F.col("__line") == F.col("__l")) & (F.col("__salt") == F.col("__s"))
     ).where(~F.col("__doc").eqNullSafe(F.col("__first")))
-    return hit.groupBy("__doc", F.col("__content").alias("__of")).agg(F.collect_set("__line").alias("__remove"))
+    # Repeated rows hold the same lines at the same places, which count once.
+    places = F.collect_set(F.struct("__place", F.col("__n").alias("n")))
+    return hit.groupBy("__doc", F.col("__content").alias("__of")).agg(
+        F.collect_set("__line").alias("__remove"), F.aggregate(places, F.lit(0), lambda a, p: a + p["n"]).alias("__gone")
+    )
 
 
 def apply_rules(
@@ -146,13 +152,13 @@ def apply_rules(
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "clean_text", "kept"]
     docs = docs.drop(*own)
     gone = removed_lines(docs, doc_id, host, text, max_docs, max_share)
-    judged = with_measures(docs, text).join(
-        gone, F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__of")), "left"
-    )
+    # The hash is a column of its own, so that the text crosses the join only if the clean text is asked for.
+    measured = with_measures(docs, text, F.xxhash64(text).alias("__content"))
+    judged = measured.join(gone, F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.col("__content") == F.col("__of")), "left")
     pairs = F.arrays_zip(F.split(F.col(text), "\n").alias("raw"), lines_of(F.col(text)).alias("flat"))
     left = F.filter(pairs, lambda x: ~F.array_contains("__remove", F.xxhash64(x["flat"])))
     clean = F.when(F.col("__remove").isNull(), F.col(text)).otherwise(F.array_join(left["raw"], "\n"))
-    removed = F.when(F.col("__remove").isNull(), F.lit(0)).otherwise(F.col("n_words") - F.size(words_of(F.col("clean_text"))))
+    removed = F.coalesce("__gone", F.lit(0))
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= min_kept * F.col("n_words"))
     return (
         judged.withColumn("clean_text", clean)

@@ -107,7 +107,10 @@ def _root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The descendants of other nodes ``STEP`` levels down: at each a node's hash selects one token, or two with probability a third."""
+    """The descendants of other nodes ``STEP`` levels down: at each the node's hash selects one token.
+
+    The roots have selected more than one already, so the rows of large nodes do not multiply on the way down.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -115,14 +118,10 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = batch.column("node").to_numpy().view(np.uint64)
         rows = np.arange(len(node))
         for _ in range(STEP):
-            second = words.mix(node ^ _OTHER) % np.uint64(3) == 0
-            drawn = np.concatenate((words.mix(node + np.uint64(1)), words.mix(node[second] + np.uint64(2))))
-            rows = np.concatenate((rows, rows[second]))
+            drawn = words.mix(node + np.uint64(1))
             j = (drawn % np.uint64(TOKENS)).astype(np.int64)
             node = words.mix(drawn * words._BASE + sketch[rows, j].astype(np.uint64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(node.view(np.int64)), batch.column("class_id").take(pa.array(rows))], ["node", "class_id"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("class_id")], ["node", "class_id"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -9,14 +9,16 @@ the wanted probability.
 A node is compared in two ways. First every class is compared with one class of its node (its pivot), which
 joins groups of copies with as many comparisons as classes. What is connected then needs no comparison:
 a node is small if few of its classes lie outside its largest component, and those few are compared with
-all others of the node. Larger nodes branch again, and what is still large at the last level is compared
-like a small node. Sketches drop pairs that are far below the threshold; every other pair is decided on the
-full shingle sets.
+all others of the node. Larger nodes branch again, as long as that makes them smaller, with so many children that
+a pair at the threshold survives at any depth; what branching does not split is compared like a small node.
+Sketches drop pairs
+that are far below the threshold; every other pair is decided on the full shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,11 @@ TOKENS = 128
 TREES = 16
 #: Classes outside the largest component up to which a node is compared exhaustively.
 SMALL = 64
-#: Times that large nodes branch again, and the levels of each time.
-AGAIN = 4
+#: Levels that large nodes branch at a time. A node selects one token or two, one and a half on average: a pair at the
+#: threshold has 9/8 common children, so of the 22 roots all lose it with probability 0.04 % at most, however deep they go.
 STEP = 2
+#: A step should halve a node. One that is this many times larger than its root halved at each step is not branched again.
+BEHIND = 4
 #: Sketch estimates below the threshold by more than this are dropped (over five standard errors).
 SLACK = 0.2
 #: Ids of documents to compare that are sent to every executor (8 bytes each); more are joined with the texts by a shuffle.
@@ -107,10 +111,7 @@ def _root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The descendants of other nodes ``STEP`` levels down: at each the node's hash selects one token.
-
-    The roots have selected more than one already, so the rows of large nodes do not multiply on the way down.
-    """
+    """The descendants of other nodes ``STEP`` levels down: at each the node's hash selects one token, or two with probability a half."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -118,10 +119,13 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = batch.column("node").to_numpy().view(np.uint64)
         rows = np.arange(len(node))
         for _ in range(STEP):
-            drawn = words.mix(node + np.uint64(1))
+            second = words.mix(node ^ _OTHER) % np.uint64(2) == 0
+            drawn = np.concatenate((words.mix(node + np.uint64(1)), words.mix(node[second] + np.uint64(2))))
+            rows = np.concatenate((rows, rows[second]))
             j = (drawn % np.uint64(TOKENS)).astype(np.int64)
             node = words.mix(drawn * words._BASE + sketch[rows, j].astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("class_id")], ["node", "class_id"])
+        of = batch.select(["class_id", "was"]).take(pa.array(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *of.columns], ["node", "class_id", "was"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -180,12 +184,12 @@ class _Join:
         enough = 100 * both >= PERCENT * (F.size("of_a") + F.size("of_b") - both)
         return self.keep(likely.join(left, "a").join(right, "b").where(enough).select("a", "b"))
 
-    def labelled(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    def labelled(self, rows: DataFrame, labels: DataFrame | None, *more: str) -> DataFrame:
         """Node rows with the component known so far."""
         if labels is None:
             return rows.withColumn("label", F.col("class_id"))
         known = rows.join(labels, F.col("class_id") == F.col("node_"), "left")
-        return known.select("node", "class_id", F.coalesce("label", "class_id").alias("label"))
+        return known.select("node", "class_id", F.coalesce("label", "class_id").alias("label"), *more)
 
     def shared(self, rows: DataFrame) -> DataFrame:
         """Rows (node, class_id) of the nodes that hold more than one class."""
@@ -208,14 +212,14 @@ class _Join:
 
     def open(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
         """Rows of the nodes whose classes are not all connected: with their label, the node's largest one and the number outside it."""
-        known = self.labelled(rows, labels)
+        known = self.labelled(rows, labels, "was")
         parts = known.groupBy("node", "label").agg(F.count("*").alias("n"))
         nodes = parts.groupBy(F.col("node").alias("of")).agg(
             F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top")
         ).where("top.n < all")
         return self.keep(
             known.join(nodes, F.col("node") == F.col("of")).select(
-                "node", "class_id", "label", F.col("top.label").alias("main"), (F.col("all") - F.col("top.n")).alias("outside")
+                "node", "class_id", "label", "was", F.col("top.label").alias("main"), (F.col("all") - F.col("top.n")).alias("outside")
             )
         )
 
@@ -246,16 +250,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id"
     for _ in range(2):
         links.append(run.verified(run.stars(nodes, labels)))
         labels = run.labels(links)
-    candidates = []
-    for again in range(AGAIN + 1):
+    candidates, nodes = [], nodes.withColumn("was", F.lit(None).cast("long"))
+    for step in count():
         unsettled = run.open(nodes, labels)
-        last = again == AGAIN
-        candidates.append(run.exhaustive(unsettled if last else unsettled.where(F.col("outside") <= SMALL)))
-        large = unsettled.where(F.col("outside") > SMALL).select("node", "class_id")
-        if last or large.isEmpty():
+        was = F.coalesce("was", "outside")
+        large = (F.col("outside") > SMALL) & (F.col("outside") * F.lit(2.0**step) <= BEHIND * was)
+        candidates.append(run.exhaustive(unsettled.where(~large)))
+        again = unsettled.where(large).select("node", "class_id", was.alias("was"))
+        if again.isEmpty():
             break
-        wide = large.join(sketches, "class_id").select("node", "class_id", "sketch")
-        nodes = run.keep(wide.mapInArrow(_branch, "node long, class_id long").distinct())
+        wide = again.join(sketches, "class_id").select("node", "class_id", "was", "sketch")
+        nodes = run.keep(wide.mapInArrow(_branch, "node long, class_id long, was long").distinct())
     more = run.verified(union_all(candidates))
     if not more.isEmpty():
         labels = run.labels([*links, more])

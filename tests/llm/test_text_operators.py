@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -234,6 +235,39 @@ def test_near_duplicates(spark, monkeypatch):
     assert by_id == brute_components([r for r in rows if r[0] is not None])
 
 
+def test_pairs_at_the_threshold_stay_together_at_any_depth():
+    """3,000 pairs that agree on three quarters of their tokens: of those that lie in no common node, few at every depth."""
+    draw, pairs = np.random.default_rng(1), 3000
+    a = draw.integers(0, 2**32, (pairs, near.TOKENS), dtype=np.uint32)
+    b = np.where(draw.random(a.shape) < 0.75, a, draw.integers(0, 2**32, a.shape, dtype=np.uint32))
+    sketch = pa.array([x.tobytes() for x in np.concatenate((a, b))], pa.binary())
+    ids = pa.array(range(2 * pairs), pa.int64())
+    (rows,) = near._root([pa.RecordBatch.from_arrays([sketch, ids], ["sketch", "class_id"])])
+    for _ in range(5):
+        node, of = rows.column("node").to_numpy(), rows.column("class_id").to_numpy()
+        low = set(zip(node[of < pairs].tolist(), of[of < pairs].tolist()))
+        both = [(n, i - pairs) for n, i in zip(node.tolist(), of.tolist()) if i >= pairs and (n, i - pairs) in low]
+        assert pairs - len({i for _, i in both}) <= 0.003 * pairs
+        # Only nodes that a pair shares can be shared further down.
+        node, of = pa.array([n for n, i in both for _ in "ab"], pa.int64()), pa.array([i + k * pairs for _, i in both for k in (0, 1)], pa.int64())
+        columns = [node, of, sketch.take(of), pa.nulls(len(of), pa.int64())]
+        (rows,) = near._branch([pa.RecordBatch.from_arrays(columns, ["node", "class_id", "sketch", "was"])])
+
+
+def test_near_duplicates_within_a_template(spark):
+    """Texts of a template at 0.63, every tenth with a partner at 0.755 that has the next id."""
+    rows, linked = [], {}
+    head = [f"t{k}" for k in range(104)]
+    for i in range(0, 5000, 2):
+        own = [f"w{i}_{k}" for k in range(29)]
+        rows.append((i, " ".join(head + own)))
+        if i % 20 == 0:
+            rows.append((i + 1, " ".join(head + own[:11] + [f"v{i}_{k}" for k in range(18)])))
+            linked[i + 1] = i
+    got = near.near_duplicates(spark, docs_of(spark, [(i, t, "s") for i, t in rows]).repartition(8))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: linked.get(i, i) for i, _ in rows}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near.near_duplicates(spark, docs_of(spark, [])).count() == 0
 

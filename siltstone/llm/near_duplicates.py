@@ -11,7 +11,7 @@ joins groups of copies with as many comparisons as classes. What is connected th
 a node is small if few of its classes lie outside its largest component, and those few are compared with
 all others of the node. Larger nodes branch again, as long as that makes them smaller, with so many children that
 a pair at the threshold survives at any depth; what branching does not split is compared like a small node.
-Sketches drop pairs
+Nodes are compared in blocks of class against class, so that none meets in one task. Sketches drop pairs
 that are far below the threshold; every other pair is decided on the full shingle sets.
 """
 
@@ -43,6 +43,8 @@ SMALL = 64
 STEP = 2
 #: A step should halve a node. One that is this many times larger than its root halved at each step is not branched again.
 BEHIND = 4
+#: Classes on each side of a block when a node is compared.
+BLOCK = 512
 #: Sketch estimates below the threshold by more than this are dropped (over five standard errors).
 SLACK = 0.2
 #: Ids of documents to compare that are sent to every executor (8 bytes each); more are joined with the texts by a shuffle.
@@ -219,14 +221,31 @@ class _Join:
         ).where("top.n < all")
         return self.keep(
             known.join(nodes, F.col("node") == F.col("of")).select(
-                "node", "class_id", "label", "was", F.col("top.label").alias("main"), (F.col("all") - F.col("top.n")).alias("outside")
+                "node", "class_id", "label", "was", F.col("top.label").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("outside")
             )
         )
 
+    def blocks(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The classes outside the main component and all classes of nodes, to be joined by node, i and j.
+
+        Both sides of a node are dealt to parts of about ``BLOCK`` classes, and each part of one side meets each of the
+        other under a key of its own.
+        """
+        parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+        part = lambda n: F.pmod(F.xxhash64("class_id"), parts(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+        few = rows.where("label != main").select(
+            "node", F.col("class_id").alias("x"), F.col("label").alias("lx"), part("outside").alias("i"), each("all").alias("j")
+        )
+        others = rows.select("node", "class_id", "label", "main", part("all").alias("j"), each("outside").alias("i"))
+        return few, others
+
     def exhaustive(self, rows: DataFrame) -> DataFrame:
-        """All unconnected pairs of small nodes: each class outside the main component with all others."""
-        few = rows.where("label != main").select("node", F.col("class_id").alias("x"), F.col("label").alias("lx"))
-        met = few.join(rows, "node").where((F.col("lx") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("class_id"))))
+        """All unconnected pairs of nodes: each class outside the main component with all others."""
+        few, others = self.blocks(rows)
+        met = few.join(others, ["node", "i", "j"]).where(
+            (F.col("lx") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("class_id")))
+        )
         return met.select(F.least("x", "class_id").alias("a"), F.greatest("x", "class_id").alias("b"))
 
     def labels(self, links: list[DataFrame]) -> DataFrame:

@@ -268,6 +268,21 @@ def test_near_duplicates_within_a_template(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: linked.get(i, i) for i, _ in rows}
 
 
+def test_nodes_are_compared_in_blocks(spark, monkeypatch):
+    """All unconnected pairs once, with no more than a few blocks of classes under a key."""
+    monkeypatch.setattr(near, "BLOCK", 8)
+    label = {i: 0 if i < 30 else i - i % 2 for i in range(100)}
+    rows = [(1, i, x, 0, 100, 70) for i, x in label.items()] + [(2, i, i, 0, 2, 1) for i in (0, 1)]
+    nodes = spark.createDataFrame(rows, 'node long, class_id long, label long, main long, `all` long, outside long')
+    run = near._Join.__new__(near._Join)
+    got = Counter(map(tuple, run.exhaustive(nodes.where("node = 1")).collect()))
+    assert got == Counter((a, b) for a in range(100) for b in range(a + 1, 100) if label[a] != label[b])
+    assert [tuple(r) for r in run.exhaustive(nodes.where("node = 2")).collect()] == [(0, 1)]
+    few, others = run.blocks(nodes.where("node = 1"))
+    for side in (few, others):
+        assert max(r["count"] for r in side.groupBy("node", "i", "j").count().collect()) <= 3 * near.BLOCK
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near.near_duplicates(spark, docs_of(spark, [])).count() == 0
 

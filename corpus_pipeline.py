@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, language, line_rules, near_duplicates, packing
-from siltstone.session import work_dir
+from siltstone.session import pin, work_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose language is less certain than this is rejected.
@@ -27,12 +27,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows, with the language that it finds."""
+    """Documents whose n-grams fit a language that the model knows, with the language that it finds."""
     docs = docs.select(COLUMNS)
     model = language.train(docs.where(~language.is_held_out(F.col("doc_id"))).select("text", "lang"))
     found = language.predict(docs, model, keep=tuple(COLUMNS))
     known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE)
-    return found.where(known).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    # One row a language.
+    least = pin(language.least_fits(docs, model))
+    fitting = found.where(known).join(least, F.col("lang_pred") == F.col("of_lang")).where("fit >= least")
+    return fitting.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

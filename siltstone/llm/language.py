@@ -25,6 +25,8 @@ SMOOTHING = 0.5
 #: Largest number of languages, which bounds what is broadcast: 4 bytes for each language and bucket.
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
+#: Least fit of a language: times the distance of the lowest twentieth from the median, and nats an n-gram at least.
+FAR, SPARE = 3.0, 1.0
 #: Code points handled at once; longer texts are counted in overlapping parts.
 PART = 500_000
 
@@ -166,9 +168,10 @@ def train(rows: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score, the probability of that language under the model.
+    """The columns ``keep`` with lang_pred, score, the probability of that language under the model, and fit.
 
-    Null texts and texts without a letter are ``und`` with score 0, and so is every text if the model knows no
+    ``fit`` is the mean log probability of the text's n-grams in that language; unlike the score it does not grow with
+    the text, so it tells texts of the language from those that are only nearer to it than to the others. Null texts and texts without a letter are ``und`` with score 0, and so is every text if the model knows no
     language. Ties go to the first language in ascending order.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -180,27 +183,42 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 texts = ["" if t is None else t for t in part.column("__text").to_pylist()]
                 total = np.zeros((len(texts), len(languages)))
                 some = np.zeros(len(texts), bool)
+                grams_of = np.zeros(len(texts))
                 for buckets, owners in grams(texts):
                     some[owners] = True
+                    grams_of += np.bincount(owners, minlength=len(texts))
                     # Each text's buckets with their counts: a sparse row for each text.
                     cells, n = np.unique(owners * BUCKETS + buckets, return_counts=True)
                     of, at = np.divmod(cells, BUCKETS)
                     for k in range(len(languages)):
                         total[:, k] += np.bincount(of, weights=n * matrix[at, k], minlength=len(texts))
                 names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                fit = np.zeros(len(texts))
                 if languages:
+                    plain = total.copy()
                     total += priors
                     best = total.argmax(axis=1)
                     odds = np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                     scores = np.where(some, 1 / odds, 0.0)
+                    fit = plain[np.arange(len(texts)), best] / np.maximum(grams_of, 1)
                     names = [languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(names), pa.array(scores)], [*part.schema.names[:-1], "lang_pred", "score"]
+                    [*part.columns[:-1], pa.array(names), pa.array(scores), pa.array(fit)], [*part.schema.names[:-1], "lang_pred", "score", "fit"]
                 )
 
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keep).dtypes)
-    return rows.mapInArrow(predicted, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(predicted, f"{schema}, lang_pred string, score double, fit double")
+
+
+def least_fits(docs: DataFrame, model: Model) -> DataFrame:
+    """For each language the least fit of a text of it, as (of_lang, least), from all labelled texts that it is found for.
+
+    The limit lies as many times ``FAR`` below the median as the lowest twentieth does, and ``SPARE`` at least.
+    """
+    found = predict(docs.where(F.col("lang").isNotNull()), model, keep=("lang",)).where("lang = lang_pred AND score > 0")
+    low = found.groupBy(F.col("lang").alias("of_lang")).agg(F.percentile_approx("fit", [0.5, 0.05], 1000).alias("q"))
+    return low.select("of_lang", (F.col("q")[0] - F.greatest(FAR * (F.col("q")[0] - F.col("q")[1]), F.lit(SPARE))).alias("least"))
 
 
 def identify(docs: DataFrame) -> DataFrame:

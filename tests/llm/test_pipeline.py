@@ -1,5 +1,6 @@
 """The pipeline's stages and the registered queries on the smallest given tables."""
 
+import random
 import re
 
 import duckdb
@@ -46,6 +47,19 @@ def test_language(stages):
     assert any(re.search(r"[^\W\d_]", t) for t in got.text)
 
 
+def test_texts_of_no_learned_language_go(spark):
+    """Long texts in another language or of random letters go, and those of the learned languages stay."""
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet").select(corpus_pipeline.COLUMNS)
+    random.seed(3)
+    salad = [" ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(80)) for _ in range(5)]
+    hungarian = "a kormány tegnap elfogadta azt a törvényjavaslatot amely szerint minden gyermek ingyenes étkezést kaphat az iskolában "
+    odd = spark.createDataFrame([(10**9 + k, t, None, "s", len(t)) for k, t in enumerate([*salad, hungarian * 2])], docs.schema)
+    got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.union(odd), ROOT).select("doc_id").collect()}
+    assert max(got) < 10**9
+    clean = {r["doc_id"] for r in docs.collect()}
+    assert len(got) >= 0.97 * len(clean)
+
+
 def test_near_dedup(stages):
     given, got = stages["near_dedup"]
     kept = {i for i, (_, _, k) in brute_components(list(zip(given.doc_id, given.text))).items() if k}

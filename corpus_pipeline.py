@@ -20,7 +20,8 @@ MIN_SCORE = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that too many documents of their source share."""
-    judged = line_rules.apply_rules(docs.select(COLUMNS)).where("kept")
+    # The count alone decides, so that a large source keeps no line that thousands of its documents share.
+    judged = line_rules.apply_rules(docs.select(COLUMNS), max_share=0.0).where("kept")
     changed = ~F.col("clean_text").eqNullSafe(F.col("text"))
     n_chars = F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))
     return judged.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))

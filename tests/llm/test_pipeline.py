@@ -6,6 +6,7 @@ import re
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_text_operators import brute_components, brute_hits, brute_rules
 
 import __spark_entry__ as entry
@@ -39,6 +40,15 @@ def test_quality(stages):
     assert list(got.columns) == corpus_pipeline.COLUMNS
 
 
+def test_a_large_source_loses_its_boilerplate(spark):
+    """30 of 12,000 contents of a source share a line, which is fewer than a thousandth and more than ten."""
+    text = F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), F.col("id")) for k in range(22)))
+    text = F.when(F.col("id") < 30, F.concat(text, F.lit("\nshared line"))).otherwise(text)
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length(text).cast("long").alias("n_chars"))
+    got = corpus_pipeline.quality_rules(spark, docs, ROOT)
+    assert [r["doc_id"] for r in got.where("text LIKE '%shared line'").collect()] == [0] and got.count() == 12_000
+
+
 def test_language(stages):
     given, got = stages["language_id"]
     lang = dict(zip(given.doc_id, given.lang))

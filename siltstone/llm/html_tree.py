@@ -22,8 +22,9 @@ CLOSES = {
     "tfoot": {"tr", "td", "th", "thead", "tbody"},
     "option": {"option"},
 }
-#: Elements whose content is no text of the page; the content ends at the end tag alone.
-SKIPPED = frozenset("script style title noscript template iframe textarea select svg math object xmp noframes".split())
+#: Elements whose content is no text of the page; the content ends at the end tag alone. Without one it is the rest of
+#: the page, but for a template, whose tags are then passed over.
+SKIPPED = frozenset("script style title template iframe textarea noframes".split())
 #: Inline elements that stand in the flow and close an open paragraph no more than text does.
 INLINE_BOXES = frozenset(("button", "label"))
 
@@ -96,8 +97,9 @@ def parse(html: str) -> list[Node]:
         elif tag in SKIPPED:
             if not end and not more.endswith("/"):
                 stop = _ENDS[tag].search(html, at)
-                at = html.find(">", stop.end()) + 1 if stop else len(html)
-                at = at or len(html)
+                if stop or tag != "template":
+                    at = html.find(">", stop.end()) + 1 if stop else len(html)
+                    at = at or len(html)
         elif tag in BLOCKS:
             flush()
             if tag == "hr":

@@ -164,6 +164,17 @@ def test_odd_pages_do_not_fail(model, html):
     assert html_text.main_text(model, f"<article><p>One two three.</p><p>Four five.</p></article>{html}").startswith("One two three.\nFour five.")
 
 
+@pytest.mark.parametrize("tag", "math object svg select noscript xmp".split())
+@pytest.mark.parametrize("end", [True, False])
+def test_text_inside_shown_elements_stays(tag, end):
+    nodes = parse(f"<p>before <{tag}><b>inside</b>{f'</{tag}>' if end else ''} after</p><p>next</p>")
+    assert " ".join(n.text for n in nodes if n.tag == "#").split() == ["before", "inside", "after", "next"]
+
+
+def test_a_template_that_is_not_closed_takes_nothing():
+    assert [n.text for n in parse("<p>one <template>two</template>three <template>four") if n.tag == "#"] == ["one three four"]
+
+
 def test_extract(spark, model):
     rows = [(1, "u", WHOLE), (1, "u", WHOLE), (2, None, None), (None, "x", ""), (3, "y", "<nav><a>x</a></nav>"), (4, "z", "<article>" + "<p>word one.</p>" * 20_000 + "</article>")]
     got = html_text.extract(pages_of(spark, rows), model)

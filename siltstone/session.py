@@ -83,6 +83,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is no longer read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Union by position, built as a balanced tree so that analysis does not grow with the square."""
     while len(frames) > 1:

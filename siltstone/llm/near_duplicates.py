@@ -6,13 +6,13 @@ classes that agree on a token stay together and two with similarity s share a ch
 probability s at least. Independent trees repeat this until a pair at the threshold is missed by none with
 the wanted probability.
 
-A node is compared in two ways. First every class is compared with one class of its node (its pivot), which
-joins groups of copies with as many comparisons as classes. What is connected then needs no comparison:
-a node is small if few of its classes lie outside its largest component, and those few are compared with
-all others of the node. Larger nodes branch again, as long as that makes them smaller, with so many children that
-a pair at the threshold survives at any depth; what branching does not split is compared like a small node.
-Nodes are compared in blocks of class against class, so that none meets in one task. Sketches drop pairs
-that are far below the threshold; every other pair is decided on the full shingle sets.
+First every class is compared with one class of its node (its pivot), which joins groups of copies with as many
+comparisons as classes. What is connected then needs no comparison, so a node is judged by its classes outside its
+largest component. Nodes with few pairs left emit them; sketches drop those that are far below the threshold and
+the others are decided on the full shingle sets. Nodes with more pairs are compared exhaustively on the full sets in
+blocks of class against class, each in a task that hands on a spanning forest of its links instead of pairs. Nodes
+with very many classes outside branch again, as long as that makes them smaller, with so many children that a pair at
+the threshold survives at any depth. Labels are renewed after every level, so what is connected does not branch again.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import tokens, words
 from siltstone.llm.components import components
-from siltstone.session import union_all, work_dir
+from siltstone.session import remove, union_all, work_dir
 
 SHINGLE = 5
 #: Link when 100 * |A ∩ B| >= PERCENT * |A ∪ B|.
@@ -36,15 +37,19 @@ PERCENT = 75
 TOKENS = 128
 #: Independent trees; a pair at the threshold is missed by all with probability 0.25 ** 16 at the first level.
 TREES = 16
-#: Classes outside the largest component up to which a node is compared exhaustively.
-SMALL = 64
+#: Pairs up to which a node emits them one by one.
+FEW_PAIRS = 4096
+#: Classes outside the largest component up to which a node is compared exhaustively in blocks.
+SMALL = 1024
 #: Levels that large nodes branch at a time. A node selects one token or two, one and a half on average: a pair at the
 #: threshold has 9/8 common children, so of the 22 roots all lose it with probability 0.04 % at most, however deep they go.
 STEP = 2
 #: A step should halve a node. One that is this many times larger than its root halved at each step is not branched again.
 BEHIND = 4
-#: Classes on each side of a block when a node is compared.
-BLOCK = 512
+#: Classes on each side of a block when a node is compared, and their shingles altogether.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Pairs in a block that share a shingle, from which that shingle is counted by a matrix product.
+DENSE = 2_000
 #: Sketch estimates below the threshold by more than this are dropped (over five standard errors).
 SLACK = 0.2
 #: Ids of documents to compare that are sent to every executor (8 bytes each); more are joined with the texts by a shuffle.
@@ -113,21 +118,100 @@ def _root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The descendants of other nodes ``STEP`` levels down: at each the node's hash selects one token, or two with probability a half."""
+    """The descendants of other nodes ``STEP`` levels down: at each the node's hash selects one token, or two with probability a half.
+
+    A row is a class with its sketch and all its nodes.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
         sketch = _matrix(batch.column("sketch"))
-        node = batch.column("node").to_numpy().view(np.uint64)
-        rows = np.arange(len(node))
+        nodes = batch.column("nodes")
+        rows = np.repeat(np.arange(batch.num_rows), nodes.value_lengths().to_numpy())
+        inner = nodes.flatten()
+        node, was = inner.field("node").to_numpy().view(np.uint64), inner.field("was").to_numpy()
         for _ in range(STEP):
             second = words.mix(node ^ _OTHER) % np.uint64(2) == 0
             drawn = np.concatenate((words.mix(node + np.uint64(1)), words.mix(node[second] + np.uint64(2))))
-            rows = np.concatenate((rows, rows[second]))
+            rows, was = np.concatenate((rows, rows[second])), np.concatenate((was, was[second]))
             j = (drawn % np.uint64(TOKENS)).astype(np.int64)
             node = words.mix(drawn * words._BASE + sketch[rows, j].astype(np.uint64))
-        of = batch.select(["class_id", "was"]).take(pa.array(rows))
-        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *of.columns], ["node", "class_id", "was"])
+        of = batch.column("class_id").take(pa.array(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), of, pa.array(was)], ["node", "class_id", "was"])
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Elements that each set of the left side shares with each of the right one; the sets are distinct numbers."""
+    counts = np.zeros((len(left), len(right)), np.float32)
+    of = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    flat = [np.concatenate([np.empty(0, np.int64), *side]) for side in (left, right)]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    if not len(both):
+        return counts
+    held = []
+    for values, rows in zip(flat, of):
+        at = np.searchsorted(both, values)
+        here = both[np.minimum(at, len(both) - 1)] == values
+        order = np.argsort(at[here], kind="stable")
+        held.append((at[here][order], rows[here][order]))
+    sizes = [np.bincount(at, minlength=len(both)) for at, _ in held]
+    dense = sizes[0] * sizes[1] > DENSE
+    # Shingles that many sets hold: products of 0/1 matrices, some shingles at a time.
+    place = np.cumsum(dense) - 1
+    for k in range(0, int(dense.sum()), 4096):
+        sides = []
+        for (at, rows), side in zip(held, (left, right)):
+            wanted = dense[at] & (place[at] >= k) & (place[at] < k + 4096)
+            hold = np.zeros((len(side), min(4096, int(dense.sum()) - k)), np.float32)
+            hold[rows[wanted], place[at[wanted]] - k] = 1
+            sides.append(hold)
+        counts += sides[0] @ sides[1].T
+    # The others: the pairs that hold each.
+    (at, rows), (at_right, rows_right) = ((a[~dense[a]], r[~dense[a]]) for a, r in held)
+    starts = np.searchsorted(at_right, at)
+    n = sizes[1][at]
+    for a in range(0, len(at), 65_536):
+        few = n[a : a + 65_536]
+        inner = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few)
+        pairs = np.repeat(rows[a : a + 65_536], few) * len(right) + rows_right[np.repeat(starts[a : a + 65_536], few) + inner]
+        counts += np.bincount(pairs, minlength=counts.size).reshape(counts.shape)
+    return counts
+
+
+def _forest(a: np.ndarray, b: np.ndarray, label_a: np.ndarray, label_b: np.ndarray) -> list[int]:
+    """Places of links (a, b) that connect the same components as all of them do."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    _, first = np.unique(np.stack((label_a, label_b)), axis=1, return_index=True)
+    for k in first.tolist():
+        x, y = root(int(label_a[k])), root(int(label_b[k]))
+        if x != y:
+            above[x] = y
+            kept.append(k)
+    return kept
+
+
+def _block_links(rows: pa.Table) -> pa.Table:
+    """Of one block of a node (classes outside its main component against others): a spanning forest of the links between components."""
+    few, others = (rows.filter(pc.equal(rows.column("side"), v)).combine_chunks() for v in (0, 1))
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    if not few.num_rows or not others.num_rows:
+        return out.empty_table()
+    sets, ids, labels = ([t.column(c).to_numpy() for t in (few, others)] for c in ("elements", "class_id", "label"))
+    sizes = [np.array([len(s) for s in side]) for side in sets]
+    both = shared_counts(*(list(side) for side in sets))
+    near = 100 * both >= PERCENT * (sizes[0][:, None] + sizes[1][None] - both)
+    i, j = np.nonzero(near & (labels[0][:, None] != labels[1][None]))
+    kept = _forest(i, j, labels[0][i], labels[1][j])
+    a, b = ids[0][i[kept]], ids[1][j[kept]]
+    return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=out)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -147,6 +231,7 @@ class _Join:
 
     def __init__(self, spark: SparkSession, docs: DataFrame, folder: str):
         self.spark, self.folder, self.steps = spark, folder, 0
+        self.at: dict[int, str] = {}
         self.docs = docs
         self.sketches = self.keep(docs.mapInArrow(_sketched, "doc_id long, n long, h1 long, h2 long, sketch binary"))
         named = self.sketches.where("n > 0 AND doc_id IS NOT NULL")
@@ -156,12 +241,19 @@ class _Join:
             )
         )
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """The rows as a written table, so that later steps neither repeat nor depend on how they were made."""
+    def keep(self, df: DataFrame, *used: DataFrame) -> DataFrame:
+        """The rows as a written table, so that later steps neither repeat nor depend on how they were made.
+
+        Tables of this run that were ``used`` for the last time are deleted once the rows are written.
+        """
         self.steps += 1
         at = f"{self.folder}/{self.steps}"
         df.write.parquet(at)
-        return self.spark.read.parquet(at)
+        for table in used:
+            remove(self.spark, self.at.pop(id(table)))
+        kept = self.spark.read.parquet(at)
+        self.at[id(kept)] = at
+        return kept
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b), those whose full shingle sets are similar enough."""
@@ -175,16 +267,19 @@ class _Join:
             .select("a", "b", "sketch_a", "sketch_b")
         )
         likely = self.keep(near.mapInArrow(_likely, "a long, b long"))
-        wanted = self.keep(likely.select(F.col("a").alias("c")).union(likely.select("b")).distinct())
-        if wanted.count() <= SENT_IDS:
-            wanted = F.broadcast(wanted)
-        sets = self.docs.join(wanted, F.col("doc_id") == F.col("c"), "left_semi").mapInArrow(_sets, "doc_id long, elements array<long>")
-        sets = self.keep(sets)
+        sets = self.sets(likely.select(F.col("a").alias("c")).union(likely.select("b")))
         left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("of_a"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("of_b"))
         both = F.size(F.array_intersect("of_a", "of_b"))
         enough = 100 * both >= PERCENT * (F.size("of_a") + F.size("of_b") - both)
-        return self.keep(likely.join(left, "a").join(right, "b").where(enough).select("a", "b"))
+        return self.keep(likely.join(left, "a").join(right, "b").where(enough).select("a", "b"), likely, sets)
+
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """The shingle sets (doc_id, elements) of classes, read from the documents that name them."""
+        wanted = self.keep(classes.toDF("c").distinct())
+        few = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
+        sets = self.docs.join(few, F.col("doc_id") == F.col("c"), "left_semi").mapInArrow(_sets, "doc_id long, elements array<long>")
+        return self.keep(sets, wanted)
 
     def labelled(self, rows: DataFrame, labels: DataFrame | None, *more: str) -> DataFrame:
         """Node rows with the component known so far."""
@@ -225,29 +320,37 @@ class _Join:
             )
         )
 
-    def blocks(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The classes outside the main component and all classes of nodes, to be joined by node, i and j.
-
-        Both sides of a node are dealt to parts of about ``BLOCK`` classes, and each part of one side meets each of the
-        other under a key of its own.
-        """
-        parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-        part = lambda n: F.pmod(F.xxhash64("class_id"), parts(n)).cast("int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
-        few = rows.where("label != main").select(
-            "node", F.col("class_id").alias("x"), F.col("label").alias("lx"), part("outside").alias("i"), each("all").alias("j")
-        )
-        others = rows.select("node", "class_id", "label", "main", part("all").alias("j"), each("outside").alias("i"))
-        return few, others
-
-    def exhaustive(self, rows: DataFrame) -> DataFrame:
-        """All unconnected pairs of nodes: each class outside the main component with all others."""
-        few, others = self.blocks(rows)
-        met = few.join(others, ["node", "i", "j"]).where(
+    def pairs(self, rows: DataFrame) -> DataFrame:
+        """All unconnected pairs of nodes with few: each class outside the main component with all others."""
+        few = rows.where("label != main").select("node", F.col("class_id").alias("x"), F.col("label").alias("lx"))
+        met = few.join(rows, "node").where(
             (F.col("lx") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("class_id")))
         )
         return met.select(F.least("x", "class_id").alias("a"), F.greatest("x", "class_id").alias("b"))
 
+    def blocks(self, rows: DataFrame) -> DataFrame:
+        """The classes outside the main component (side 0) and all classes (side 1) of nodes, dealt to blocks (node, i, j).
+
+        Both sides of a node are dealt to parts of about ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles, and each part
+        of one side meets each of the other in a block of its own.
+        """
+        sized = rows.join(self.classes.select(F.col("class_id").alias("c"), "n"), F.col("class_id") == F.col("c")).drop("c")
+        outside = F.sum(F.when(F.col("label") != F.col("main"), F.col("n")))
+        heavy = sized.groupBy(F.col("node").alias("of")).agg(F.sum("n").alias("n_all"), outside.alias("n_outside"))
+        parts = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.ceil(F.col(f"n_{c}") / BLOCK_SHINGLES)).cast("int")
+        part = lambda c: F.pmod(F.xxhash64("class_id"), parts(c)).cast("int")
+        each = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+        dealt = rows.join(heavy, F.col("node") == F.col("of"))
+        few = dealt.where("label != main").select("node", part("outside").alias("i"), each("all").alias("j"), F.lit(0).alias("side"), "class_id", "label")
+        others = dealt.select("node", each("outside").alias("i"), part("all").alias("j"), F.lit(1).alias("side"), "class_id", "label")
+        return few.union(others)
+
+    def compared(self, rows: DataFrame) -> DataFrame:
+        """Links of nodes, enough to connect what all their links connect."""
+        sets = self.sets(rows.select("class_id"))
+        wide = self.blocks(rows).join(sets, F.col("class_id") == F.col("doc_id")).select("node", "i", "j", "side", "class_id", "label", "elements")
+        return self.keep(wide.groupBy("node", "i", "j").applyInArrow(_block_links, "a long, b long").distinct(), sets)
+
     def labels(self, links: list[DataFrame]) -> DataFrame:
         self.steps += 1
         found = components(self.spark, union_all(links), f"{self.folder}/components-{self.steps}")
@@ -269,20 +372,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id"
     for _ in range(2):
         links.append(run.verified(run.stars(nodes, labels)))
         labels = run.labels(links)
-    candidates, nodes = [], nodes.withColumn("was", F.lit(None).cast("long"))
+    nodes = nodes.withColumn("was", F.lit(None).cast("long"))
     for step in count():
         unsettled = run.open(nodes, labels)
         was = F.coalesce("was", "outside")
         large = (F.col("outside") > SMALL) & (F.col("outside") * F.lit(2.0**step) <= BEHIND * was)
-        candidates.append(run.exhaustive(unsettled.where(~large)))
+        some = F.col("outside") * F.col("all") <= FEW_PAIRS
+        found = [run.verified(run.pairs(unsettled.where(~large & some)))]
+        many = unsettled.where(~large & ~some)
+        if not many.isEmpty():
+            found.append(run.compared(many))
+        found = [f for f in found if not f.isEmpty()]
+        links += found
+        if found:
+            labels = run.labels(links)
         again = unsettled.where(large).select("node", "class_id", was.alias("was"))
         if again.isEmpty():
             break
-        wide = again.join(sketches, "class_id").select("node", "class_id", "was", "sketch")
-        nodes = run.keep(wide.mapInArrow(_branch, "node long, class_id long, was long").distinct())
-    more = run.verified(union_all(candidates))
-    if not more.isEmpty():
-        labels = run.labels([*links, more])
+        listed = again.groupBy(F.col("class_id").alias("c")).agg(F.collect_list(F.struct("node", "was")).alias("nodes"))
+        wide = listed.join(sketches, F.col("class_id") == F.col("c")).select("class_id", "sketch", "nodes")
+        nodes = run.keep(wide.mapInArrow(_branch, "node long, class_id long, was long").distinct(), unsettled)
     return _by_document(run, labels)
 
 

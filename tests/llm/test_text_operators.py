@@ -250,8 +250,9 @@ def test_pairs_at_the_threshold_stay_together_at_any_depth():
         assert pairs - len({i for _, i in both}) <= 0.003 * pairs
         # Only nodes that a pair shares can be shared further down.
         node, of = pa.array([n for n, i in both for _ in "ab"], pa.int64()), pa.array([i + k * pairs for _, i in both for k in (0, 1)], pa.int64())
-        columns = [node, of, sketch.take(of), pa.nulls(len(of), pa.int64())]
-        (rows,) = near._branch([pa.RecordBatch.from_arrays(columns, ["node", "class_id", "sketch", "was"])])
+        inner = pa.StructArray.from_arrays([node, pa.array([0] * len(of), pa.int64())], ["node", "was"])
+        nodes = pa.ListArray.from_arrays(pa.array(range(len(of) + 1), pa.int32()), inner)
+        (rows,) = near._branch([pa.RecordBatch.from_arrays([of, sketch.take(of), nodes], ["class_id", "sketch", "nodes"])])
 
 
 def test_near_duplicates_within_a_template(spark):
@@ -269,18 +270,46 @@ def test_near_duplicates_within_a_template(spark):
 
 
 def test_nodes_are_compared_in_blocks(spark, monkeypatch):
-    """All unconnected pairs once, with no more than a few blocks of classes under a key."""
+    """All unconnected pairs once, or every one of them in some block with no more than a few parts of classes."""
     monkeypatch.setattr(near, "BLOCK", 8)
     label = {i: 0 if i < 30 else i - i % 2 for i in range(100)}
     rows = [(1, i, x, 0, 100, 70) for i, x in label.items()] + [(2, i, i, 0, 2, 1) for i in (0, 1)]
     nodes = spark.createDataFrame(rows, 'node long, class_id long, label long, main long, `all` long, outside long')
     run = near._Join.__new__(near._Join)
-    got = Counter(map(tuple, run.exhaustive(nodes.where("node = 1")).collect()))
-    assert got == Counter((a, b) for a in range(100) for b in range(a + 1, 100) if label[a] != label[b])
-    assert [tuple(r) for r in run.exhaustive(nodes.where("node = 2")).collect()] == [(0, 1)]
-    few, others = run.blocks(nodes.where("node = 1"))
-    for side in (few, others):
-        assert max(r["count"] for r in side.groupBy("node", "i", "j").count().collect()) <= 3 * near.BLOCK
+    run.classes = spark.createDataFrame([(i, 50 if i != 7 else 9_000_000) for i in label], "class_id long, n long")
+    wanted = {(a, b) for a in range(100) for b in range(a + 1, 100) if label[a] != label[b]}
+    assert Counter(map(tuple, run.pairs(nodes.where("node = 1")).collect())) == Counter(wanted)
+    assert [tuple(r) for r in run.pairs(nodes.where("node = 2")).collect()] == [(0, 1)]
+    blocks = defaultdict(lambda: ([], []))
+    for r in run.blocks(nodes.where("node = 1")).collect():
+        blocks[r["i"], r["j"]][r["side"]].append(r["class_id"])
+    met = {(min(x, y), max(x, y)) for few, others in blocks.values() for x in few for y in others if label[x] != label[y]}
+    assert met == wanted
+    assert max(max(map(len, sides)) for sides in blocks.values()) <= 3 * near.BLOCK
+
+
+def test_shared_counts_and_forest(monkeypatch):
+    monkeypatch.setattr(near, "DENSE", 20)
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 400, draw.integers(0, 60)) * draw.integers(1, 3, 1)) for _ in range(70)]
+    common = np.arange(1000, 1040)
+    left, right = ([np.union1d(s, common) if k % 3 else s for k, s in enumerate(side)] for side in (sets[:30], sets))
+    got = near.shared_counts(left, right)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert near.shared_counts([np.array([1, 2])], [np.array([3])]).tolist() == [[0]]
+    a, b = draw.integers(0, 40, 60), draw.integers(0, 40, 60)
+    kept = near._forest(a, b, a, b)
+    whole, part = ({frozenset(c) for c in merged(zip(x.tolist(), y.tolist()))} for x, y in ((a, b), (a[kept], b[kept])))
+    assert whole == part and len(kept) == sum(len(c) - 1 for c in whole)
+
+
+def merged(links):
+    """Sets of connected nodes, without single ones."""
+    sets = []
+    for a, b in links:
+        hit = [c for c in sets if a in c or b in c]
+        sets = [c for c in sets if c not in hit] + [set().union({a, b}, *hit)]
+    return [c for c in sets if len(c) > 1]
 
 
 def test_near_duplicates_of_nothing(spark):

@@ -211,18 +211,25 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     return rows.mapInArrow(predicted, f"{schema}, lang_pred string, score double, fit double")
 
 
-def least_fits(docs: DataFrame, model: Model) -> DataFrame:
-    """For each language the least fit of a text of it, as (of_lang, least), from all labelled texts that it is found for.
+def least_fits(found: DataFrame) -> DataFrame:
+    """For each language the least fit of a text of it, as (of_lang, least), from predictions with their label ``lang``.
 
-    The limit lies as many times ``FAR`` below the median as the lowest twentieth does, and ``SPARE`` at least.
+    All labelled texts that the label is found for count. The limit lies as many times ``FAR`` below the median as the
+    lowest twentieth does, and ``SPARE`` at least. A language that no labelled text is found for has no limit.
     """
-    found = predict(docs.where(F.col("lang").isNotNull()), model, keep=("lang",)).where("lang = lang_pred AND score > 0")
-    low = found.groupBy(F.col("lang").alias("of_lang")).agg(F.percentile_approx("fit", [0.5, 0.05], 1000).alias("q"))
+    right = found.where("lang = lang_pred AND score > 0")
+    low = right.groupBy(F.col("lang").alias("of_lang")).agg(F.percentile_approx("fit", [0.5, 0.05], 1000).alias("q"))
     return low.select("of_lang", (F.col("q")[0] - F.greatest(FAR * (F.col("q")[0] - F.col("q")[1]), F.lit(SPARE))).alias("least"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of all documents, learned from those that are not held out."""
+    """doc_id, held_out, lang_pred and score of all documents, learned from those that are not held out.
+
+    Only text and label of the rows that are not held out are learned from; rows without either teach nothing. Every row
+    gets a prediction: ``und`` with score 0 for a null text, one without a letter, and for all if nothing was learned.
+    Ties go to the first language in ascending order, a row without an id is not held out, rows that repeat are learned and
+    predicted as often as given, an empty table gives an empty one. Other columns play no part, whatever their names.
+    """
     model = train(docs.where(~is_held_out(F.col("doc_id"))).select("text", "lang"))
     found = predict(docs, model)
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

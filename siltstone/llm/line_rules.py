@@ -1,9 +1,9 @@
 """Quality rules: text measures and the frequency of lines across the documents of a host.
 
 DataFrame functions only. A document's lines are normalised (lower case, words joined by one blank) and
-hashed; a line's frequency is the number of distinct contents (texts) of the host that hold it, so exact
-copies of one document count once. A line above the limits is removed everywhere but in the document with
-the host's smallest id among its bearers; a document that keeps too little of its words is rejected.
+hashed; a line's frequency is the number of distinct documents of the host that hold it. A line above the limit is
+removed everywhere but in the document with the host's smallest id among its bearers, so of equal documents beyond
+the limit one keeps its lines; a document that keeps too little of its words is rejected.
 """
 
 from __future__ import annotations
@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 BLANK = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
 
-#: A line is removed when more than ``MAX_DOCS`` contents and more than ``MAX_SHARE`` of the host's contents hold it.
+#: A line is removed when more documents of the host than this hold it.
 MAX_DOCS = 10
-MAX_SHARE = 0.001
 #: A document is depleted when fewer words than this share of it remain.
 MIN_KEPT = 0.5
 
@@ -99,29 +98,26 @@ def with_lines(docs: DataFrame, doc_id: str, host: str, text: str) -> DataFrame:
     return rows.select("__host", "__doc", "__content", F.col("__at.place").alias("__place"), F.col("__at.line").alias("__line"), F.col("__at.words").alias("__n"))
 
 
-def frequent_lines(lines: DataFrame, contents: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """Lines above the limits of their host, with the smallest id of a document that holds them.
+def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
+    """Lines above the limit of their host, with the smallest id of a document that holds them.
 
-    The first grouping holds a line once for each content, so a line that a third of all rows share is
-    spread over its contents before it is counted; the second combines before it shuffles.
+    The first grouping holds a line once for each document, so a line that a third of all rows hold is
+    spread over its documents before it is counted; the second combines before it shuffles. Rows without an id
+    count as one document.
     """
-    once = lines.groupBy("__host", "__line", "__content").agg(F.min("__doc").alias("__first"))
-    counted = once.groupBy("__host", "__line").agg(F.count("*").alias("__docs"), F.min("__first").alias("__first"))
-    hosts = contents.groupBy(F.col("__host").alias("__of_host")).agg(F.count("*").alias("__all"))
-    over = counted.where(F.col("__docs") > max_docs)
-    above = F.col("__docs") > max_share * F.col("__all")
-    return over.join(hosts, F.col("__host").eqNullSafe(F.col("__of_host"))).where(above).select("__host", "__line", "__first")
+    once = lines.groupBy("__host", "__line", "__doc").agg(F.lit(1).alias("__one"))
+    counted = once.groupBy("__host", "__line").agg(F.count("*").alias("__docs"), F.min("__doc").alias("__first"))
+    return counted.where(F.col("__docs") > max_docs).select("__host", "__line", "__first")
 
 
-def removed_lines(docs: DataFrame, doc_id: str, host: str, text: str, max_docs: int, max_share: float) -> DataFrame:
+def removed_lines(docs: DataFrame, doc_id: str, host: str, text: str, max_docs: int) -> DataFrame:
     """For each document (id and content) with lines to remove: the hashes of those lines and the words that go.
 
     Of a line in a hot group only (host, line) meets at the join; its side is salted, the other repeated.
     """
     salts = 16
     lines = with_lines(docs, doc_id, host, text)
-    contents = docs.where(F.col(text).rlike("[^\\x20\\x09-\\x0D]")).select(F.col(host).alias("__host"), F.xxhash64(text).alias("__content")).distinct()
-    often = frequent_lines(lines, contents, max_docs, max_share).select(
+    often = frequent_lines(lines, max_docs).select(
         F.col("__host").alias("__h"), F.col("__line").alias("__l"), "__first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__s")
     )
     salted = lines.withColumn("__salt", F.pmod(F.xxhash64("__doc", "__content"), F.lit(salts)).cast("int"))
@@ -141,7 +137,6 @@ def apply_rules(
     host: str = "source",
     text: str = "text",
     max_docs: int = MAX_DOCS,
-    max_share: float = MAX_SHARE,
     min_kept: float = MIN_KEPT,
 ) -> DataFrame:
     """All rows and columns with the measures, ``n_removed_words``, ``clean_text`` and ``kept``.
@@ -151,7 +146,7 @@ def apply_rules(
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "clean_text", "kept"]
     docs = docs.drop(*own)
-    gone = removed_lines(docs, doc_id, host, text, max_docs, max_share)
+    gone = removed_lines(docs, doc_id, host, text, max_docs)
     # The hash is a column of its own, so that the text crosses the join only if the clean text is asked for.
     measured = with_measures(docs, text, F.xxhash64(text).alias("__content"))
     judged = measured.join(gone, F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.col("__content") == F.col("__of")), "left")

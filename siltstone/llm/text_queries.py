@@ -25,15 +25,11 @@ covered AS (
   SELECT doc_id, CAST(sum(least(8, i - before)) AS BIGINT) AS n
   FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -8) AS before FROM twins) GROUP BY 1),
 lines AS (
-  SELECT DISTINCT doc_id, source, text, line FROM (
-    SELECT doc_id, source, text,
+  SELECT DISTINCT doc_id, source, line FROM (
+    SELECT doc_id, source,
            unnest(list_transform(string_split(lower(text), chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09\x0B-\x0D]+', ' ', 'g')))) AS line
     FROM d) WHERE line <> ''),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM lines GROUP BY 1),
-often AS (
-  SELECT l.source, line, min(doc_id) AS first
-  FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  GROUP BY l.source, line, n HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > 0.001 * n),
+often AS (SELECT source, line, min(doc_id) AS first FROM lines GROUP BY source, line HAVING count(DISTINCT doc_id) > 10),
 gone AS (
   SELECT l.doc_id, CAST(sum(len(string_split(a.line, ' '))) AS BIGINT) AS n FROM (
     SELECT doc_id, source,

@@ -43,15 +43,14 @@ def flat(line):
     return " ".join(re.findall(BLANK, line.lower()))
 
 
-def brute_rules(rows, max_docs, share):
-    held, first, contents = defaultdict(set), {}, defaultdict(set)
+def brute_rules(rows, max_docs):
+    held, first = defaultdict(set), {}
     for i, t, s in rows:
         for line in {flat(x) for x in (t or "").split("\n")} - {""}:
-            held[(s, line)].add(t)
-            contents[s].add(t)
+            held[(s, line)].add(i)
             low = first.get((s, line))
             first[(s, line)] = i if low is None else low if i is None else min(low, i)
-    often = {k for k, v in held.items() if len(v) > max_docs and len(v) > share * len(contents[k[0]])}
+    often = {k for k, v in held.items() if len(v) > max_docs}
     out = []
     for i, t, s in rows:
         m = measures(t)
@@ -70,16 +69,28 @@ def test_line_rules(spark):
         (None, long[1] + "\nshared Line here", "a"), (6, long[2] + "\n" + long[2], "a"), (7, "é ñ 語 " * 12, "a"),
         *((10 + k, f"Shared  line here\n{x}\n shared LINE here ", "a") for k, x in enumerate(long)),
         *((30 + k, f"only the shared line of many words goes here again and so on until it is long enough to be most of it all\nx{k}", "d") for k in range(8)),
-        *((50 + k, "copies of one text count once " + long[3], "e") for k in range(8)),
+        *((50 + k, "copies of one text all count " + long[3], "e") for k in range(8)),
         (70, "word " * 2 + " ".join(f"v{k % 700}" for k in range(3000)), "f"),
     ]
-    got = line_rules.apply_rules(docs_of(spark, rows), max_docs=4, max_share=0.1)
+    got = line_rules.apply_rules(docs_of(spark, rows), max_docs=4)
     assert got.columns.count("kept") == 1 and {"lang", "source", "label"} <= set(got.columns)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "clean_text", "kept"]
-    assert Counter(map(tuple, got.select(names).collect())) == brute_rules(rows, 4, 0.1)
+    assert Counter(map(tuple, got.select(names).collect())) == brute_rules(rows, 4)
     assert line_rules.apply_rules(docs_of(spark, []), max_docs=4).count() == 0
 
 
+def test_line_rules_count_documents(spark):
+    """30 bearers of a line lose it whatever the size of their host, and of 500 equal documents one keeps its lines."""
+    words = F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), F.col("id")) for k in range(22)))
+    for size in (9_000, 40_000):
+        text = F.when(F.col("id") < 30, F.concat(words, F.lit("\nshared line"))).otherwise(words)
+        docs = spark.range(size).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"))
+        got = line_rules.apply_rules(docs).where("n_removed_words > 0")
+        assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == list(range(1, 30))
+    same = docs_of(spark, [(i, "buy now\n" + " ".join(f"w{k}" for k in range(30)), "s") for i in range(500)])
+    assert [r["doc_id"] for r in line_rules.apply_rules(same).where("kept").collect()] == [0]
+
+
 # Chat logs
 
 
@@ -316,6 +327,37 @@ def test_near_duplicates_of_nothing(spark):
     assert near.near_duplicates(spark, docs_of(spark, [])).count() == 0
 
 
+def test_language_is_naive_bayes_by_hand(spark):
+    """Labels and scores against counts and posteriors taken one n-gram at a time."""
+    words_of = {"x": "alpha beta gamma delta", "y": "uno dos tres cuatro alpha", "z": "ein zwei drei vier beta"}
+    draw = np.random.default_rng(6)
+    rows = [(i, " ".join(draw.choice(words_of[la].split(), draw.integers(1, 6))), la) for i, la in enumerate("xyz" * 40)]
+    rows += [(500, "alpha beta uno", None), (501, "zwei tres", None), (502, "12 34", None), (503, None, "x"), (None, "gamma", "x"), (504, "", "y")]
+    gram = lambda t: [b for x, _ in language.grams([t]) for b in x.tolist()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    counts, docs = defaultdict(Counter), Counter()
+    for i, t, la in rows:
+        if t is not None and la is not None and not held(i):
+            counts[la].update(gram(t))
+            docs[la] += 1
+    wanted = []
+    for i, t, la in rows:
+        if not gram(t or ""):
+            wanted.append((i, held(i), "und", 0.0))
+            continue
+        total = {}
+        for lang in sorted(counts):
+            whole = sum(counts[lang].values()) + language.SMOOTHING * language.BUCKETS
+            total[lang] = np.log(docs[lang] / sum(docs.values())) + sum(np.log((counts[lang][b] + language.SMOOTHING) / whole) for b in gram(t))
+        best = max(sorted(total), key=total.get)
+        wanted.append((i, held(i), best, 1 / sum(np.exp(v - total[best]) for v in total.values())))
+    frame = spark.createDataFrame([(*r, "q", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    got = sorted(map(tuple, language.identify(frame).collect()), key=str)
+    wanted.sort(key=str)
+    assert [g[:3] for g in got] == [w[:3] for w in wanted]
+    assert np.allclose([g[3] for g in got], [w[3] for w in wanted], atol=1e-4)
+
+
 def test_components_of_a_chain(spark):
     links = [(k, k + 1) for k in range(10, 40)] + [(1, 2), (2, 1), (3, 3)]
     got = components(spark, spark.createDataFrame(links, "a long, b long"), work_dir(spark, "c"))

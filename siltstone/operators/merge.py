@@ -65,20 +65,28 @@ def merge(target: DataFrame, increment: DataFrame, key: list[str], cursor: str |
     """``target`` after an increment that holds at most one row per key.
 
     Keys the increment does not name are kept as they are. For the others the incoming row wins, or
-    with a cursor the newer one (incoming on ties). The target is only filtered: next to an
-    increment small enough to broadcast it is neither shuffled nor sorted.
+    with a cursor the newer one (incoming on ties). The target is only filtered, by keys and cursor: next to an
+    increment small enough to broadcast it is neither shuffled nor sorted, and a reader of some columns scans those,
+    the key and the cursor. Only rows without a full key are told apart by their content, and only they are read for it.
     """
     both = extend_schema(target.schema, increment.schema)
-    old, new = (with_no_key(align(df, both), key) for df in (target, increment))
-    names = [*key, "_no_key"]
-    touched = new.select(*[F.col(f"`{k}`").alias(f"_t_{k}") for k in names])
-    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_t_{k}`")) for k in names])
-    kept = old.join(touched, same, "left_anti")
+    old, new = align(target, both), align(increment, both)
+    full = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in key])
+    marks = [F.col(f"`{k}`").alias(f"_t_{k}") for k in key]
+    touched = new.filter(full).select(*marks, *([F.col(f"`{cursor}`").alias("_t_cursor")] if cursor else []))
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`") == F.col(f"`_t_{k}`") for k in key])
+    winners = new.filter(full)
     if cursor:
-        rivals = old.join(touched, same, "left_semi").withColumn("_incoming", F.lit(0))
-        contest = rivals.unionByName(new.withColumn("_incoming", F.lit(1)))
-        new = newest(contest, key, [F.col(cursor).desc_nulls_last(), F.desc("_incoming")]).drop("_incoming")
-    return kept.unionByName(new).drop("_no_key")
+        old_wins = F.coalesce(F.col(f"`{cursor}`") > F.col("_t_cursor"), F.col(f"`{cursor}`").isNotNull() & F.col("_t_cursor").isNull())
+        met = old.filter(full).join(touched, same, "left")
+        kept = met.filter(F.col(f"`_t_{key[0]}`").isNull() | old_wins).select(old.columns)
+        beaten = old.filter(full).join(touched, same).filter(old_wins).select(*[F.col(f"`_t_{k}`") for k in key])
+        winners = winners.join(beaten, same, "left_anti")
+    else:
+        kept = old.filter(full).join(touched, same, "left_anti")
+    bare, more = (with_no_key(df.filter(~full), key) for df in (old, new))
+    more = more.join(bare.select(F.col("_no_key").alias("_known")), F.col("_no_key") == F.col("_known"), "left_anti")
+    return kept.unionByName(winners).unionByName(bare.unionByName(more).drop("_no_key"))
 
 
 def fold(deltas: list[DataFrame], key: list[str], cursor: str | None = None) -> DataFrame:

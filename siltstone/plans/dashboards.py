@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.values import money, month_label
+from siltstone.plans.shared_scan import grouped
 
 
 @dataclass(frozen=True)
@@ -122,14 +123,55 @@ def by_region(values: DataFrame, key: str, regions: DataFrame, region_key: str,
     return top if limit is None else top.limit(limit)
 
 
-def command_center(orders: DataFrame, customers: DataFrame, c: OrderColumns) -> dict[str, DataFrame]:
-    """The whole sales dashboard; each widget is its own lazy result."""
+def command_center(orders: DataFrame, customers: DataFrame, c: OrderColumns, folder: str) -> dict[str, DataFrame]:
+    """The whole sales dashboard. All aggregated widgets over the orders are one scan of them, made now.
+
+    The newest orders are no aggregation: that widget alone reads the orders again, and only from the month on that holds as
+    many as it shows, which the shared result tells; with customers unknown it goes further back.
+    """
+    kept = F.col(c.status) != c.cancelled
+    month = orders.select(c.order_id, c.customer, c.amount, c.date, c.status, c.payment).withColumn("_month", F.date_trunc("month", c.date))
+    sets = {"kpis": [], "trend": ["_month"], "status": [c.status], "payment": [c.payment], "customer": [c.customer]}
+    measures = {
+        "revenue": F.sum(F.when(kept, money(c.amount))),
+        "paid": F.count(F.when(kept, money(c.amount))),
+        "orders": F.count(F.when(kept, F.col(c.order_id))),
+        "kept_rows": F.count(F.when(kept, F.lit(1))),
+        "total": F.count(F.lit(1)),
+    }
+    found = grouped(month, sets, measures, folder)
+    money_of = F.col("revenue").cast("double")
+    total = found["kpis"].agg(*[F.max(n).alias(n) for n in measures])
+    by_customer = found["customer"].filter("kept_rows > 0").join(
+        customers.select(c.customer_id, F.col(c.customer_name).alias("_name")), F.col(c.customer) == F.col(c.customer_id)
+    )
+    buyers = by_customer.groupBy(F.col("_name").alias("customer")).agg(F.sum("revenue").cast("double").alias("revenue"), F.sum("orders").alias("orders"))
     return {
-        "kpis": kpis(orders, customers, c),
-        "revenue_trend": trend(orders, c),
-        "orders_by_status": count_by(orders, c.status),
-        "top_customers": top_customers(orders, customers, c),
-        "revenue_by_payment": revenue_by(orders, c.payment, c),
+        "kpis": total.select(
+            money_of.alias("total_revenue"),
+            F.round(money_of / F.nullif("paid", F.lit(0)), 2).alias("avg_order_value"),
+            F.coalesce("total", F.lit(0)).alias("total_orders"),
+        ).withColumn("total_customers", customers.agg(F.count(F.lit(1))).scalar()),
+        "revenue_trend": found["trend"].filter("kept_rows > 0").orderBy("_month").select(month_label("_month").alias("month"), money_of.alias("revenue")),
+        "orders_by_status": found["status"].select(c.status, F.col("total").alias("count")).orderBy(F.desc("count"), c.status),
+        "top_customers": buyers.orderBy(F.desc("revenue"), "customer").limit(10),
+        "revenue_by_payment": found["payment"].filter("kept_rows > 0").select(c.payment, money_of.alias("revenue")).orderBy(F.desc("revenue"), c.payment),
         "customers_by_region": count_by(customers, c.region, "customers", 10),
-        "recent_orders": recent(orders, customers, c),
+        "recent_orders": recent(_newest_months(orders, customers, c, found["trend"], 15), customers, c),
     }
+
+
+def _newest_months(orders: DataFrame, customers: DataFrame, c: OrderColumns, months: DataFrame, k: int) -> DataFrame:
+    """Orders from the newest month on that, with those after it, holds ``k`` orders of known customers; all if none does."""
+    # One row a month.
+    counts = months.filter("_month IS NOT NULL").orderBy(F.desc("_month")).select("_month", "total").collect()
+    seen, wanted = 0, k
+    for month, total in counts:
+        seen += total
+        if seen >= wanted:
+            newest = orders.filter(F.col(c.date) >= F.lit(month).cast(orders.schema[c.date].dataType))
+            known = newest.join(customers, F.col(c.customer) == F.col(c.customer_id), "left_semi").limit(k).count()
+            if known >= k:
+                return newest
+            wanted = 4 * seen
+    return orders

@@ -80,3 +80,22 @@ def live_metric(
         windows.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).queryName(name)
     )
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def sessions(stream: DataFrame, key: list[str], ts: str, gap: str, lateness: str, measures: dict[str, Column]) -> DataFrame:
+    """Measures per session: rows of a key less than ``gap`` apart. Also for a table, which gives all sessions at once.
+
+    A session's end is its last row's time plus the gap. Its state is freed once the watermark has passed the end; rows later than the watermark
+    are dropped by Spark, and rows without a time belong to no session.
+    """
+    grouped = stream.withWatermark(ts, lateness).groupBy(F.session_window(ts, gap).alias("_s"), *key)
+    return grouped.agg(*[c.alias(n) for n, c in measures.items()]).select(
+        *key, F.col("_s.start").alias("started"), F.col("_s.end").alias("ended"), *measures
+    )
+
+
+def keep_sessions(found: DataFrame, path: str, checkpoint: str, name: str = "sessions", interval: str | None = None) -> StreamingQuery:
+    """Store each session once, when the watermark has passed its end; open ones wait in the state. The sink writes no row twice."""
+    writer = found.writeStream.format("parquet").outputMode("append").option("path", path)
+    writer = writer.option("checkpointLocation", checkpoint).queryName(name)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

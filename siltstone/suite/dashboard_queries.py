@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siltstone.plans import dashboards as d
 from siltstone.plans.dashboards import OrderColumns
+from siltstone.session import work_dir
 from siltstone.suite.registry import query
 from siltstone.suite.tables import table
 
@@ -120,7 +121,7 @@ SELECT 'customers_by_region', c_mktsegment, CAST(COUNT(*) AS DOUBLE) FROM custom
 """)
 def command_center(spark, root):
     """All seven widgets of the dashboard brought into one (widget, label, value) result."""
-    w = d.command_center(table(spark, root, "orders"), table(spark, root, "customer"), ORDERS)
+    w = d.command_center(table(spark, root, "orders"), table(spark, root, "customer"), ORDERS, work_dir(spark, "dashboard"))
     kpis = w["kpis"].select([F.col(c).cast("double").alias(c) for c in w["kpis"].columns])
     parts = {
         "kpis": kpis.unpivot([], kpis.columns, "label", "value"),

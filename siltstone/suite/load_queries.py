@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from siltstone.functions.values import FULL_TIMES
+from siltstone.operators import buckets as B
 from siltstone.operators import layers as L
 from siltstone.operators import sync as S
 from siltstone.operators import versions as V
@@ -52,6 +53,28 @@ def merge_orders(spark, root):
     return _text_date(V.read(spark, path), "o_orderdate")
 
 
+@query("""
+WITH u AS (
+  SELECT *, 0 AS incoming, NULL AS note FROM orders
+  UNION ALL
+  SELECT o_orderkey + CASE WHEN o_orderkey % 2000 = 1 THEN 100000000 ELSE 0 END, o_custkey, o_orderstatus, o_totalprice + 1, o_orderdate, o_orderpriority, 1, 'changed'
+  FROM orders WHERE o_orderkey % 1000 = 1),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate DESC, incoming DESC) AS rn FROM u)
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority, note
+FROM r WHERE rn = 1
+""")
+def pruned_merge(spark, root):
+    """A table dealt by its key after an upsert that changes some rows, adds others and a column; only touched partitions are rewritten."""
+    path = work_dir(spark, "buckets")
+    orders = table(spark, root, "orders")
+    B.create(orders, path, ["o_orderkey"], 64, "o_orderdate")
+    some = orders.filter("o_orderkey % 1000 = 1")
+    moved = F.when(F.col("o_orderkey") % 2000 == 1, F.col("o_orderkey") + 100_000_000).otherwise(F.col("o_orderkey"))
+    changed = some.withColumns({"o_orderkey": moved, "o_totalprice": F.col("o_totalprice") + 1, "note": F.lit("changed")})
+    B.upsert(changed, path)
+    return _text_date(B.read(spark, path), "o_orderdate")
+
+
 @query("""
 WITH base AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1999-07-01' AND o_orderpriority != '1-URGENT'),
 m AS (SELECT MAX(o_orderdate) AS m FROM base)

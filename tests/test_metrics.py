@@ -146,14 +146,14 @@ def test_edges_from_relationships(spark):
 COLUMNS = d.OrderColumns("id", "cust", "amount", "at", "status", "pay", "cid", "name", "state")
 
 
-def test_dashboard_drops_cancelled_and_null_status(spark):
+def test_dashboard_drops_cancelled_and_null_status(spark, tmp_path):
     orders = spark.createDataFrame(
         [(1, 1, 10.0, datetime(2024, 1, 5), "done", "card"), (2, 1, 5.0, datetime(2024, 2, 5), "cancelled", "card"),
          (3, 2, 7.0, datetime(2024, 2, 6), None, "cash"), (4, 9, 1.0, datetime(2024, 3, 1), "done", "cash")],
         "id int, cust int, amount double, at timestamp_ntz, status string, pay string",
     )
     customers = spark.createDataFrame([(1, "Ann", "X"), (2, "Bo", "Y")], "cid int, name string, state string")
-    w = d.command_center(orders, customers, COLUMNS)
+    w = d.command_center(orders, customers, COLUMNS, str(tmp_path / "w"))
     assert w["kpis"].first() == (11.0, 5.5, 4, 2)
     assert rows(w["revenue_trend"], "kept") == [("Jan 2024", 10.0), ("Mar 2024", 1.0)]
     assert rows(w["top_customers"]) == [("Ann", 10.0, 1)]

@@ -30,16 +30,16 @@ def summarize_all(tables: dict[str, DataFrame], exact: bool = False) -> DataFram
     digests, so all columns of all tables share one shuffle of fixed-width rows, however long
     their texts are.
     """
-    profile = union_all([_sketched(df, model) for model, df in tables.items()])
+    profile = union_all([_sketched(df, model, not exact) for model, df in tables.items()])
     if not exact:
         return profile
     columns = [(m, c) for m, df in tables.items() for c in df.columns]
     return with_cardinality(profile, count_exactly(tables, columns))
 
 
-def _sketched(df: DataFrame, model: str) -> DataFrame:
+def _sketched(df: DataFrame, model: str, distinct: bool = True) -> DataFrame:
     fields = df.schema.fields
-    long = union_all([_pass(df, fields[i : i + _CHUNK], i) for i in range(0, len(fields), _CHUNK)])
+    long = union_all([_pass(df, fields[i : i + _CHUNK], i, distinct) for i in range(0, len(fields), _CHUNK)])
     empty = "round((row_count - present) / nullif(row_count, 0) * 100, 2)"
     return long.selectExpr(
         f"{_text(model)} AS model",
@@ -61,7 +61,7 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _pass(df: DataFrame, fields: list[T.StructField], offset: int) -> DataFrame:
+def _pass(df: DataFrame, fields: list[T.StructField], offset: int, distinct: bool) -> DataFrame:
     aggregates, cells = ["count(1) AS row_count"], []
     for i, f in enumerate(fields):
         c = _quoted(f.name)
@@ -70,7 +70,7 @@ def _pass(df: DataFrame, fields: list[T.StructField], offset: int) -> DataFrame:
         low, high = ("NULL", "NULL") if nested else (f"min({c})", f"max({c})")
         aggregates += [
             f"count({c}) AS n{i}",
-            f"approx_count_distinct({counted}) AS d{i}",
+            f"approx_count_distinct({counted}) AS d{i}" if distinct else f"first(CAST(NULL AS BIGINT)) AS d{i}",
             f"CAST({low} AS STRING) AS lo{i}",
             f"CAST({high} AS STRING) AS hi{i}",
         ]

@@ -251,61 +251,114 @@ def path_to(graph: list[Edge], fact: str, dimension: str) -> list[Edge]:
     return shortest[0]
 
 
+def tree_to(graph: list[Edge], fact: str, dimensions: list[str]) -> list[Edge]:
+    """The fewest many-to-one steps that lead from ``fact`` to all dimension tables, nearest first.
+
+    A step that several dimensions share counts once, so the tree may pass a table that is on no shortest path. It is
+    found by subsets of the dimensions: the best tree below a table for a subset is a step followed by the best
+    tree there, or the union of the best trees for two parts of the subset. Two smallest trees are ambiguous and raise.
+    """
+    wanted = [d for d in dict.fromkeys(dimensions) if d != fact]
+    tables = sorted({t for e in graph for t in (e.one, e.many)} | {fact, *wanted})
+    full = (1 << len(wanted)) - 1
+    # Per subset and table the smallest sets of steps; two are kept, which is enough to tell that they are ambiguous.
+    best: list[dict[str, set[frozenset[Edge]]]] = [{t: {frozenset()} for t in tables}]
+
+    def smallest(options: set[frozenset[Edge]]) -> set[frozenset[Edge]]:
+        least = min(map(len, options))
+        return set(sorted((o for o in options if len(o) == least), key=sorted_steps)[:2])
+
+    def sorted_steps(o: frozenset[Edge]) -> list[tuple]:
+        return sorted((e.many, e.many_column, e.one) for e in o)
+
+    for subset in range(1, full + 1):
+        found: dict[str, set[frozenset[Edge]]] = {}
+        for t in tables:
+            here = subset & ~sum(1 << i for i, d in enumerate(wanted) if d == t)
+            options = set(best[here].get(t, ())) if here != subset else set()
+            part = (subset - 1) & subset
+            while part:
+                options |= {a | b for a in best[part].get(t, ()) for b in best[subset & ~part].get(t, ())}
+                part = (part - 1) & subset
+            if options:
+                found[t] = smallest(options)
+        for _ in tables:
+            for e in graph:
+                if e.one in found:
+                    options = found.get(e.many, set()) | {o | {e} for o in found[e.one]}
+                    found[e.many] = smallest(options)
+        best.append(found)
+    trees = best[full].get(fact, set())
+    if not trees:
+        raise ValueError(f"no many-to-one steps from {fact} to {', '.join(wanted)}")
+    (tree, *more) = trees
+    twice = {e.one for e in tree for f in tree if e != f and e.one == f.one}
+    if more or twice:
+        raise ValueError(f"more than one smallest tree from {fact} to {', '.join(wanted)}")
+    ordered, reached = [], [fact]
+    for t in reached:
+        steps = sorted((e for e in tree if e.many == t), key=lambda e: (e.many_column, e.one))
+        ordered += steps
+        reached += [e.one for e in steps]
+    return ordered
+
+
 def query_related(
     tables: dict[str, DataFrame],
     graph: list[Edge],
     metrics: dict[str, list[Metric]],
-    breakdown: tuple[str, str],
+    breakdown: tuple[str, str] | list[tuple[str, str]],
     filters: dict[str, list[str]] | None = None,
 ) -> DataFrame:
-    """Metrics of one or several fact tables by a column of a related table.
+    """Metrics of one or several fact tables by columns of related tables, each given as (table, column).
 
-    Each fact is first aggregated to the key of its first step and only then joined along the
-    path, so the big table is shuffled once, as partial sums. Several facts are brought to the
-    breakdown's grain separately before they meet, which keeps one from inflating the other. A key of the
-    one side that is not unique raises.
+    Each fact is first aggregated to the keys of its first steps and only then joined along the
+    tree of steps to the breakdowns' tables, so the big table is shuffled once, as partial sums, and every join is followed
+    by a grouping. Several facts are brought to the breakdowns' grain separately before they meet, which keeps one from
+    inflating the other. A key of the one side that is not unique raises. Breakdowns of the same name get their table's
+    name before it.
     """
-    dim_table, dim_column = breakdown
+    dims = [breakdown] if isinstance(breakdown, tuple) else list(breakdown)
+    columns = [c for _, c in dims]
+    names = [c if columns.count(c) == 1 else f"{t}_{c}" for t, c in dims]
     filters = filters or {}
     parts = []
     for fact, wanted in metrics.items():
         if any(m.aggregation not in ("sum", "count", "min", "max", "avg") for m in wanted):
             raise ValueError("only sum, count, min, max and avg can be joined along a path")
+        steps = path_to(graph, fact, dims[0][0]) if len(dims) == 1 else tree_to(graph, fact, [t for t, _ in dims])
+
+        def carried(t: str, steps: list[Edge] = steps) -> list[Column]:
+            """What a table hands on: the keys of the steps from it and its breakdown columns."""
+            keys = [F.col(e.many_column).alias(f"_key{i}") for i, e in enumerate(steps) if e.many == t]
+            return keys + [F.col(c).alias(f"_dim{i}") for i, (d, c) in enumerate(dims) if d == t]
+
         rows = reduce(lambda d, c: d.filter(c), filters.get(fact, []), tables[fact])
-        steps = path_to(graph, fact, dim_table)
-        if not steps:
-            parts.append(query(rows, wanted, dim_column))
-            continue
-        merged = rows.groupBy(F.col(steps[0].many_column).alias("_key")).agg(
-            *[c for m in wanted for c in _partials(m)]
-        )
+        merged = rows.groupBy(*carried(fact)).agg(*[c for m in wanted for c in _partials(m)])
         for i, e in enumerate(steps):
-            following = steps[i + 1].many_column if i + 1 < len(steps) else dim_column
             one = reduce(lambda d, c: d.filter(c), filters.get(e.one, []), tables[e.one])
-            one = _once(one.select(F.col(e.one_column).alias("_one"), F.col(following).alias("_next")), e)
-            merged = merged.join(one, F.col("_key") == F.col("_one")).drop("_key", "_one")
-            merged = (
-                merged.groupBy(F.col("_next").alias("_key"))
-                .agg(*[c for m in wanted for c in _regroup(m)])
-            )
+            one = _once(one.select(F.col(e.one_column).alias("_one"), *carried(e.one)), e)
+            merged = merged.join(one, F.col(f"_key{i}") == F.col("_one")).drop(f"_key{i}", "_one")
+            kept = [c for c in merged.columns if c.startswith(("_key", "_dim"))]
+            merged = merged.groupBy(*kept).agg(*[c for m in wanted for c in _regroup(m)])
         parts.append(
-            merged.select(F.col("_key").alias(dim_column), *[_finish(m).alias(m.name) for m in wanted])
+            merged.select(*[F.col(f"_dim{i}").alias(n) for i, n in enumerate(names)], *[_finish(m).alias(m.name) for m in wanted])
         )
     result = parts[0]
     for part in parts[1:]:
-        names = [c for c in result.columns if c != dim_column] + [c for c in part.columns if c != dim_column]
-        part = part.withColumnRenamed(dim_column, "_right")
-        result = result.join(part, F.col(dim_column).eqNullSafe(F.col("_right")), "full").select(
-            F.coalesce(dim_column, "_right").alias(dim_column), *names
-        )
+        values = [c for c in result.columns if c not in names] + [c for c in part.columns if c not in names]
+        part = part.withColumnsRenamed({n: f"_right_{n}" for n in names})
+        same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_right_{n}")) for n in names])
+        result = result.join(part, same, "full").select(*[F.coalesce(n, f"_right_{n}").alias(n) for n in names], *values)
     return result
 
 
 def _once(one: DataFrame, e: Edge) -> DataFrame:
     """The one side of a step, each key once; a key listed twice raises, as it would count its facts twice."""
-    keys = one.filter(F.col("_one").isNotNull()).groupBy("_one").agg(F.count(F.lit(1)).alias("_n"), F.first("_next").alias("_next"))
+    rest = [c for c in one.columns if c != "_one"]
+    keys = one.filter(F.col("_one").isNotNull()).groupBy("_one").agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_rest"))
     twice = F.raise_error(F.concat(F.lit(f"{e.one}.{e.one_column} is not unique: "), F.col("_one").cast("string")))
-    return keys.select(F.when(F.col("_n") > 1, twice).otherwise(F.col("_one")).alias("_one"), "_next")
+    return keys.select(F.when(F.col("_n") > 1, twice).otherwise(F.col("_one")).alias("_one"), "_rest.*")
 
 
 def _partials(m: Metric) -> list[Column]:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions import names as N
 from siltstone.functions.types import compatible
-from siltstone.operators.profile import presence, unique_columns
+from siltstone.operators.profile import UNIQUE_SHARE, count_exactly, presence, unique_columns
 from siltstone.session import pin, small_frame, union_all
 
 RELATIONSHIP = [
@@ -314,6 +314,78 @@ def unique_keys(tables: dict[str, DataFrame], measured: KeyValues) -> DataFrame:
     return found.select("model", "column_name")
 
 
+#: log2 of the entries of a key column's sketch: sets of half as many values and fewer are kept whole.
+SKETCH_BITS = 14
+
+
+def sketches(tables: dict[str, DataFrame], columns: list[tuple[str, str]], keep_at: str | None = None) -> DataFrame:
+    """A theta sketch of the values of each key column: (model, column_name, rows, present, sketch, distinct, whole).
+
+    One aggregation per table; a task hands on its sketches, never values. ``whole`` says that the sketch holds all of
+    them, so that counts taken from it are exact. Values are compared as by ``measure``.
+    """
+    parts = []
+    for model in sorted({m for m, _ in columns}):
+        df = tables[model]
+        names = [c for m, c in columns if m == model]
+        cells = [
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.count(F.col(f"`{c}`")).alias("present"),
+                F.expr(f"theta_sketch_agg({_key_text(c, df.schema[c].dataType)}, {SKETCH_BITS})").alias("sketch"),
+            )
+            for c in names
+        ]
+        one = df.agg(F.count(F.lit(1)).alias("rows"), *[c.alias(f"c{i}") for i, c in enumerate(cells)])
+        all_of = F.array(*[F.col(f"c{i}") for i in range(len(cells))])
+        parts.append(one.select(F.lit(model).alias("model"), "rows", F.inline(all_of)))
+    found = union_all(parts).withColumn("distinct", F.coalesce(F.theta_sketch_estimate("sketch"), F.lit(0)))
+    found = found.withColumn("whole", F.col("distinct") <= 1 << (SKETCH_BITS - 1))
+    if keep_at:
+        found.write.mode("overwrite").parquet(keep_at)
+        found = found.sparkSession.read.schema(found.schema).parquet(keep_at)
+    return found
+
+
+def unique_by_sketch(tables: dict[str, DataFrame], found: DataFrame) -> DataFrame:
+    """(model, column_name) of unique sketched columns; only those that a sketch cannot decide are counted."""
+    full = found.filter("present = rows AND rows > 0").select("model", "column_name", "rows", "distinct", "whole").collect()
+    error = 5 / 2 ** (SKETCH_BITS / 2)
+    sure = [r for r in full if r["whole"]]
+    near = [r for r in full if not r["whole"] and r["distinct"] >= UNIQUE_SHARE * r["rows"] * (1 - error)]
+    spark = found.sparkSession
+    schema = "model string, column_name string, rows bigint, cardinality bigint"
+    decided = small_frame(spark, [(r["model"], r["column_name"], r["rows"], r["distinct"]) for r in sure], schema)
+    if near:
+        listed = small_frame(spark, [(r["model"], r["column_name"], r["rows"]) for r in near], "model string, column_name string, rows bigint")
+        counted = count_exactly(tables, [(r["model"], r["column_name"]) for r in near])
+        decided = decided.unionByName(listed.join(counted, ["model", "column_name"]))
+    return decided.filter(F.col("cardinality") >= UNIQUE_SHARE * F.col("rows")).select("model", "column_name")
+
+
+def screen(
+    pairs: DataFrame, found: DataFrame, min_inclusion: float = MIN_INCLUSION, min_matches: int = MIN_MATCHES
+) -> DataFrame:
+    """The pairs with (total_count, match_count, whole) by their columns' sketches, without those that surely miss the limits.
+
+    Where both sketches are whole the counts are exact. Else a pair goes only if the upper bound of its matches, five standard
+    errors above the estimate, is below the limits.
+    """
+    side = lambda x: found.select(
+        F.col("model").alias(f"{x}_model"), F.col("column_name").alias(f"{x}_column"), F.col("sketch").alias(f"_{x}"),
+        F.col("distinct").alias(f"_{x}_n"), F.col("whole").alias(f"_{x}_whole"),
+    )
+    both = pairs.join(side("fk"), ["fk_model", "fk_column"]).join(side("pk"), ["pk_model", "pk_column"])
+    # NULL where a column holds no value.
+    match = F.coalesce(F.theta_sketch_estimate(F.theta_intersection("_fk", "_pk")), F.lit(0))
+    both = both.withColumn("total_count", F.col("_fk_n")).withColumn("match_count", match).withColumn("whole", F.col("_fk_whole") & F.col("_pk_whole"))
+    share = F.least(F.lit(1.0), (1 << SKETCH_BITS) / F.greatest("_fk_n", "_pk_n", F.lit(1)))
+    seen = F.col("match_count") * share
+    most = F.when(F.col("whole"), F.col("match_count")).otherwise((seen + 5 * F.sqrt(seen + 1) + 12) / share)
+    low = F.when(F.col("whole"), F.col("total_count")).otherwise(F.col("total_count") * (1 - 5 / 2 ** (SKETCH_BITS / 2)))
+    return both.filter((most >= min_inclusion * low) & (most >= min_matches)).drop("_fk", "_pk", "_fk_n", "_pk_n", "_fk_whole", "_pk_whole")
+
+
 def inclusion(
     tables: dict[str, DataFrame],
     pairs: DataFrame,
@@ -322,13 +394,23 @@ def inclusion(
     measured: KeyValues | None = None,
     min_inclusion: float = MIN_INCLUSION,
     min_matches: int = MIN_MATCHES,
+    sketched: DataFrame | None = None,
 ) -> DataFrame:
     """Relationships whose distinct reference values are found among the key's values.
 
     Kept are pairs with at least ``min_inclusion`` of the values and ``min_matches`` of them found;
-    ``keep_all`` returns every pair with its counts. ``measured`` is reused if it covers the pairs' columns.
+    ``keep_all`` returns every pair with its counts. ``measured`` is reused if it covers the pairs' columns. With the
+    columns' sketches (``sketched``) only the values of pairs that these cannot decide are measured; the result is the same.
     """
     pairs = pin(pairs)
+    if sketched is not None and not keep_all and sample is None:
+        names = pairs.columns
+        kept = pin(screen(pairs, sketched, min_inclusion, min_matches))
+        decided = _scored(kept.filter("whole").drop("whole"), keep_all, min_inclusion, min_matches)
+        open_ = kept.filter("NOT whole").select(names)
+        if open_.isEmpty():
+            return decided
+        return decided.unionByName(inclusion(tables, open_, min_inclusion=min_inclusion, min_matches=min_matches))
     listed = pairs.select("fk_model", "fk_column", "pk_model", "pk_column").collect()
     columns = sorted({(r[0], r[1]) for r in listed} | {(r[2], r[3]) for r in listed})
     if not columns:
@@ -557,12 +639,25 @@ def accepted(relationships: DataFrame) -> DataFrame:
     )
 
 
-def append(relationships: DataFrame, found: DataFrame, method: str, suffix: str, min_confidence: float | None = None) -> DataFrame:
+def append(
+    relationships: DataFrame, found: DataFrame, method: str, suffix: str, min_confidence: float | None = None,
+    catalog: DataFrame | None = None,
+) -> DataFrame:
     """Add found references (from = referring side) that the model does not hold yet.
 
-    Declared ones carry confidence 1.0; inferred ones need ``min_confidence``.
+    Declared ones carry confidence 1.0; inferred ones need ``min_confidence``. Conditions are quoted like those of the
+    other passes; with a ``catalog`` columns of different families are compared as the texts by which inclusion measures them.
     """
     rows = found if "confidence" in found.columns else found.withColumn("confidence", F.lit(1.0))
+    one, many = _quoted(F.col("to_table"), F.col("to_column")), _quoted(F.col("from_table"), F.col("from_column"))
+    condition = F.concat(one, F.lit(" = "), many)
+    if catalog is not None:
+        family = lambda side: catalog.select(
+            F.col("model").alias(f"{side}_table"), F.col("column_name").alias(f"{side}_column"), F.col("family").alias(f"_{side}")
+        )
+        rows = rows.join(family("from"), ["from_table", "from_column"], "left").join(family("to"), ["to_table", "to_column"], "left")
+        as_text = F.concat(_text_of(one, F.col("_to")), F.lit(" = "), _text_of(many, F.col("_from")))
+        condition = F.when(F.coalesce(compatible(F.col("_to"), F.col("_from")), F.lit(True)), condition).otherwise(as_text)
     if min_confidence is not None:
         rows = rows.filter(F.col("confidence") >= min_confidence)
     name = F.concat("from_table", F.lit("_"), "from_column", F.lit("__"), "to_table", F.lit("_"), "to_column", F.lit(suffix))
@@ -573,7 +668,7 @@ def append(relationships: DataFrame, found: DataFrame, method: str, suffix: str,
         F.col("from_table").alias("to"),
         F.col("from_column").alias("to_column"),
         F.lit("one_to_many").alias("join_type"),
-        F.concat("to_table", F.lit("."), "to_column", F.lit(" = "), "from_table", F.lit("."), "from_column").alias("condition"),
+        condition.alias("condition"),
         F.col("confidence").cast("double").alias("confidence"),
         F.lit(method).alias("method"),
     )

@@ -203,6 +203,34 @@ def metric_two_facts(spark, root):
     )
 
 
+@query("""
+WITH o AS (
+  SELECT c_mktsegment, n_name, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue, COUNT(*) AS orders
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+l AS (
+  SELECT c_mktsegment, n_name, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity, MAX(l_shipdate) AS shipped
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
+SELECT COALESCE(o.c_mktsegment, l.c_mktsegment) AS c_mktsegment, COALESCE(o.n_name, l.n_name) AS n_name, revenue, orders, quantity,
+       strftime(shipped, '%Y-%m-%d') AS shipped
+FROM o FULL JOIN l ON o.c_mktsegment = l.c_mktsegment AND o.n_name = l.n_name
+""")
+def metric_two_breakdowns(spark, root):
+    """Two facts by columns of two tables; the lines reach the nation by the customer, as that step is needed anyway."""
+    names = ["orders", "lineitem", "customer", "supplier", "nation"]
+    out = m.query_related(
+        {n: table(spark, root, n) for n in names}, GRAPH,
+        {
+            "orders": [Metric("revenue", "sum", CENTS), Metric("orders", "count")],
+            "lineitem": [Metric("quantity", "sum", "CAST(l_quantity AS DECIMAL(18,2))"), Metric("shipped", "max", "l_shipdate")],
+        },
+        [("customer", "c_mktsegment"), ("nation", "n_name")],
+    )
+    return out.selectExpr(
+        "c_mktsegment", "n_name", "CAST(revenue AS DOUBLE) AS revenue", "orders", "CAST(quantity AS DOUBLE) AS quantity",
+        "date_format(shipped, 'yyyy-MM-dd') AS shipped",
+    )
+
+
 @query("""
 SELECT l_returnflag AS label, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
        COUNT(*) AS lines

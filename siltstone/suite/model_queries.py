@@ -1,9 +1,12 @@
 """Catalog, profiles and model discovery over the given tables and tables derived from them."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from siltstone.functions import names as N
 from siltstone.operators import catalog as C
+from siltstone.operators import drift as DR
 from siltstone.operators import layers as L
 from siltstone.operators import profile as P
 from siltstone.plans import metrics as MQ
@@ -42,7 +45,8 @@ COLUMNS = {
 
 def _tables(spark, root, names):
     """The tables with the schemas that their files have."""
-    return {n: spark.read.parquet(f"{root}/{n}.parquet") for n in names}
+    with ThreadPoolExecutor(len(names)) as pool:
+        return dict(zip(names, pool.map(lambda n: spark.read.parquet(f"{root}/{n}.parquet"), names)))
 
 
 def _keyed(spark, root):
@@ -139,14 +143,14 @@ def profile_exact(spark, root):
     return P.summarize_all(_tables(spark, root, ALL), exact=True)
 
 
-@query(_profile_sql(ALL))
+@query(f"SELECT * EXCLUDE (cardinality), TRUE AS plausible FROM ({_profile_sql(ALL)})")
 def profile_single_pass(spark, root):
-    """The one-pass profile of all tables; an estimate within 15 % of the true count is shown as that count, others as they are."""
-    tables = _tables(spark, root, ALL)
-    true = P.count_exactly(tables, [(t, c) for t, df in tables.items() for c in df.columns]).withColumnRenamed("cardinality", "_true")
-    near = F.abs(F.col("cardinality") - F.col("_true")) <= 0.15 * F.col("_true")
-    out = P.summarize_all(tables).join(true, ["model", "column_name"])
-    return out.withColumn("cardinality", F.when(near, F.col("_true")).otherwise(F.col("cardinality"))).drop("_true")
+    """The one-pass profile of all tables: what it knows exactly, and whether its estimates of distinct values can be right."""
+    found = P.summarize_all(_tables(spark, root, ALL))
+    present = F.col("row_count") * (1 - F.col("null_percentage") / 100)
+    few = F.when(F.col("min") == F.col("max"), F.col("cardinality") == 1).otherwise(F.col("cardinality") > 1)
+    plausible = (F.col("cardinality") <= 1.15 * present) & (F.col("min").isNull() | few)
+    return found.withColumn("plausible", plausible).drop("cardinality")
 
 
 @query("""
@@ -254,9 +258,12 @@ _INCLUSION_COLUMNS = [
 
 @query(_inclusion_sql([(ft, fc, pt, pc, ft, fc, pt, pc) for ft, fc, pt, pc in FOREIGN_KEYS]))
 def inclusion_dependencies(spark, root):
-    """All references among the given tables, found by name and confirmed by their values."""
-    tables, keyed, measured = _keyed(spark, root)
-    return R.inclusion(tables, R.candidates(keyed, R.PREFIXED_KEYS), measured=measured).select(*_INCLUSION_COLUMNS)
+    """All references among the given tables, found by name and confirmed by their values, which only sketches leave open."""
+    tables = _tables(spark, root, ALL)
+    sketched = pin(R.sketches(tables, R.key_columns(tables, R.PREFIXED_KEYS)))
+    unique = R.unique_by_sketch(tables, sketched)
+    keyed = pin(R.primary_keys(C.describe(spark, tables), R.PREFIXED_KEYS, unique))
+    return R.inclusion(tables, R.candidates(keyed, R.PREFIXED_KEYS), sketched=sketched).select(*_INCLUSION_COLUMNS)
 
 
 SHOP_KEYS = [
@@ -475,3 +482,32 @@ def appended_relationships(spark, root):
     known = R.inclusion(tables, R.candidates(keyed))
     both = R.append(known, R.suggest(keyed), "inferred_constraint", "_inferred", R.APPEND_CONFIDENCE)
     return both.select("from", "from_column", "to", "to_column", "confidence", "method")
+
+
+_GONE = {"o_totalprice": "DOUBLE", "o_orderpriority": "VARCHAR", "o_custkey": "BIGINT", "o_orderstatus": "VARCHAR"}
+_ADDED = {"amount": "DOUBLE", "priority": "VARCHAR", "half": "BIGINT", "initial": "VARCHAR"}
+
+
+def _resemblance_sql(a, b):
+    values = lambda c, t: f"SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL"
+    both = f"(SELECT COUNT(*) FROM ({values(a, 'orders')} INTERSECT {values(b, 'later')}))"
+    every = f"(SELECT COUNT(*) FROM ({values(a, 'orders')} UNION {values(b, 'later')}))"
+    return f"SELECT '{a}' AS old_name, '{b}' AS new_name, {both} / {every} AS r"
+
+
+@query(
+    "WITH later AS (SELECT CASE WHEN o_orderkey % 50 != 0 THEN o_totalprice END AS amount, o_orderpriority AS priority, "
+    "o_custkey // 2 + 1000000 AS half, left(o_orderpriority, 1) AS initial FROM orders), pairs AS ("
+    + " UNION ALL ".join(_resemblance_sql(a, b) for a, s in _GONE.items() for b, t in _ADDED.items() if s == t)
+    + ") SELECT old_name, new_name FROM pairs WHERE r >= 0.8"
+)
+def renamed_columns(spark, root):
+    """Columns that a new version holds under other names, told by their values; one lost a fiftieth of them, two are new."""
+    orders = table(spark, root, "orders")
+    later = orders.select(
+        "o_orderkey", "o_orderdate", F.when(F.col("o_orderkey") % 50 != 0, F.col("o_totalprice")).alias("amount"),
+        F.col("o_orderpriority").alias("priority"), F.expr("o_custkey div 2 + 1000000").alias("half"),
+        F.substring("o_orderpriority", 1, 1).alias("initial"),
+    )
+    kept = pin(DR.column_values(orders))
+    return DR.renamed(kept, pin(DR.column_values(later))).select("old_name", "new_name")

@@ -39,3 +39,19 @@ def test_detect_as_frame(spark):
     df = drift.detect(spark, schema("a int"), schema("b int"), "t")
     assert {(r.column_name, r.requires_review) for r in df.collect()} == {("a", True), ("b", False)}
     assert drift.detect(spark, None, schema("a int"), "t").count() == 0
+
+
+def test_renamed_columns(spark):
+    from siltstone.operators import drift
+
+    old = spark.range(3000).selectExpr("id", "id * 2 AS a", "id % 7 AS b", "cast(id AS string) AS c", "NULL AS d", "array(id) AS e", "id % 7 AS f")
+    new = spark.range(3000).selectExpr(
+        "id", "IF(id % 20 = 0, NULL, id * 2) AS a2", "id % 7 AS g", "id * 2 + 1 AS other", "cast(id AS string) AS c2", "NULL AS d2", "array(id) AS e2"
+    )
+    values = drift.column_values(old)
+    got = drift.renamed(values, drift.column_values(new)).collect()
+    # One of the two equal columns finds a partner; columns without values and nested ones find none.
+    assert [(r.old_name, r.new_name) for r in got] == [("b", "g"), ("c", "c2"), ("a", "a2")]
+    assert [round(r.resemblance, 2) for r in got] == [1.0, 1.0, 0.95]
+    assert drift.renamed(values, values).count() == 0
+    assert drift.column_values(spark.range(1).selectExpr("array(id) AS x")).count() == 0

@@ -160,3 +160,30 @@ def test_dashboard_drops_cancelled_and_null_status(spark, tmp_path):
     assert rows(w["revenue_by_payment"], "kept") == [("card", 10.0), ("cash", 1.0)]
     assert [r.id for r in w["recent_orders"].collect()] == [3, 2, 1]
     assert rows(w["customers_by_region"]) == [("X", 1), ("Y", 1)]
+
+
+def test_the_smallest_tree_shares_steps():
+    graph = [
+        Edge("a", "id", "fact", "a_id"), Edge("b", "id", "fact", "b_id"), Edge("hub", "id", "fact", "hub_id"),
+        Edge("mid", "id", "hub", "mid_id"), Edge("x", "id", "mid", "x_id"), Edge("y", "id", "mid", "y_id"),
+        Edge("z", "id", "mid", "z_id"), Edge("x", "id", "a", "x_id"), Edge("y", "id", "b", "y_id"), Edge("fact", "id", "fact", "up_id"),
+    ]
+    steps = lambda *d: [(e.many, e.one) for e in m.tree_to(graph, "fact", list(d))]
+    assert steps("x") == [("fact", "a"), ("a", "x")]
+    assert steps("x", "y", "z") == [("fact", "hub"), ("hub", "mid"), ("mid", "x"), ("mid", "y"), ("mid", "z")]
+    assert steps("fact", "hub") == [("fact", "hub")] and steps("fact") == []
+    for dims in (["x", "y"], ["nowhere"]):  # two trees of four steps; no way there
+        with pytest.raises(ValueError):
+            m.tree_to(graph, "fact", dims)
+
+
+def test_two_breakdowns_of_one_name(spark):
+    tables = {
+        "r": spark.createDataFrame([(1, "east"), (2, None)], "id int, name string"),
+        "c": spark.createDataFrame([(10, 1, "ann"), (11, 1, "bo"), (12, 2, "bo")], "id int, r_id int, name string"),
+        "o": spark.createDataFrame([(100, 10, 5.0), (101, 10, 6.0), (102, 11, 7.0), (103, 12, 1.0), (104, 12, None)], "id int, c_id int, amount double"),
+    }
+    metrics = {"o": [Metric("total", "sum", "amount"), Metric("mean", "avg", "amount")], "c": [Metric("customers", "count")]}
+    got = m.query_related(tables, GRAPH, metrics, [("r", "name"), ("c", "name")])
+    assert got.columns == ["r_name", "c_name", "total", "mean", "customers"]
+    assert rows(got) == sorted([("east", "ann", 11.0, 5.5, 1), ("east", "bo", 7.0, 7.0, 1), (None, "bo", 1.0, 1.0, 1)], key=repr)

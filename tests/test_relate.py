@@ -280,3 +280,47 @@ def test_unique_keys_need_every_row(spark):
     }
     measured = R.measure(tables, R.key_columns(tables))
     assert rows(R.unique_keys(tables, measured)) == [("a", "x_id")]
+
+
+def test_sketches_decide_what_they_can(spark, monkeypatch):
+    """The same relationships as by measuring, and no value of small or hopeless pairs is measured."""
+    wide = spark.range(60_000)
+    tables = {
+        "big": wide.select("id"),
+        "small": spark.range(500).select("id"),
+        "in_big": wide.select((F.col("id") * 2).alias("big_id")).filter("big_id < 100000"),
+        "half_big": wide.select((F.col("id") + 29_000).alias("big_id")),
+        "out_big": wide.select((F.col("id") + 10_000_000).alias("big_id")),
+        "in_small": spark.range(300).select((F.col("id") % 40).alias("small_id"), F.lit(None).cast("long").alias("none_id")),
+        "text_small": spark.range(300).select((F.col("id") % 900).cast("string").alias("small_id")),
+        "nothing": spark.range(0).select(F.col("id").alias("small_id")),
+    }
+    cols = [(m, c) for m, df in tables.items() for c in df.columns]
+    cat = catalog(spark, [("main", m, c, "VARCHAR" if m == "text_small" else "BIGINT") for m, c in cols])
+    refs = [(m, c) for m, c in cols if c != "id"]
+    both = spark.createDataFrame(
+        [(m, c, c.split("_")[0] if c != "none_id" else "small", "id") for m, c in refs], "fk_model string, fk_column string, pk_model string, pk_column string"
+    )
+    both = both.join(R._side(cat, "fk"), ["fk_model", "fk_column"]).join(R._side(cat, "pk"), ["pk_model", "pk_column"])
+    plain = rows(R.inclusion(tables, both))
+    asked, measure = [], R.measure
+    monkeypatch.setattr(R, "measure", lambda t, columns, *a, **k: asked.extend(columns) or measure(t, columns, *a, **k))
+    found = R.sketches(tables, cols)
+    assert rows(R.inclusion(tables, both, sketched=found)) == plain and len(plain) == 4
+    assert sorted(set(asked)) == [("big", "id"), ("half_big", "big_id"), ("in_big", "big_id")]
+    assert rows(R.unique_by_sketch(tables, found)) == sorted(
+        [("big", "id"), ("small", "id"), ("in_big", "big_id"), ("half_big", "big_id"), ("out_big", "big_id"), ("text_small", "small_id")], key=repr
+    )
+
+
+def test_appended_conditions_are_quoted_and_reconciled(spark):
+    cat = catalog(spark, [("main", "users", "id", "BIGINT"), ("main", "posts", "user id", "VARCHAR"), ("main", "likes", "user_id", "BIGINT")])
+    empty = R.inclusion({}, spark.createDataFrame([], "fk_model string, fk_column string, pk_model string, pk_column string").join(
+        R._side(cat, "fk"), ["fk_model", "fk_column"]).join(R._side(cat, "pk"), ["pk_model", "pk_column"]))
+    found = spark.createDataFrame([("posts", "user id", "users", "id"), ("likes", "user_id", "users", "id")], "from_table string, from_column string, to_table string, to_column string")
+    got = {r.to: r.condition for r in R.append(empty, found, "source_constraint", "_srcfk", catalog=cat).collect()}
+    assert got["likes"] == "`users`.`id` = `likes`.`user_id`"
+    assert got["posts"] == "CAST(`users`.`id` AS STRING) = CAST(`posts`.`user id` AS STRING)"
+    users = spark.createDataFrame([(1,), (2,)], "id long")
+    posts = spark.createDataFrame([("1",), ("x",)], "`user id` string")
+    assert users.alias("users").join(posts.alias("posts"), F.expr(got["posts"])).count() == 1

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.values import FULL_TIMES
 from siltstone.operators import drift
 from siltstone.operators import versions as V
 from siltstone.operators.layers import Lake, follow
@@ -36,13 +38,17 @@ def since(df: DataFrame, cursor: str, last: Column | None) -> DataFrame:
 def unseen(df: DataFrame, stored: DataFrame | None, cursor: str, last: Column | None) -> DataFrame:
     """Of the rows ``since`` a cursor value those that are not stored yet, copies counted.
 
-    Only the edge (rows equal to the value and rows without one) is compared with the stored edge.
+    Only the edge (rows equal to the value and rows without one) is compared with the stored edge, by digests of the rows.
     """
     if stored is None or last is None or not set(df.columns) <= set(stored.columns):
         return df
     on_edge = F.col(cursor).isNull() | (F.col(cursor) == last)
-    kept = stored.filter(on_edge).select(*[F.col(f"`{c}`") for c in df.columns])
-    return df.filter(F.col(cursor) > last).unionByName(df.filter(on_edge).exceptAll(kept))
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), FULL_TIMES), 256)
+    held = stored.filter(on_edge).groupBy(digest.alias("_held")).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = df.filter(on_edge).withColumn("_digest", digest)
+    numbered = numbered.withColumn("_r", F.row_number().over(Window.partitionBy("_digest").orderBy(F.lit(1))))
+    fresh = numbered.join(held, F.col("_digest") == F.col("_held"), "left").filter(F.col("_r") > F.coalesce("_n", F.lit(0)))
+    return df.filter(F.col(cursor) > last).unionByName(fresh.select(*[F.col(f"`{c}`") for c in df.columns]))
 
 
 def load(
@@ -122,12 +128,15 @@ def run(
     cursors: dict[str, str] | None = None,
     incremental: bool = False,
     policy: str = "evolve",
+    at_once: int = 4,
 ) -> DataFrame:
-    """Load several tables of a source; one report row per table, also kept in the sync log."""
-    reports = [
-        load(lake, source, n, df, (keys or {}).get(n), (cursors or {}).get(n), incremental, policy)
-        for n, df in tables.items()
-    ]
+    """Load several tables of a source, ``at_once`` of them together; one report row per table, also kept in the sync log."""
+
+    def one(name: str) -> dict:
+        return load(lake, source, name, tables[name], (keys or {}).get(name), (cursors or {}).get(name), incremental, policy)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        reports = list(pool.map(one, tables))
     spark = next(iter(tables.values())).sparkSession
     frame = report_frame(spark, reports)
     frame.withColumn("finished_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{lake.base}/_syncs")

@@ -11,6 +11,7 @@ grown to a tenth of it, so a small increment costs what it holds and not what th
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass
 from dataclasses import replace as replaced
@@ -55,20 +56,35 @@ class Version:
         return self.base_rows + self.delta_rows
 
 
+def _entries(spark: SparkSession, root: str) -> list[str]:
+    """The names of the log's finished entries, oldest first: a folder each, ``<version>-<digest of the batch>``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_loads")
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(at) if path_exists(spark, f"{s.getPath()}/_SUCCESS"))
+
+
 def log(spark: SparkSession, root: str) -> DataFrame:
     """All finished loads of a table, oldest first (empty for a new table)."""
-    if not path_exists(spark, f"{root}/_loads"):
+    names = _entries(spark, root)
+    if not names:
         return small_frame(spark, [], LOG)
-    return spark.read.schema(LOG).json(f"{root}/_loads").orderBy("version")
+    return spark.read.schema(LOG).json([f"{root}/_loads/{n}" for n in names]).orderBy("version")
 
 
 def latest(spark: SparkSession, root: str) -> Version | None:
-    """The newest finished load."""
-    if not path_exists(spark, f"{root}/_loads"):
+    """The newest finished load, by the name of its entry; no other entry is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_loads")
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(at):
         return None
-    r = spark.read.schema(LOG).json(f"{root}/_loads").orderBy(F.desc("version")).first()
-    if r is None:  # a first load that was broken off before its commit
+    names = sorted((s.getPath().getName() for s in system.listStatus(at)), reverse=True)
+    # An entry that was broken off before its commit does not count.
+    newest = next((n for n in names if path_exists(spark, f"{root}/_loads/{n}/_SUCCESS")), None)
+    if newest is None:
         return None
+    r = spark.read.schema(LOG).json(f"{root}/_loads/{newest}").first()
     schema = T.StructType.fromJson(json.loads(r.schema_json))
     return Version(
         r.version, r.mode, r.segments, r.deltas, r.merge_key, r.rows, r.base_rows, r.delta_rows, schema, r.cursor, r.high_water
@@ -125,8 +141,8 @@ def clean(spark: SparkSession, root: str) -> list[str]:
 
 
 def has_batch(spark: SparkSession, root: str, batch: str) -> bool:
-    """Whether a micro-batch is already in the log."""
-    return not log(spark, root).filter(F.col("batch") == batch).isEmpty()
+    """Whether a micro-batch is already in the log, by the names of its entries."""
+    return any(n.endswith(f"-{_tag(batch)}") for n in _entries(spark, root))
 
 
 def high_water(spark: SparkSession, root: str, cursor: str) -> Column | None:
@@ -264,4 +280,9 @@ def _commit(spark: SparkSession, root: str, v: Version, batch: str | None) -> No
         v.version, v.mode, v.segments, v.deltas, v.merge_key, v.rows, v.base_rows, v.delta_rows, v.schema.json(), v.cursor,
         v.high_water, batch, datetime.now(timezone.utc),
     )
-    small_frame(spark, [entry], LOG).coalesce(1).write.mode("append").json(f"{root}/_loads")
+    at = f"{root}/_loads/{v.version:010d}-{_tag(batch)}"
+    small_frame(spark, [entry], LOG).coalesce(1).write.mode("overwrite").json(at)
+
+
+def _tag(batch: str | None) -> str:
+    return hashlib.sha256(batch.encode()).hexdigest()[:32] if batch is not None else "load"

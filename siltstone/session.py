@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_LOCAL_WORK: dict[str, str] = {}
+_LOCAL_WORK: set[str] = set()
 
 
 def build_session(app: str = "siltstone", master: str | None = None, **settings: str) -> SparkSession:
@@ -100,13 +101,15 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for written tables and streaming state.
 
     It lies in the shared folder named by ``spark.checkpoint.dir``. Where that is unset a local
-    master gets a temporary folder; on a cluster it is an error, because the executors could
-    not see a folder of the driver's machine.
+    master gets a folder beside its warehouse, which is removed when the process ends; on a cluster it is an
+    error, because the executors could not see a folder of the driver's machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        app = spark.sparkContext.applicationId
-        root = _LOCAL_WORK.setdefault(app, tempfile.mkdtemp(prefix="siltstone-"))
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-work/{spark.sparkContext.applicationId}"
+        if root not in _LOCAL_WORK:
+            _LOCAL_WORK.add(root)
+            atexit.register(shutil.rmtree, root.removeprefix("file:"), True)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -489,11 +489,14 @@ def stream_windows(spark, root):
     )
 
 
-@query("SELECT user_id, event_type, COUNT(DISTINCT event_id) > 0 AS seen FROM events GROUP BY 1, 2")
+@query("SELECT user_id, event_type, 1::BIGINT AS kept, COUNT(*) AS sent, TRUE AS known FROM events GROUP BY 1, 2")
 def stream_dedupe(spark, root):
-    """One row per user and type from a stream, the rest dropped as duplicates."""
+    """One row per user and type from a stream, the rest dropped as duplicates: the rows kept and sent, and whether the kept one was sent."""
     path = work_dir(spark, "stream")
     stream = _events_stream(spark, root).withColumn("ts", F.col("ts").cast("timestamp"))
-    once = ST.dedupe(stream, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type")
+    once = ST.dedupe(stream, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type", "event_id")
     ST.sync(once, f"{path}/once", f"{path}/_checkpoint", name="stream_dedupe").awaitTermination()
-    return V.read(spark, f"{path}/once").withColumn("seen", F.lit(True))
+    key = ["user_id", "event_type"]
+    kept = V.read(spark, f"{path}/once").groupBy(*key).agg(F.count(F.lit(1)).alias("kept"), F.max("event_id").alias("_one"))
+    sent = table(spark, root, "events").join(kept, key)
+    return sent.groupBy(*key, "kept").agg(F.count(F.lit(1)).alias("sent"), F.max(F.col("event_id") == F.col("_one")).alias("known"))

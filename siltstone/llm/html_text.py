@@ -3,7 +3,8 @@
 Every node of a page's tree is content or not. A node's features speak for one or the other (naive Bayes
 over tags, names of classes, ids and roles, amounts of text and links), and parent and child are tied by a
 potential that depends on the kind of the parent. One pass of sum-product messages from the leaves up and one
-from the root down give each node's exact marginal. A text is content if its marginal exceeds one half.
+from the root down give each node's exact marginal. A text is content if its marginal exceeds one half; where no text's does surely,
+those nearly as likely as the likeliest are too, unless that one is unlikely.
 Features and potentials are counted on labelled pages.
 """
 
@@ -23,9 +24,11 @@ from siltstone.llm.html_tree import Node, parse
 from siltstone.llm.labelled_pages import labelled_pages
 
 #: Labelled pages that the model is trained on, and the seed of their making.
-PAGES, SEED = 1500, 11
+PAGES, SEED = 2000, 11
 #: Features seen less often in training say nothing.
 RARE = 4
+#: Where no text is surely content: log odds from which the likeliest is taken, and those within so many nats below it.
+LEAST, NEAR = -6.0, 2.0
 _SMOOTH = 0.5
 _KINDS = {
     "#page": "page", "html": "page", "body": "page",
@@ -35,7 +38,8 @@ _KINDS = {
 
 
 #: Elements of running text, and elements that mark a region by their tag alone.
-_FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody thead tfoot tr td th figure figcaption caption details summary".split())
+_FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption caption details summary".split())
+_CELLS = frozenset("table tbody thead tfoot tr td th".split())
 _SIDE = frozenset("nav header footer aside form button label menu dialog address fieldset".split())
 
 
@@ -62,13 +66,16 @@ def features(node: Node) -> list[str]:
     if node.tag in _FLOW:
         # A paragraph or a list says little by itself; its place does.
         return names
-    return [f"tag {node.tag}", f"around {share}", *names]
+    if node.tag in _CELLS:
+        # Cells lay out data as well as pages: only the share of links tells.
+        return [f"cell {share}", *names]
+    return [f"tag {node.tag}", f"around {share}", f"amount {(node.chars - node.linked).bit_length()}", *names]
 
 
 def _tie(parent: Node, child: Node) -> str:
     """The kind of a tie: where the parent stands and what the child is."""
     tag = child.tag
-    group = "text" if tag == "#" else "flow" if tag in _FLOW else "side" if tag in _SIDE else "named" if child.names else "box"
+    group = "text" if tag == "#" else "flow" if tag in _FLOW else "cell" if tag in _CELLS else "side" if tag in _SIDE else "named" if child.names else "box"
     return f"{_KINDS.get(parent.tag, 'flow')} {group}"
 
 
@@ -143,7 +150,12 @@ def marginals(model: Model, nodes: list[Node]) -> list[float]:
 def main_text(model: Model, html: str) -> str:
     """The content texts in page order, one to a line."""
     nodes = parse(html)
-    return "\n".join(n.text for n, odds in zip(nodes, marginals(model, nodes)) if n.tag == "#" and odds > 0)
+    odds = marginals(model, nodes)
+    texts = [i for i, n in enumerate(nodes) if n.tag == "#"]
+    best = max((odds[i] for i in texts), default=0.0)
+    # Nearly all pages have content: where no text is sure of it, those nearly as likely as the likeliest count.
+    limit = min(0.0, best - NEAR) if best > LEAST else 0.0
+    return "\n".join(nodes[i].text for i in texts if odds[i] > limit)
 
 
 def default_model() -> Model:

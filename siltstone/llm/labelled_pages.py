@@ -47,6 +47,20 @@ class _Maker:
             name += r.choice("-_ ") + r.choice(("box", "wrap", "list", "area", "section", "inner", "item", "block"))
         return f' {r.choice(("class", "class", "id"))}="{name}"'
 
+    def opaque(self) -> str:
+        """A class name that tells nothing, as builds and page builders make them, or none."""
+        r = self.r
+        if r.random() < 0.4:
+            return ""
+        mark = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+        return f' class="{r.choice("abcdefghijklmnopqrstuvwxyz")}{mark(r.randint(1, 6))}"'
+
+    def boxes(self, body: str, most: int = 3) -> str:
+        """The body inside some boxes whose names tell nothing."""
+        for _ in range(self.r.randint(1, most)):
+            body = f"<div{self.opaque()}>{body}</div>"
+        return body
+
     def paragraph(self) -> str:
         r = self.r
         text = " ".join(self.sentence(1, 30) for _ in range(r.choice((1, 1, 2, 4, 8))))
@@ -91,8 +105,21 @@ class _Maker:
             head = f'<header data-part="other"><p>{self.words(1, 6)}</p></header>' + head
         if r.random() < 0.08:
             blocks.append(f'<footer data-part="other"><p>{self.sentence(2, 10)}</p></footer>')
+        if r.random() < 0.12:
+            # An article without paragraphs: its texts stand in boxes or spans.
+            loose = ("<div{}>{}</div>", "<div{}>{}</div>", "<span{}>{}</span><br><br>", "<div{}><span>{}</span></div>")
+            shape = r.choice(loose)
+            blocks = [shape.format(self.opaque() if r.random() < 0.3 else "", self.paragraph()) for _ in range(r.randint(1, 8))]
+            if r.random() < 0.3:
+                blocks.insert(0, f"<span>{self.paragraph()}</span>")
         body = head + "".join(blocks)
+        if r.random() < 0.15:
+            cut = r.randint(0, len(blocks))
+            body = head + "".join(blocks[:cut]) + self.boxes("".join(blocks[cut:]))
         form = r.random()
+        if r.random() < 0.15:
+            body = f'<div{self.opaque()} data-part="content">{body}</div>'
+            return self.boxes(body) if r.random() < 0.5 else body
         if form < 0.45:
             body = f'<article{self.named(CONTENT_NAMES) if r.random() < 0.3 else ""} data-part="content">{body}</article>'
             return f"<main>{body}</main>" if r.random() < 0.3 else body
@@ -128,6 +155,10 @@ class _Maker:
         tag = tags[kind] if kind in tags and r.random() < 0.6 else r.choice(("div", "div", "section", "aside" if kind in ("notice", "advert") else "div"))
         own = tag in tags.values()
         name = "" if own and r.random() < 0.6 else self.named(REGIONS[kind])
+        if tag == "div" and kind in ("menu", "header", "footer", "sidebar", "share") and r.random() < 0.25:
+            # Told by what it holds alone.
+            name = self.opaque()
+            inner = r.choice((inner, self.boxes(inner, 2)))
         if kind == "notice" and r.random() < 0.2:
             name += ' role="dialog"'
         return f'<{tag}{name} data-part="other">{inner}</{tag}>'
@@ -145,6 +176,12 @@ class _Maker:
             parts.append(self.article())
         parts += [self.region(k) for k in after]
         body = "".join(parts)
+        if len(parts) > 1 and r.random() < 0.06:
+            # A page laid out by a table.
+            cells = "".join(r.choice(("<td>{}</td>", "<td>{}</td>", "</tr><tr><td>{}</td>")).format(x) for x in parts)
+            body = f"<table{self.opaque()}><tr>{cells}</tr></table>"
+        if r.random() < 0.1:
+            body = self.boxes(body)
         for _ in range(r.choice((0, 0, 0, 1, 2))):
             body = f'<div{self.named(["wrapper", "container", "page", "site", "app", "layout", "row"]) if r.random() < 0.7 else ""}>{body}</div>'
         return f"<html><head></head><body>{body}</body></html>"

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from siltstone.llm import tokens
 from siltstone.session import small_frame, work_dir
 
-#: Parts into which the pieces of one length are dealt for ranking; a length may hold a third of all pieces.
-BUCKETS = 64
+#: Pieces of one length, on average, that a task numbers; a length may hold a third of all pieces.
+BUCKET_PIECES = 100_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -108,13 +108,19 @@ def slots(spark: SparkSession, packs: list[tuple[int, tuple[int, ...]]]) -> Data
     return small_frame(spark, rows, "slot_length long, lo long, hi long, first long, offset long")
 
 
-def with_rank(pieces: DataFrame) -> DataFrame:
+def with_rank(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """Adds the rank of each piece among those of its length, from 0.
 
-    Every length is dealt into buckets that are numbered by themselves; a bucket starts where the
-    counts of those before it end.
+    Every length is dealt into as many buckets as its number of pieces asks for, which are numbered by themselves; a
+    bucket starts where the counts of those before it end. So no task numbers more than some ``BUCKET_PIECES``, and
+    of the full pieces, which may be a third of all, none more than of the others.
     """
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)))
+    spark = pieces.sparkSession
+    # One row a length, of which there are as many as a sequence holds ids at most.
+    wanted = small_frame(spark, [(length, -(-n // BUCKET_PIECES)) for length, n in histogram.items()], "of_length long, buckets long")
+    dealt = pieces.join(F.broadcast(wanted), F.col("length") == F.col("of_length")).withColumn(
+        "bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("buckets"))
+    ).drop("of_length", "buckets")
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -130,7 +136,7 @@ def place(spark: SparkSession, pieces: DataFrame, capacity: int) -> DataFrame:
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = slots(spark, patterns(histogram, capacity))
-    ranked = with_rank(pieces)
+    ranked = with_rank(pieces, histogram)
     fits = (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     placed = ranked.join(F.broadcast(where), fits)
     return placed.withColumn("sequence_id", F.col("first") + F.col("rank") - F.col("lo")).drop(

@@ -25,7 +25,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
         for batch in batches:
             for part in tokens.slices(batch, "__text"):
                 texts = part.column("__text")
-                _, n = encoder.encode(texts)
+                n = encoder.counts(texts)
                 size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], size, pa.array(n, pa.int64())], [*part.schema.names[:-1], "n_bytes", "n_tokens"]

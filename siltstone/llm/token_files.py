@@ -26,6 +26,8 @@ MARK = b"IDS8"
 TAIL = struct.Struct("<QQI4s")
 #: Ids after which a file is closed; a file holds whole documents.
 FILE_IDS = 4_000_000
+#: Characters of a text by which rows of one id are dealt to tasks.
+RANGE_CHARS = 64
 
 
 def write_file(out, doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
@@ -84,7 +86,7 @@ def write_ids(
 
     Returns the manifest: part, file, path, n_docs, n_ids. Null text is empty, null ids come first, rows that
     repeat an id follow each other by text. The texts are dealt out by ranges of the id, so no task sorts more
-    than its share; an id that a third of all rows share would share a task, as ids are meant to be unique.
+    than its share; rows that repeat an id are dealt by the beginnings of their texts, of which only equal ones share a task.
     """
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +117,9 @@ def write_ids(
             yield close()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("__doc"), F.col(text).cast("string").alias("__text"))
-    ordered = rows.repartitionByRange("__doc").sortWithinPartitions("__doc", "__text")
+    # A prefix orders texts as they do themselves, and is all that goes into the sample of the ranges.
+    ranged = rows.repartitionByRange(F.col("__doc"), F.substring("__text", 1, RANGE_CHARS))
+    ordered = ranged.sortWithinPartitions("__doc", "__text")
     schema = "part int, file int, path string, n_docs long, n_ids long"
     return shared_files.committed(spark, ordered.mapInArrow(written, schema), folder)
 

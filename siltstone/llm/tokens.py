@@ -53,6 +53,7 @@ class Encoder:
         self.model = self.library.model
         self.letters = byte_letters()
         self.memo: dict[str, bytes] = {}
+        self.sizes: dict[str, int] = {}
         self.lower, self.odd, self.pieces = False, None, None
         contractions = "'s|'t|'re|'ve|'m|'ll|'d"
         kind = _layout(spec)
@@ -80,12 +81,53 @@ class Encoder:
             ids, counts = _interleave(ids, counts, more, more_counts, odd)
         return ids, counts
 
-    def _by_chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Each text's number of ids; no ids are kept. Null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.odd is None:
+            return self._counts_by_library(texts.to_pylist())
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        chunks = self._chunks(plain)
+        distinct = chunks.flatten().dictionary_encode()
+        known = self._chunk_counts(distinct.dictionary.to_pylist())
+        upto = np.concatenate(([0], np.cumsum(known[distinct.indices.to_numpy(zero_copy_only=False)])))
+        bounds = chunks.offsets.to_numpy()
+        counts = np.diff(upto[bounds - bounds[0]])
+        if odd.any():
+            counts[odd] = self._counts_by_library(texts.filter(pa.array(odd)).to_pylist())
+        return counts
+
+    def _chunk_counts(self, chunks: list[str]) -> np.ndarray:
+        """The numbers of ids of distinct chunks; those not yet known are encoded in batches of about equal bytes."""
+        if len(self.sizes) > MEMO:
+            self.sizes.clear()
+        sizes = self.sizes
+        new = [c for c in chunks if c not in sizes]
+        for batch in balanced([len(c.encode()) for c in new]):
+            encoded = self.library.encode_batch_fast([new[k] for k in batch], add_special_tokens=False)
+            for k, e in zip(batch, encoded):
+                sizes[new[k]] = len(e.ids)
+        return np.fromiter(map(sizes.__getitem__, chunks), np.int64, len(chunks))
+
+    def _counts_by_library(self, texts: list[str]) -> np.ndarray:
+        """Texts as they are; long ones in pieces, in batches of about equal bytes."""
+        parts = [(i, p) for i, text in enumerate(texts) for p in cut(text)]
+        counts = np.zeros(len(texts), np.int64)
+        for batch in balanced([len(p.encode()) for _, p in parts]):
+            encoded = self.library.encode_batch_fast([parts[k][1] for k in batch], add_special_tokens=False)
+            for k, e in zip(batch, encoded):
+                counts[parts[k][0]] += len(e.ids)
+        return counts
+
+    def _chunks(self, texts: pa.Array) -> pa.Array:
+        """The texts as lists of chunks that no id reaches across."""
         if self.lower:
-            chunks = pc.ascii_split_whitespace(pc.utf8_lower(texts))
-        else:
-            marked = pc.replace_substring_regex(texts, r"([ \n]+)", "\x1f\\1")
-            chunks = pc.split_pattern(marked, "\x1f")
+            return pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        return pc.split_pattern(pc.replace_substring_regex(texts, r"([ \n]+)", "\x1f\\1"), "\x1f")
+
+    def _by_chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        chunks = self._chunks(texts)
         distinct = chunks.flatten().dictionary_encode()
         where = distinct.indices.to_numpy(zero_copy_only=False)
         found = self._remember(distinct.dictionary.to_pylist())

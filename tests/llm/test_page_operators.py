@@ -4,6 +4,7 @@ import hashlib
 import io
 import itertools
 import math
+import random
 import struct
 from collections import Counter
 
@@ -144,6 +145,68 @@ def test_held_out_pages(model):
     assert right / total > 0.96
 
 
+class Other:
+    """Layouts of a second maker: names outside all lists, texts in boxes, spans and cells, regions told by what they hold."""
+
+    def __init__(self, seed):
+        self.r = random.Random(seed)
+
+    def say(self, low, high):
+        vowels, rest = "aeiou", "bcdfglmnprstvz"
+        word = lambda: "".join(self.r.choice(rest) + self.r.choice(vowels) for _ in range(self.r.randint(1, 4)))
+        return " ".join(word() for _ in range(self.r.randint(low, high))).capitalize()
+
+    def name(self):
+        return f' class="{self.r.choice("qzjkx")}{self.r.randint(10, 999)}"' if self.r.random() < 0.7 else ""
+
+    def page(self):
+        r = self.r
+        texts = [" ".join(self.say(5, 18) + "." for _ in range(r.randint(2, 5))) for _ in range(r.randint(2, 7))]
+        title = self.say(2, 6)
+        block = r.choice(("<p>{}</p>", "<div>{}</div>", "<p>{}", "<div><span>{}</span></div>"))
+        article = r.choice((f"<h1>{title}</h1>", f"<h2>{title}</h2>")) + "".join(block.format(t) for t in texts)
+        for _ in range(r.randint(1, 3)):
+            article = f"<div{self.name()}>{article}</div>"
+        link = lambda: f'<a href="/{r.randint(1, 99)}">{self.say(1, 3)}</a>'
+        menu = r.choice((" | ", " ", "<br>")).join(link() for _ in range(r.randint(3, 9)))
+        foot = f"© {self.say(1, 4)}"
+        if r.random() < 0.3:
+            body = f"<table><tr><td>{menu}</td><td>{article}</td></tr></table>"
+        else:
+            body = f"<div{self.name()}>{menu}</div>{article}"
+            body = f"<div{self.name()}>{body}</div>" if r.random() < 0.5 else body
+        return f"<html><body>{body}<div{self.name()}>{foot}</div></body></html>", [title, *texts]
+
+
+def test_layouts_of_another_maker(model):
+    """No article empties, nearly all of its texts are found and nearly nothing else is taken."""
+    maker, found, wanted, taken = Other(5), 0, 0, 0
+    for _ in range(300):
+        html, texts = maker.page()
+        got = html_text.main_text(model, html).split("\n")
+        assert got != [""], html
+        hit = sum(t in got for t in texts)
+        found, wanted, taken = found + hit, wanted + len(texts), taken + len(got)
+    assert found / wanted > RECALL and found / taken > PRECISION
+
+
+#: Measured on the pages of the second maker: 0.99 of the texts are found, and 0.99 of what is taken is theirs.
+RECALL, PRECISION = 0.97, 0.97
+
+
+@pytest.mark.parametrize("html,lines", [
+    ('<div class="a1"><div class="b2"><h1>{h}</h1>{p}{p}{p}</div></div>', 4),
+    ('<div id="content"><div>{t}</div><div>{t}</div></div>', 2),
+    ('<div id="content"><span>{t}</span><div>{t}</div></div>', 2),
+    ('<div class="x1"><div class="x2"><a>One</a> <a>Two</a> <a>Three</a></div><div class="x3"><h1>{h}</h1>{p}{p}{p}{p}</div><div class="x4">© All rights</div></div>', 5),
+    ('<table><tr><td><a>One</a><br><a>Two</a><br><a>Three</a></td><td><h1>{h}</h1>{p}{p}{p}</td></tr></table>', 4),
+])
+def test_layouts_without_names(model, html, lines):
+    text = "Some paragraph of text that goes on for a while, with commas and so on. It has two sentences."
+    got = html_text.main_text(model, f"<html><body>{html.format(h='The title', p=f'<p>{text}</p>', t=text)}</body></html>").split("\n")
+    assert len(got) == lines and set(got) <= {"The title", text}
+
+
 WHOLE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><a href=/>Site</a></header><nav><ul><li><a>A</a><li><a>B</a></ul></nav><!-- <p>no</p> --><div class="ad">Buy this now.</div>
 <div id="cookie-notice"><p>We use cookies.</p><button>OK</button></div>

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm import packing, token_counts, token_files, tokens, word_packing
@@ -41,6 +42,7 @@ def split(ids, counts):
 def test_tricky_texts(both):
     ids, counts = both[0].encode(pa.array(TRICKY, pa.string()))
     assert split(ids, counts) == plain(both[1], TRICKY)
+    assert both[0].counts(pa.array(TRICKY, pa.string())).tolist() == counts.tolist()
 
 
 @settings(max_examples=60, deadline=None)
@@ -48,6 +50,7 @@ def test_tricky_texts(both):
 def test_any_texts(both, texts):
     ids, counts = both[0].encode(pa.array(texts, pa.string()))
     assert split(ids, counts) == plain(both[1], texts)
+    assert both[0].counts(pa.array(texts, pa.string())).tolist() == counts.tolist()
 
 
 def test_long_texts_are_cut_safely(both, monkeypatch):
@@ -187,3 +190,46 @@ def test_sequences_hold_the_ids(spark):
     assert all(len(x) == r["n_tokens"] <= 16 for x, r in zip(ids, got))
     want = Counter(i for x in plain(Tokenizer.from_file(WORDS), ["a b c d " * k for k in range(12)]) for i in x + [1])
     assert Counter(sum(ids, [])) == want
+
+
+def test_a_length_of_most_pieces_is_dealt_to_many_tasks(spark, monkeypatch):
+    """The full pieces are numbered in as many buckets as there are of them, each once."""
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 500)
+    pieces = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"),
+        F.when(F.col("id") < 18_000, 2048).otherwise(F.col("id") % 7 + 1).cast("long").alias("length"), (F.col("id") * 3).alias("ids_crc32"),
+    )
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    ranked = packing.with_rank(pieces, histogram)
+    for length, n in histogram.items():
+        assert sorted(r["rank"] for r in ranked.where(F.col("length") == length).select("rank").collect()) == list(range(n))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan and plan.count("Window [row_number") <= 2
+    dealt = pieces.where("length = 2048").groupBy(F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(36))).count()
+    assert dealt.count() == 36 and dealt.agg(F.max("count")).first()[0] < 2 * 500
+
+
+def test_a_repeated_id_is_dealt_to_many_tasks(spark, tmp_path):
+    """Rows that share an id lie in several files, in order of their texts, and come back whole."""
+    texts = [f"{k:05d} some words" for k in range(4000)]
+    docs = spark.createDataFrame([(7, t, 1) for t in texts] + [(7, None, 1), (None, "x", 1)], "doc_id long, text string, start int")
+    # Small ranges are put together again otherwise.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_ids(spark, docs.repartition(5), WORDS, 2, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.where("n_docs > 0").count() >= 3
+    got = token_files.read_ids(manifest).orderBy("start").collect()
+    assert len(got) == 4002 and got[0]["doc_id"] is None and {r["doc_id"] for r in got[1:]} == {7}
+    library = Tokenizer.from_file(WORDS)
+    order = ["x", "", *sorted(texts)]
+    assert [r["n_tokens"] for r in got] == [len(library.encode(t, add_special_tokens=False).ids) + 1 for t in order]
+
+
+def test_counts_are_lengths(both):
+    encoder, library = both
+    texts = ["", None, "plain words and words", "it's a\n\ntest  of 12 numbers", "é à", "日本語 text", "<|endoftext|> x", "w" * 300_000, "long text " * 20_000]
+    plain_counts = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    for _ in range(2):
+        assert encoder.counts(pa.array(texts)).tolist() == plain_counts

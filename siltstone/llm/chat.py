@@ -8,8 +8,8 @@ The log has one row per event: conversation, sequence number, message, kind, rol
 * ``regenerate``  empties the message and drops the messages opened between its opening and this event,
   which answered the text that is gone
 
-Folding goes in two steps, message by message and then conversation by conversation, so that a task
-holds one message's events or one conversation's final messages, never a conversation's whole log.
+Folding goes in two steps, message by message and then conversation by conversation, over one exchange by
+conversation: all events of a conversation meet in one task, as its formatted text does in the end.
 """
 
 from __future__ import annotations

@@ -32,8 +32,9 @@ FILE_BYTES = 64_000_000
 #: The dictionary of a file is trained on its first records, up to these many bytes of them.
 SAMPLE_BYTES = 1_000_000
 DICTIONARY_BYTES = 32_768
-#: Largest record that a reader accepts, so that a false length cannot take all memory.
-MAX_RECORD = 1 << 30
+#: Largest record that a reader accepts, so that a false length cannot take all memory: more than any payload that fits
+#: a cell of a table (2 GiB) with its headers, so every record that can be written is read back.
+MAX_RECORD = (1 << 31) + (1 << 24)
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"

@@ -8,6 +8,7 @@ piece's rank among the pieces of its length.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,9 +21,6 @@ from pyspark.sql import functions as F
 from siltstone.llm import tokens
 from siltstone.session import small_frame, work_dir
 
-#: Pieces of one length, on average, that a task numbers; a length may hold a third of all pieces.
-BUCKET_PIECES = 100_000
-
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -111,13 +109,13 @@ def slots(spark: SparkSession, packs: list[tuple[int, tuple[int, ...]]]) -> Data
 def with_rank(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """Adds the rank of each piece among those of its length, from 0.
 
-    Every length is dealt into as many buckets as its number of pieces asks for, which are numbered by themselves; a
-    bucket starts where the counts of those before it end. So no task numbers more than some ``BUCKET_PIECES``, and
-    of the full pieces, which may be a third of all, none more than of the others.
+    Every length is dealt into as many buckets as the root of its number of pieces, which are numbered by themselves; a
+    bucket starts where the counts of those before it end. So of n pieces of a length, which may be a third of all, a
+    bucket holds about the root of n, and so many buckets are put in order.
     """
     spark = pieces.sparkSession
     # One row a length, of which there are as many as a sequence holds ids at most.
-    wanted = small_frame(spark, [(length, -(-n // BUCKET_PIECES)) for length, n in histogram.items()], "of_length long, buckets long")
+    wanted = small_frame(spark, [(length, math.isqrt(n - 1) + 1) for length, n in histogram.items()], "of_length long, buckets long")
     dealt = pieces.join(F.broadcast(wanted), F.col("length") == F.col("of_length")).withColumn(
         "bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("buckets"))
     ).drop("of_length", "buckets")

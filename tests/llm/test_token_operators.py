@@ -192,9 +192,8 @@ def test_sequences_hold_the_ids(spark):
     assert Counter(sum(ids, [])) == want
 
 
-def test_a_length_of_most_pieces_is_dealt_to_many_tasks(spark, monkeypatch):
-    """The full pieces are numbered in as many buckets as there are of them, each once."""
-    monkeypatch.setattr(packing, "BUCKET_PIECES", 500)
+def test_a_length_of_most_pieces_is_dealt_to_many_tasks(spark):
+    """The full pieces are numbered in as many buckets as the root of their number, each once."""
     pieces = spark.range(20_000).select(
         F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"),
         F.when(F.col("id") < 18_000, 2048).otherwise(F.col("id") % 7 + 1).cast("long").alias("length"), (F.col("id") * 3).alias("ids_crc32"),
@@ -205,8 +204,8 @@ def test_a_length_of_most_pieces_is_dealt_to_many_tasks(spark, monkeypatch):
         assert sorted(r["rank"] for r in ranked.where(F.col("length") == length).select("rank").collect()) == list(range(n))
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert "bucket" in plan and plan.count("Window [row_number") <= 2
-    dealt = pieces.where("length = 2048").groupBy(F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(36))).count()
-    assert dealt.count() == 36 and dealt.agg(F.max("count")).first()[0] < 2 * 500
+    dealt = pieces.where("length = 2048").groupBy(F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(135))).count()
+    assert dealt.count() == 135 and dealt.agg(F.max("count")).first()[0] < 2 * 135
 
 
 def test_a_repeated_id_is_dealt_to_many_tasks(spark, tmp_path):

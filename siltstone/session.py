@@ -108,8 +108,9 @@ def work_dir(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-work/{spark.sparkContext.applicationId}"
+        beside = "/" + spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:").strip("/")
+        root = f"{beside}-work/{spark.sparkContext.applicationId}"
         if root not in _LOCAL_WORK:
             _LOCAL_WORK.add(root)
-            atexit.register(shutil.rmtree, root.removeprefix("file:"), True)
+            atexit.register(shutil.rmtree, root, True)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -1,21 +1,13 @@
-"""File sources: CSV, Parquet and archives of them."""
+"""File sources: CSV and Parquet."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.values import FULL_TIMES
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def read_csv(
     spark: SparkSession, path: str, schema: str | T.StructType | None = None, key: bool = True, **options: str
 ) -> DataFrame:
@@ -59,78 +51,3 @@ def read_parquet(spark: SparkSession, path: str, schema: str | T.StructType | No
 def schema_of(spark: SparkSession, path: str) -> T.StructType:
     """Schema of a file source: Parquet from a footer, CSV from inference over its rows."""
     return (read_csv(spark, path, key=False) if path.endswith(".csv") else read_parquet(spark, path)).schema
-
-
-# Rows a task holds before it hands them on.
-_BATCH_ROWS = 4096
-
-
-def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the ``.tar.gz`` files in a folder."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(path).select("path", "content")
-
-
-def archive_cells(archives: DataFrame, names: list[str], first_only: bool = False) -> DataFrame:
-    """(archive, member, cells) of the CSV and Parquet members of archives given as (path, content).
-
-    Cells are texts in the order of ``names``: those of a CSV row by place, the header left out, those of a
-    Parquet row by name. An archive is compressed as a whole and cannot be split, so each is one task's
-    work; its rows are streamed out in batches, and different archives run in parallel.
-    """
-
-    def csv_rows(stream) -> Iterator[list]:
-        import csv
-        import io
-
-        found = csv.reader(io.TextIOWrapper(stream, "utf-8", newline=""))
-        next(found, None)
-        for row in found:
-            if row:
-                yield [c or None for c in row[: len(names)]] + [None] * (len(names) - len(row))
-
-    def parquet_rows(stream) -> Iterator[list]:
-        import io
-
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-
-        found = pq.ParquetFile(io.BytesIO(stream.read()))
-        have = set(found.schema_arrow.names)
-        for batch in found.iter_batches(_BATCH_ROWS, columns=[n for n in names if n in have]):
-            cells = [batch.column(n).cast(pa.string()).to_pylist() if n in have else [None] * batch.num_rows for n in names]
-            yield from (list(r) for r in zip(*cells))
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-        import tarfile
-
-        columns = ["archive", "member", "cells"]
-        held: list[tuple] = []
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
-                    members = [m for m in tar.getmembers() if m.isfile() and m.name.lower().endswith((".csv", ".parquet"))]
-                    members.sort(key=lambda m: m.name)
-                    for member in members[:1] if first_only else members:
-                        parse = csv_rows if member.name.lower().endswith(".csv") else parquet_rows
-                        for cells in parse(tar.extractfile(member)):
-                            held.append((name, member.name, cells))
-                            if len(held) >= _BATCH_ROWS:
-                                yield pd.DataFrame(held, columns=columns)
-                                held = []
-        if held:
-            yield pd.DataFrame(held, columns=columns)
-
-    return archives.select("path", "content").mapInPandas(rows, "archive string, member string, cells array<string>")
-
-
-def read_archives(archives: DataFrame, schema: str, first_only: bool = False) -> DataFrame:
-    """Rows of the CSV and Parquet members of archives (see ``archive_files``) in the given schema.
-
-    All members are read unless only the first by name is asked for, as a single upload has one. CSV cells may
-    hold quoted line breaks; an empty cell and one that does not fit its type are NULL.
-    """
-    fields = T.StructType.fromDDL(schema).fields
-    cells = archive_cells(archives, [f.name for f in fields], first_only)
-    typed = [F.col("cells")[i].try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)]
-    return cells.select("archive", "member", *typed)

@@ -10,9 +10,10 @@ from siltstone.operators import versions as V
 from siltstone.operators.layers import Lake
 from siltstone.session import union_all, work_dir
 from siltstone.sources import documents as D
-from siltstone.sources import export, files
+from siltstone.sources import archives, export, files
 from siltstone.sources import social as P
 from siltstone.sources import tables as TB
+from siltstone.sources import untyped
 from siltstone.streaming import stream as ST
 from siltstone.suite.registry import query
 from siltstone.suite.tables import SCHEMAS, table
@@ -290,7 +291,7 @@ def archived_orders(spark, root):
         return pd.DataFrame({"name": [key[0]]})
 
     orders.groupBy("name").applyInPandas(pack, "name string").write.format("noop").mode("overwrite").save()
-    rows = files.read_archives(files.archive_files(spark, folder), "o_orderkey bigint, o_totalprice double, note string")
+    rows = archives.read_archives(spark, folder, "o_orderkey bigint, o_totalprice double, note string")
     return rows.withColumn("archive", F.substring_index("archive", "/", -1))
 
 
@@ -358,6 +359,38 @@ def documents_since(spark, root):
     return flat.select(F.col("_id").cast("long").alias("event_id"), precise.alias("at"), F.col("body__p__k").alias("k"))
 
 
+@query("""
+SELECT event_id AS _id,
+       CASE event_type WHEN 'view' THEN 'u' || user_id WHEN 'click' THEN '{"id":' || user_id || '}' ELSE user_id::VARCHAR END AS who,
+       CASE WHEN event_type <> 'view' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS props__k,
+       CASE WHEN event_type = 'purchase' THEN 'C' || (event_id % 7) END AS props__coupon__code,
+       CASE WHEN event_type = 'click' THEN event_id % 2 = 0 END AS "props__left side",
+       CASE WHEN event_id % 5 = 0 THEN event_type || ',' || (event_id % 3) END AS tags,
+       CASE WHEN event_id % 11 = 0 THEN '{"_id": ' || event_id || ', cut' END AS rejected
+FROM events WHERE event_id % 11 <> 0
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, '{"_id": ' || event_id || ', cut' FROM events WHERE event_id % 11 = 0
+""")
+def untyped_events(spark, root):
+    """Events as documents whose shape depends on their type, every eleventh cut off, read without a schema."""
+    path = work_dir(spark, "untyped")
+    kind, uid, n = F.col("event_type"), F.col("user_id"), F.col("event_id")
+    k = F.from_json("props", "k bigint")["k"].alias("k")
+    tags = F.when(n % 5 == 0, F.array(kind, (n % 3).cast("string"))).alias("tags")
+    text = (
+        F.when(n % 11 == 0, F.format_string('{"_id": %d, cut', n))
+        .when(kind == "view", F.to_json(F.struct(n.alias("_id"), F.concat(F.lit("u"), uid).alias("who"), tags)))
+        .when(kind == "click", F.to_json(F.struct(
+            n.alias("_id"), F.struct(uid.alias("id")).alias("who"), F.struct(k, (n % 2 == 0).alias("left side")).alias("props"), tags)))
+        .when(kind == "purchase", F.to_json(F.struct(
+            n.alias("_id"), uid.alias("who"), F.struct(k, F.struct(F.concat(F.lit("C"), n % 7).alias("code")).alias("coupon")).alias("props"), tags)))
+        .otherwise(F.to_json(F.struct(n.alias("_id"), uid.alias("who"), F.struct(k).alias("props"), tags)))
+    )
+    table(spark, root, "events").select(text.alias("value")).write.text(path)
+    docs = untyped.read(spark, path)
+    found = untyped.shred(docs, untyped.merged_type(docs))
+    return found.withColumn("tags", F.concat_ws(",", "tags")).withColumn("tags", F.when(F.col("tags") != "", F.col("tags")))
+
+
 @query("""
 SELECT CAST(vec_id AS VARCHAR) AS parent_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS list_idx,
        CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings

@@ -2,9 +2,11 @@
 
 from datetime import datetime, timezone
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.values import plain_results, safe_ratio
+from siltstone.operators import fences
 from siltstone.operators import history as H
 from siltstone.operators import preview
 from siltstone.operators import sync as S
@@ -209,3 +211,23 @@ def due_syncs(spark, root):
     last = events.groupBy("user_id").agg(F.max("ts").alias("last"))
     now = events.agg(F.max("ts")).scalar()
     return last.select("user_id", S.is_due(F.col("last"), F.lit(120), now).alias("due"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_extendedprice, rn - 1 AS position FROM
+ (SELECT *, ROW_NUMBER() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS rn FROM lineitem)
+WHERE rn > (SELECT COUNT(*) // 4 * 3 FROM lineitem) AND rn <= (SELECT COUNT(*) // 4 * 3 + 100 FROM lineitem)
+""")
+def deep_page(spark, root):
+    """A hundred order lines behind three quarters of all by their price, with the position that the index gives the first of them."""
+    lines = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    order = ["l_extendedprice", "l_orderkey", "l_linenumber"]
+    folder = work_dir(spark, "fences")
+    fences.write(lines, folder, order, range_rows=5000)
+    offset = fences.fences(spark, folder).agg(F.sum("rows")).first()[0] // 4 * 3
+    found = fences.page(spark, folder, order, 100, offset)
+    first = found.first()
+    at = fences.position(spark, folder, order, tuple(first[c] for c in order)).first().position
+    # The page is at most a hundred rows.
+    place = F.row_number().over(Window.orderBy(*order)) - 1 + F.lit(at)
+    return found.withColumn("position", place.cast("long"))

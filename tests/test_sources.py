@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from siltstone.sources import documents as D
-from siltstone.sources import export, files
+from siltstone.sources import archives, export, files
 from siltstone.sources import social as P
 from siltstone.sources import tables as TB
 
@@ -58,10 +58,10 @@ def test_archives(spark, tmp_path):
     archive(tmp_path / "one.tar.gz", {"b.csv": "k,v\n9,z\n", "a.csv": 'k,v\n1,"x, y"\n2,ü\n', "notes.txt": "no"})
     archive(tmp_path / "two.tar.gz", {"dir/c.csv": "k,v\n" + "".join(f"{i},r\n" for i in range(10_000))})
     archive(tmp_path / "none.tar.gz", {"readme.txt": "no"})
-    df = files.read_archives(files.archive_files(spark, str(tmp_path)), "k int, v string", first_only=True)
+    df = archives.read_archives(spark, str(tmp_path), "k int, v string", first_only=True)
     assert rows(df.filter(F.col("archive").contains("one")).select("member", "k", "v")) == [("a.csv", 1, "x, y"), ("a.csv", 2, "ü")]
     assert df.filter(F.col("archive").contains("two")).agg(F.count("*"), F.sum("k")).first() == (10_000, 49_995_000)
-    every = files.read_archives(files.archive_files(spark, str(tmp_path)), "k int, v string")
+    every = archives.read_archives(spark, str(tmp_path), "k int, v string")
     assert rows(every.groupBy("member").count()) == [("a.csv", 2), ("b.csv", 1), ("dir/c.csv", 10_000)]
 
 
@@ -77,7 +77,7 @@ def test_archive_members_of_both_kinds(spark, tmp_path):
         info.size = len(data)
         tar.addfile(info, io.BytesIO(data))
         tar.addfile(tarfile.TarInfo("empty.csv"), io.BytesIO())
-    got = files.read_archives(files.archive_files(spark, str(tmp_path)), "k int, v string").select("member", "k", "v")
+    got = archives.read_archives(spark, str(tmp_path), "k int, v string").select("member", "k", "v")
     assert rows(got) == rows(
         spark.createDataFrame(
             [("in/p.parquet", 7, "p"), ("in/p.parquet", 8, None), ("q.csv", 1, "two\nlines"), ("q.csv", None, None), ("q.csv", 3, None), ("q.csv", 4, "x")],
@@ -86,6 +86,41 @@ def test_archive_members_of_both_kinds(spark, tmp_path):
     )
 
 
+def test_an_archive_is_streamed(spark, tmp_path):
+    """Archives larger than a batch and than what is read at a time; what a task holds does not grow with them."""
+    import random
+    import tracemalloc
+
+    rnd = random.Random(3)
+    held = []
+    for n in (30_000, 120_000):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        archive(folder / "big.tar.gz", {"a.csv": "k,v\n" + "".join(f"{i},{rnd.randbytes(60).hex()}\n" for i in range(n))})
+        assert (folder / "big.tar.gz").stat().st_size > 2 * archives.READ_BYTES
+        reader = archives.ArchiveReader(str(folder), ["k", "v"], False)
+        tracemalloc.start()
+        sizes = [b.num_rows for b in reader.read(reader.partitions()[0])]
+        held.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert sum(sizes) == n and max(sizes) == archives.BATCH_ROWS
+    assert held[1] < 1.3 * held[0]
+    got = archives.read_archives(spark, f"file://{tmp_path}/120000", "k int, v string")
+    assert got.agg(F.count("*"), F.sum("k"), F.countDistinct("v")).first() == (120_000, 7_199_940_000, 120_000)
+    assert got.select("archive").distinct().first()[0] == f"file://{tmp_path}/120000/big.tar.gz"
+
+
+@pytest.mark.parametrize("left", [0, 5, 300, -600, -4])
+def test_no_archive_and_damaged_ones(spark, tmp_path, left):
+    assert archives.read_archives(spark, str(tmp_path), "k int").collect() == []
+    archive(tmp_path / "cut.tar.gz", {f"{m}.csv": "k\n" + "".join(f"{i * 7919 % 10007}\n" for i in range(500)) for m in "abcdefgh"})
+    whole = (tmp_path / "cut.tar.gz").read_bytes()
+    assert archives.read_archives(spark, str(tmp_path), "k int").count() == 4000
+    (tmp_path / "cut.tar.gz").write_bytes(whole[:left])
+    with pytest.raises(Exception, match="EOFError|ReadError"):
+        archives.read_archives(spark, str(tmp_path), "k int").collect()
+
+
 def test_cursor_helpers(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 7)], "id int, created_at int")
     assert TB.pick_cursor(df) == "created_at"

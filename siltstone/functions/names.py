@@ -93,19 +93,47 @@ def substrings(name: Column) -> Column:
     )
 
 
-def bigrams(name: Column) -> Column:
-    """Character pairs of ``^name$`` for blocking similarity joins, without the pair ``s$``.
+#: Letters from rare to common in English names; others count as rarer still.
+_RARE_FIRST = "zqjxkwvfybhgpmculd_otrnsaie"
 
-    Take two names with an indel ratio above 70 and k characters in common order. Fewer than
-    0.857 k characters are unmatched, each unmatched one separates at most one of the k+1
-    neighbouring matches (ends included), so at least two pairs are shared. Leaving out the one
-    pair nearly every plural has therefore still keeps at least one, and no match is lost.
+
+def letters(name: Column) -> Column:
+    """A name's letters, numbered so that the second ``e`` is an element of its own, rare ones first.
+
+    Elements sort by number (a repeated letter is rarer than one), then by letter; the same order for all names. Two names
+    share as many elements as they have letters in common, so at least their longest common subsequence.
     """
-    padded = F.concat(F.lit("^"), F.lower(name), F.lit("$"))
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))
-    )
-    return F.filter(F.array_distinct(pairs), lambda g: g != "s$")
+    n = F.length(name)
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    singles = F.transform(places, lambda i: F.substring(name, i, F.lit(1)))
+
+    def numbered(letter: Column, at: Column) -> Column:
+        nth = F.size(F.filter(F.slice(singles, F.lit(1), at + 1), lambda other: other == letter))
+        rank = F.call_function("instr", F.lit(_RARE_FIRST), letter)
+        return F.concat(F.lpad((F.lit(999_999) - nth).cast("string"), 6, "0"), F.lpad(rank.cast("string"), 2, "0"), letter)
+
+    return F.array_sort(F.transform(singles, numbered))
+
+
+def letter_pairs(found: Column, ratio: float) -> Column:
+    """Join keys from a name's ``letters``, of which two names share at least one if their ratio (0 to 1) is at least ``ratio``.
+
+    A pair of lengths n and m with that ratio has t = ratio * (n + m) / 2 letters in common, and as none has more than its own
+    length, t is at least n * ratio / (2 - ratio) whatever m is. Two names with t common elements of one order share two
+    among the first n - t + 2 of each: every pair of those is a key. Where one common letter is enough, which takes names
+    of 2 / ratio letters together, each single letter is a key too.
+    """
+    n = F.size(found)
+    # Rounding must not raise the bound.
+    least = F.greatest(F.ceil(n * (ratio / (2 - ratio)) - 1e-9), F.lit(2)).cast("int")
+    first = F.slice(found, F.lit(1), F.greatest(n - least + 2, F.lit(0)))
+    pairs = F.transform(first, lambda x, i: F.transform(F.slice(found, i + 2, n - least + 1 - i), lambda y: F.concat(x, y)))
+    return F.concat(F.flatten(pairs), F.when(n <= 2 / ratio - 1 + 1e-9, found).otherwise(F.array().cast("array<string>")))
+
+
+def may_resemble(left: Column, right: Column, ratio: float) -> Column:
+    """Whether two names, given by their ``letters``, have enough in common for the ratio; no pair that reaches it fails."""
+    return 2 * F.size(F.array_intersect(left, right)) >= (F.size(left) + F.size(right)) * ratio - 1e-9
 
 
 def _common_subsequence(a: str, b: str) -> int:

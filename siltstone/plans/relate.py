@@ -230,10 +230,27 @@ def _contained(stems: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def _similar(stems: DataFrame, owners: DataFrame) -> DataFrame:
-    s = _forms(stems, "stem", "form").withColumn("gram", F.explode(N.bigrams(F.col("form"))))
-    o = owners.withColumn("gram", F.explode(N.bigrams(F.col("owner"))))
-    pairs = s.join(o, ["block", "gram"]).select("block", "stem", "form", "owner").distinct()
-    return pairs.filter(N.indel_similarity("form", "owner") > CANDIDATE_SIMILARITY).select("block", "stem", "owner")
+    forms = _forms(stems, "stem", "form")
+    pairs = resembling(forms, owners, "form", "owner", ["block"], CANDIDATE_SIMILARITY / 100)
+    alike = pairs.filter(N.indel_similarity("form", "owner") > CANDIDATE_SIMILARITY)
+    return forms.join(alike, ["block", "form"]).select("block", "stem", "owner")
+
+
+def resembling(left: DataFrame, right: DataFrame, a: str, b: str, within: list[str], ratio: float) -> DataFrame:
+    """Distinct name pairs of equal ``within`` that may reach a ratio (0 to 1); none that does is missing.
+
+    A similarity join by prefixes: names meet on pairs of their rarest letters only, and whoever meets must have letters enough
+    in common. What is left is for the exact ratio to decide.
+    """
+
+    def keyed(df: DataFrame, name: str, letters: str) -> DataFrame:
+        found = df.select(*within, name).distinct().withColumn(letters, N.letters(F.col(name)))
+        return found.withColumn("_key", F.explode(N.letter_pairs(F.col(letters), ratio)))
+
+    met = keyed(left, a, "_a").join(keyed(right, b, "_b"), [*within, "_key"])
+    # A pair that meets on several keys is tested once.
+    pairs = met.groupBy(*within, a, b).agg(F.first("_a").alias("_a"), F.first("_b").alias("_b"))
+    return pairs.filter(N.may_resemble(F.col("_a"), F.col("_b"), ratio)).drop("_a", "_b")
 
 
 _WORD = 62
@@ -501,10 +518,11 @@ def by_name(keyed: DataFrame, cross_schema: bool = False) -> DataFrame:
     named = _relationships(best.filter("_has_key"), "_naming", "naming", weight)
 
     left = fks.join(matched.select(*fk_key).distinct(), fk_key, "left_anti")
-    ls = left.select("block", "stem").distinct().withColumn("gram", F.explode(N.bigrams(F.col("stem"))))
-    os = targets.select("block", "owner").distinct().withColumn("gram", F.explode(N.bigrams(F.col("owner"))))
     scored = (
-        ls.join(os, ["block", "gram"]).select("block", "stem", "owner").distinct()
+        resembling(
+            left.select("block", "stem").distinct(), targets.select("block", "owner").distinct(),
+            "stem", "owner", ["block"], NAMING_SIMILARITY / 100,
+        )
         .withColumn("score", N.indel_similarity("stem", "owner"))
         .filter(F.col("score") > NAMING_SIMILARITY)
     )

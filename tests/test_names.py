@@ -1,3 +1,4 @@
+import random
 from itertools import product
 
 import pytest
@@ -6,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.functions import names as N
+from siltstone.plans import relate as R
 
 
 def column(spark, words, make):
@@ -83,24 +85,58 @@ def test_indel_ratio_is_not_levenshtein():
     assert N.indel_ratio("abc", "axc") == pytest.approx(200 * 2 / 6)
 
 
-def grams(word):
-    padded = f"^{word}$"
-    return {padded[i : i + 2] for i in range(len(padded) - 1)} - {"s$"}
+def numbered(word):
+    """Letters of a name as (letter, how many of it so far)."""
+    return {(ch, word[: i + 1].count(ch)) for i, ch in enumerate(word)}
 
 
-@settings(max_examples=2000, deadline=None)
-@given(st.text("abs", min_size=1, max_size=9), st.text("abs", min_size=1, max_size=9))
-def test_similar_names_always_share_a_blocking_pair(a, b):
-    if N.indel_ratio(a, b) > 70:
-        assert grams(a) & grams(b)
+def test_letters_share_an_order(spark):
+    words = ["", "a", "assess", "é£z", "Aa_1", "zebra" * 9]
+    for word, found in zip(words, column(spark, words, N.letters)):
+        assert found == sorted(found) and {(e[8:], 999_999 - int(e[:6])) for e in found} == numbered(word)
+    assert [e[-1] for e in column(spark, ["eze"], N.letters)[0]] == ["e", "z", "e"]
 
 
-def test_bigrams_and_substrings(spark):
-    assert set(column(spark, ["abcs"], N.bigrams)[0]) == grams("abcs")
+def test_substrings(spark):
     assert set(column(spark, ["aba"], N.substrings)[0]) == {"a", "b", "ab", "ba", "aba"}
     assert column(spark, [""], N.substrings) == [[]]
 
 
+def many_names(n):
+    """Random names over few and many letters, with one to four edits of each, and all names of up to three letters of two."""
+    rnd = random.Random(11)
+    found = {"".join(p) for k in (1, 2, 3) for p in product("ab", repeat=k)} | {""}
+    while len(found) < n:
+        name = "".join(rnd.choices(rnd.choice(["abs", "etaoin_s", "abcdefghijklmnopqrstuvwxyz_"]), k=rnd.randint(1, 14)))
+        found.add(name)
+        for _ in range(rnd.randint(1, 4)):
+            at = rnd.randrange(len(name) + 1)
+            name = name[:at] + rnd.choice(["", "s", "_", "e"]) + name[at + rnd.randint(0, 1) :]
+            found.add(name)
+    return sorted(found)
+
+
+@pytest.mark.parametrize("ratio", [0.7, 0.75, 0.9])
+def test_resembling_names_equal_brute_force(spark, ratio):
+    names = many_names(300)
+    a = spark.createDataFrame([(w,) for w in names], "a string")
+    met = {tuple(r) for r in R.resembling(a, a.withColumnRenamed("a", "b"), "a", "b", [], ratio).collect()}
+    want = {(x, y) for x in names for y in names if x and y and N.indel_ratio(x, y) >= 100 * ratio - 1e-9}
+    assert want <= met
+    # Whoever is handed on has letters enough in common.
+    assert all(2 * len(numbered(x) & numbered(y)) >= ratio * (len(x) + len(y)) - 1e-9 for x, y in met)
+
+
+def test_resembling_names_meet_seldom(spark):
+    """Names of one prefix and one ending, of which every pair shares several neighbouring letters."""
+    rnd = random.Random(7)
+    names = sorted({"crm_" + "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=8)) + "_items" for _ in range(400)})
+    a = spark.createDataFrame([(w,) for w in names], "a string")
+    met = R.resembling(a, a.withColumnRenamed("a", "b"), "a", "b", [], 0.9).count()
+    want = sum(N.indel_ratio(x, y) >= 90 for x in names for y in names)
+    assert want <= met < 0.05 * len(names) ** 2
+
+
 @settings(max_examples=1000, deadline=None)
 @given(st.text("abcxyz_", min_size=1, max_size=9), st.text("abcxyz_", min_size=1, max_size=9))
 def test_names_with_a_quarter_in_common_share_a_rare_letter(a, b):

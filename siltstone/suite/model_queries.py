@@ -143,14 +143,16 @@ def profile_exact(spark, root):
     return P.summarize_all(_tables(spark, root, ALL), exact=True)
 
 
-@query(f"SELECT * EXCLUDE (cardinality), TRUE AS plausible FROM ({_profile_sql(ALL)})")
+@query(f"SELECT *, TRUE AS plausible FROM ({_profile_sql(ALL)})")
 def profile_single_pass(spark, root):
-    """The one-pass profile of all tables: what it knows exactly, and whether its estimates of distinct values can be right."""
-    found = P.summarize_all(_tables(spark, root, ALL))
+    """The one-pass profile of all tables: whether its estimates of distinct values can be right, and the exact counts in their place."""
+    tables = _tables(spark, root, ALL)
+    found = P.summarize_all(tables)
     present = F.col("row_count") * (1 - F.col("null_percentage") / 100)
     few = F.when(F.col("min") == F.col("max"), F.col("cardinality") == 1).otherwise(F.col("cardinality") > 1)
     plausible = (F.col("cardinality") <= 1.15 * present) & (F.col("min").isNull() | few)
-    return found.withColumn("plausible", plausible).drop("cardinality")
+    exact = P.count_exactly(tables, [(model, c) for model, df in tables.items() for c in df.columns])
+    return P.with_cardinality(found.withColumn("plausible", plausible), exact)
 
 
 @query("""

@@ -65,3 +65,44 @@ def test_empty_table_and_repeated_rows(spark, tmp_path):
     assert rows(fences.page(spark, f"{tmp_path}/same", ["a"], 3, 498)) == [(1, "x")] * 2
     with pytest.raises(ValueError, match="there already"):
         fences.write(same, f"{tmp_path}/same", ["a"])
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch, descending):
+    """One task sorts many ranges: the driver's samples and results grow with the tasks."""
+    monkeypatch.setattr(fences, "TASK_ROWS", 800)
+    frame, dealt = type(spark.range(0)), []
+    deal = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *by: dealt.append(n) or deal(self, n, *by))
+    data, df = mixed(spark)
+    fences.write(df, f"{tmp_path}/t", ["a", "b c"], descending, range_rows=50)
+    assert dealt == [4]
+    index = fences.fences(spark, f"{tmp_path}/t").orderBy("range").collect()
+    assert 60 <= len(index) <= 64 and max(r.rows for r in index) == 50 and all(len(r.files) == 1 for r in index)
+    assert [r.before for r in index] == [sum(r.rows for r in index[:i]) for i in range(len(index))]
+    want = sorted(data, key=sort_key, reverse=descending)
+    for offset, limit in ((0, 10), (49, 2), (745, 120), (2990, 50)):
+        got = fences.page(spark, f"{tmp_path}/t", ["a", "b c"], limit, offset)
+        assert [tuple(r) for r in got.collect()] == want[offset : offset + limit]
+        # The last range of a task may be short.
+        assert len(got.inputFiles()) <= limit // 50 + 3
+    for k in (0, 49, 50, 799, 800, 2999):
+        assert fences.position(spark, f"{tmp_path}/t", ["a", "b c"], want[k][:2]).first()[0] == k
+
+
+def test_equal_rows_over_several_ranges(spark, tmp_path):
+    df = spark.range(500).selectExpr("IF(id < 100, 0, IF(id < 400, 1, 2)) AS a", "id")
+    fences.write(df, f"{tmp_path}/t", ["a"], range_rows=30)
+    assert fences.fences(spark, f"{tmp_path}/t").filter("first.v0 = 1").count() > 5
+    for value, before in ((-1, 0), (0, 0), (1, 100), (2, 400), (3, 500)):
+        assert fences.position(spark, f"{tmp_path}/t", ["a"], (value,)).first()[0] == before
+    pages = [r.id for k in range(0, 500, 45) for r in fences.page(spark, f"{tmp_path}/t", ["a"], 45, k).collect()]
+    assert sorted(pages) == list(range(500))
+
+
+def test_a_range_of_a_tasks_size_is_not_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fences, "TASK_ROWS", 300)
+    _, df = mixed(spark)
+    fences.write(df, f"{tmp_path}/t", ["a", "b c"], range_rows=300)
+    index = fences.fences(spark, f"{tmp_path}/t").agg(F.count("*"), F.sum("rows")).first()
+    assert index[0] <= 10 and index[1] == 3000
